@@ -33,7 +33,7 @@ SUBSTITUTED, DROPPED, DOUBLED = 2.0, 1.0, 1.0
 #: Most training documents, of all labelled ones, that word weights and the logistic function are fitted on.
 MAX_LABELLED = 20_000
 #: Most features that get a weight, and the least number of toxic documents that have one.
-MAX_FEATURES, LEAST = 50_000, 4
+MAX_FEATURES, LEAST = 50_000, 3
 REMEMBERED = 300_000
 _EDGES = re.compile(r"^[^\w@$€£|+]+|[^\w@$€£|+!]+$|([^\w\s])\1+$|^([^\w\s])\2+|_+$|^_+")
 _RUN = re.compile(r"(.)\1\1")
@@ -177,7 +177,7 @@ class Restorer:
 def features_of(word: str) -> list[str]:
     """The word, if short, and its beginnings."""
     n = len(word)
-    return ([f"={word}"] if 3 <= n <= 24 else []) + [word[:k] for k in (4, 5, 6) if n > k]
+    return ([f"={word}"] if 3 <= n <= 24 else []) + [word[:k] for k in (4, 5, 6, 7, 8) if n > k]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -225,8 +225,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The character model of all ``docs``, and weights from the labelled ones.
 
-    At most ``max_labelled`` labels, those of smallest hash, are used; half of their documents, by hash, give the word weights and half
-    the logistic function. An id labelled twice counts once, as toxic if either label is. Without labels of both kinds the score is their smoothed share.
+    At most ``max_labelled`` labels, those of smallest hash, are used. The logistic function is fitted on evidence
+    by the word weights of the other half of their documents, so that no document's own label is in it; the model keeps the weights of both halves. An id labelled twice counts once, as toxic if either label is. Without labels of both kinds the score is their smoothed share.
     """
     spark = docs.sparkSession
     costs = language_model(character_counts(docs, text_col))
@@ -245,34 +245,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
         def batches(it):
             restorer = Restorer(costs_sent.value)
             for batch in it:
-                n: dict[str, int] = {}
-                for text in batch.column(0).to_pylist():
+                n: dict[tuple[str, int], int] = {}
+                for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     seen = {f for w in set(restorer.words(text)) for f in features_of(w)}
                     for f in seen if only is None else seen & only:
-                        n[f] = n.get(f, 0) + 1
-                yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+                        n[f, half] = n.get((f, half), 0) + 1
+                yield pa.record_batch([pa.array([f for f, _ in n], pa.string()), pa.array([h for _, h in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["f", "half", "n"])
 
         return batches
 
-    part = lambda y: sample.where((F.col("half") == 0) & (F.col("y") == y)).select("text")
-    often = part(1).mapInArrow(counted(None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    bad = {r.f: r.n for r in often.orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect()}
-    good = {r.f: r.n for r in part(0).mapInArrow(counted(set(bad)), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    n_bad, n_good, weights = sizes[0, 1], sizes[0, 0], {}
-    for f, a in bad.items():
-        b = good.get(f, 0)
-        sure = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if sure > 0.7:
-            weights[f] = sure
+    def by_half(y: int, only: set[str] | None) -> DataFrame:
+        found = sample.where(F.col("y") == y).select("text", "half").mapInArrow(counted(only), "f string, half int, n long")
+        return found.groupBy("f").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
+
+    total = F.col("n0") + F.col("n1")
+    bad = {r.f: (r.n0, r.n1) for r in by_half(1, None).where(total >= LEAST).orderBy(total.desc(), "f").limit(MAX_FEATURES).collect()}
+    good = {r.f: (r.n0, r.n1) for r in by_half(0, set(bad)).collect()}
+
+    def weights_from(halves: tuple[int, ...]) -> dict[str, float]:
+        n_bad, n_good = (sum(sizes[h, y] for h in halves) for y in (1, 0))
+        out = {}
+        for f, each in bad.items():
+            a, b = sum(each[h] for h in halves), sum(good.get(f, (0, 0))[h] for h in halves)
+            sure = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if sure > 0.7:
+                out[f] = sure
+        return out
+
+    other = {0: weights_from((1,)), 1: weights_from((0,))}
 
     def rows(it):
-        restorer, known = Restorer(costs_sent.value), {}
+        restorer, known = Restorer(costs_sent.value), ({}, {})
         for batch in it:
-            out = [(float(y), *evidence(restorer.words(t), weights, known)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            out = [(float(y), *evidence(restorer.words(t), other[h], known[h])) for t, y, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
             yield pa.record_batch([pa.array(c, pa.float64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.float64())] * 5, list("yabcd"))
 
-    data = np.array(sample.where("half = 1").select("text", "y").mapInArrow(rows, "y double, a double, b double, c double, d double").orderBy(*"yabcd").collect())
-    return Model(costs, weights, _logistic(data[:, 1:], data[:, 0]))
+    data = np.array(sample.select("text", "y", "half").mapInArrow(rows, "y double, a double, b double, c double, d double").orderBy(*"yabcd").collect())
+    return Model(costs, weights_from((0, 1)), _logistic(data[:, 1:], data[:, 0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

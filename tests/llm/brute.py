@@ -111,5 +111,6 @@ def kept_lines(rows, least=5):
             w = words(line)
             near = len(w) >= least and any(word_edit_at_most_one(w, x) for n in (-1, 0, 1) for x in earlier[len(w) + n])
             kept[k].append(not near)
-            earlier[len(w)].append(w)
+            if len(w) >= least:
+                earlier[len(w)].append(w)
     return kept

@@ -46,6 +46,13 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.substring_dedup import remove_repeats
+
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.simhash_golay import near_duplicates
 
@@ -82,7 +89,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op7_simhash, op8_quality, op9_packing, op10_chat_format)
+    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format)
     return {f.__name__: f for f in found}
 
 

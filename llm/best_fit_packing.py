@@ -25,6 +25,7 @@ GROUP = 8192
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 250_000
 _CUTS = re.compile("[ \n\t\r]+")
+_MARKS = frozenset(".,;:!?")
 
 
 class WordEncoder:
@@ -46,19 +47,35 @@ class WordEncoder:
     def _single(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """A word as lower-cased letters and one mark after them, which the tokenizer cuts too; other words stay whole."""
+        low = word if "\u03a3" in word else word.lower()
+        core, tail = (low[:-1], low[-1]) if low[-1:] in _MARKS and len(low) > 1 else (low, "")
+        return (core, tail) if core.isalpha() else (word, "")
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Plain words are encoded in one go and told apart by the ids that end a word."""
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        known: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2000):
-            block = plain[at : at + 2000]
+        """Words of letters are encoded in one go and told apart by the ids that end a word."""
+        parts = [self._parts(w) for w in words]
+        known: dict[str, bytes] = {"": b""}
+        need = []
+        for w in {p for both in parts for p in both}:
+            ids = self.young.get(w) or self.old.get(w)
+            if ids:
+                known[w] = ids
+            elif w:
+                need.append(w)
+        plain = [w for w in need if w.isalpha()]
+        for at in range(0, len(plain), 500):
+            block = plain[at : at + 500]
             ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(ends) == len(block):
                 known.update(zip(block, (ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        rest = [w for w in words if w not in known]
+        rest = [w for w in need if w not in known]
         known.update(zip(rest, self._single(rest), strict=True))
-        return [known[w] for w in words]
+        self.young.update((w, known[w]) for w in need)
+        return [known[core] + known[tail] for core, tail in parts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""

@@ -8,13 +8,14 @@ in a number of steps logarithmic in the sequence length.
 
 from __future__ import annotations
 
-import re
+import gc
 import zlib
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ from llm._common import materialize
 #: Pieces in a packing group, about. A group wastes about one sequence, that is one in a thousand.
 GROUP = 8192
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
-_CUTS = re.compile("[ \n\t\r]+")
+REMEMBERED = 400_000
+#: Bytes of text that are encoded in one go.
+BLOCK = 8 << 20
 _MARKS = frozenset(".,;:!?")
 
 
@@ -32,7 +34,7 @@ class WordEncoder:
     """Ids of a text, from the remembered ids of its words.
 
     For tokenizers that split at white space and drop it, so that a word's ids don't depend on its neighbours.
-    Words are cut at space, tab and line ends only; rarer white space is left to the tokenizer.
+    Words are cut at the ASCII white space only; rarer white space is left to the tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -77,19 +79,55 @@ class WordEncoder:
         self.young.update((w, known[w]) for w in need)
         return [known[core] + known[tail] for core, tail in parts]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [_CUTS.split(t) for t in texts]
-        unseen = set().union(*cut) - self.young.keys()
-        again = {w: self.old[w] for w in unseen if w in self.old}
-        self.young.update(again)
-        new = list(unseen - again.keys())
-        self.young.update(zip(new, self._encode(new), strict=True))
-        found = self.young.__getitem__
-        out = [b"".join(map(found, words)) for words in cut]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the different words, remembered or encoded."""
+        found = list(map(self.young.get, words))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self.old.get(words[k])
+        lost = [k for k, ids in enumerate(found) if ids is None]
+        if lost:
+            for k, ids in zip(lost, self._encode([words[k] for k in lost]), strict=True):
+                found[k] = ids
+        self.young.update(zip(words, found, strict=True))
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        return out
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other and each followed by ``end_id``, and the bounds of each. Null counts as empty.
+
+        Texts are cut into words and the words numbered by Arrow; Python sees each different word of the block once.
+        """
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        bounds = np.asarray(cut.offsets)
+        numbered = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        gc.disable()  # many small objects and no cycles: the collector would only walk the remembered words again and again
+        try:
+            known = self._known(numbered.dictionary.to_pylist())
+        finally:
+            gc.enable()
+        known.append(b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes())
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        at = np.cumsum(size) - size
+        ends = bounds[1:] - bounds[0]
+        codes = np.insert(np.asarray(numbered.indices), ends, len(known) - 1)
+        after = np.cumsum(size[codes])
+        places = np.arange(after[-1] if len(after) else 0) + np.repeat(at[codes] - after + size[codes], size[codes])
+        return np.frombuffer(b"".join(known), dtype="<u4")[places], np.concatenate([[0], after[ends + np.arange(len(ends))]]).astype(np.int64)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        flat, bounds = self.encode(pa.array(texts, pa.large_string()))
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _blocks(texts: pa.Array) -> list[tuple[int, int]]:
+    """First row and number of rows of blocks of about ``BLOCK`` bytes of text; a longer text is a block of its own."""
+    before = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    cuts = np.flatnonzero(np.diff(before // BLOCK)) + 1 if len(before) else np.empty(0, dtype=np.int64)
+    edges = [0, *cuts.tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
 @cache
@@ -100,18 +138,24 @@ def _encoder(path: str) -> WordEncoder:
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of the documents' pieces; only documents longer than ``length`` have several."""
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(it):
         encoder = _encoder(tokenizer)
         for whole in it:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows = []
-                for own, ids in zip(batch.column(0).to_pylist(), encoder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    rows += [(own, k, s // 4, len(cut) // 4, zlib.crc32(cut)) for k, s in enumerate(range(0, len(ids), 4 * length)) for cut in [ids[s : s + 4 * length]]]
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "piece", "start", "length", "ids_crc32"), r, strict=True)) for r in rows], schema=pa.schema([("id", batch.schema.field(0).type), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32"))]))
+            for at, n in _blocks(whole.column(1)):
+                batch = whole.slice(at, n)
+                flat, bounds = encoder.encode(batch.column(1), end_id)
+                per = -(-np.diff(bounds) // length)
+                owner = np.repeat(np.arange(n), per)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+                start = piece * length
+                size = np.minimum(length, np.diff(bounds)[owner] - start)
+                first = bounds[owner] + start
+                crc = [zlib.crc32(flat[a : a + k]) for a, k in zip(first.tolist(), size.tolist(), strict=True)]
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
+                    ["id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(batches, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,36 @@ def scaler(windows: DataFrame, features: list[str]) -> DataFrame:
     """Mean and population standard deviation of each feature, one row each."""
     stats = windows.agg(*(f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     return stats.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("std")) for c in features))).alias("x")).select("x.*")
+
+
+def histogram(values: DataFrame, col: str, bins: int, by: str) -> DataFrame:
+    """Counts of equal bins from the smallest to the largest value, for each ``by``; the largest value belongs to the last bin."""
+    ends = values.agg(F.min(col).alias("low"), F.max(col).alias("high"))
+    step = (F.col("high") - F.col("low")) / bins
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col(col) - F.col("low"), step)), F.lit(0)))
+    return values.where(F.col(col).isNotNull()).join(F.broadcast(ends)).select(by, place.cast("long").alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("n"))
+
+
+def feature_correlation(windows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Pearson correlation of each feature with ``target``; 0 with fewer than three rows or where one doesn't vary."""
+    y = F.col(target).cast("double")
+    def one(c: str):
+        x = F.col(c).cast("double")
+        return F.when(F.count(target) >= 3, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(c)
+    pairs = [one(c) for c in features]
+    return windows.agg(*pairs).select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(0.0)).alias("correlation")) for c in features))).alias("x")).select("x.*")
+
+
+def readiness(events: DataFrame, now, seconds: int = 300) -> DataFrame:
+    """New records, completed pairs of window and source, and records whose window isn't over at ``now``."""
+    open_from = F.floor(F.unix_timestamp(now) / seconds)
+    bucket = F.floor(F.unix_timestamp("ts") / seconds)
+    pairs = events.groupBy("src_ip", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    done = F.col("bucket") < open_from
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(done).alias("completed"), F.coalesce(F.sum(F.when(~done, F.col("n"))), F.lit(0)).alias("pending"))
+
+
+def keep_bounded(history: DataFrame, keys: list[str], seq: str, limit: int = 5000) -> DataFrame:
+    """Of stored rows the last of each key, and of these the last ``limit``."""
+    last = Window.partitionBy(*keys).orderBy(F.desc(seq))
+    return history.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth").orderBy(F.desc(seq), *keys).limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
-from tracewell.operators import domains, reports
+from tracewell.operators import correlation, detectors, domains, reports
 from tracewell.operators.events import add_features
 from tracewell.operators.windows import POINTS, build_windows, evaluate_rules, rule_alerts
 from tracewell.schema import FEATURES
@@ -21,7 +21,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     def one(c: str):
         col = F.col(c)
         if kinds[c] == "double":
-            return F.round(col, 6).alias(c)
+            return (F.round(col * 1e6) / 1e6).alias(c)  # in binary, as the other engine rounds
         if kinds[c].startswith("timestamp"):
             return F.date_format(col, TIME).alias(c)
         return F.array_join(col, ",").alias(c) if kinds[c].startswith("array") else (col.cast("bigint").alias(c) if kinds[c] == "int" else col)
@@ -107,9 +107,59 @@ def dns_page_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(pages.select("page_id", "host", D.shannon_entropy(F.col("host")).alias("entropy"), F.size(D.labels(F.col("host"))).alias("label_count"), D.max_label_len(F.col("host")).alias("max_label_len")))
 
 
+def dns_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean round trips of windows in 35 bins, by source."""
+    return reports.histogram(build_windows(_features(spark, sf), DAY), "avg_rtt", 35, "src_ip")
+
+
+def dns_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(detectors.error_thresholds(build_windows(_features(spark, sf), DAY), "avg_rtt", 0.975))
+
+
+def dns_feature_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """How each feature goes with the number of queries."""
+    return _rounded(reports.feature_correlation(build_windows(_features(spark, sf), DAY), FEATURES[1:], "total_queries"))
+
+
+def dns_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.readiness(dns_events(spark, sf), F.to_timestamp(F.lit("2024-01-15 12:02:00")))
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return detectors.scale(build_windows(_features(spark, sf), DAY))
+
+
+def dns_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows, their error, and the ratio of it to the 0.99 quantile of all errors."""
+    scaled = _scaled(spark, sf)
+    scored = detectors.score_reconstruction(scaled, detectors.fit_reconstruction(scaled))
+    limit = detectors.error_thresholds(scored, "reconstruction_error").first().threshold
+    return scored.select("window_start", "src_ip", "reconstruction_error", F.try_divide(F.col("reconstruction_error"), F.lit(limit)).alias("threshold_ratio"), detectors.top_features("residuals", 10).alias("top_features"))
+
+
+def dns_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows, their isolation, its margin over the quantile that leaves out one in a hundred, and its percentile."""
+    scaled = _scaled(spark, sf)
+    scored = detectors.score_isolation(scaled, detectors.fit_isolation(scaled)).select("window_start", "src_ip", "isolation", detectors.top_features("scaled", 8).alias("top_features"))
+    limit = scored.agg(F.percentile("isolation", F.lit(0.99))).first()[0]
+    return detectors.share_not_above(scored, scored, "isolation").withColumn("isolation_score", F.col("isolation") - F.lit(limit))
+
+
+def dns_final_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The three detectors' alerts brought together, with what was suppressed and why."""
+    own = lambda df, prefix: df.withColumn("id", D.stable_id(prefix, D.iso_time(F.col("window_start")), F.col("src_ip")))
+    iso = own(dns_isolation(spark, sf).where("isolation_score >= 0"), "CATF-").withColumn("threat_score", F.lit(None).cast("double"))
+    rec = own(dns_reconstruction(spark, sf).where("threshold_ratio > 1"), "AE-")
+    return correlation.correlate(correlation.evidence(iso, rec, _alerts(spark, sf), correlation.Config(window=DAY)))
+
+
+#: What no SQL can express; tests hold these against plain versions.
+LEARNED = (dns_reconstruction, dns_isolation, dns_final_alerts)
+
 QUERIES = (
     dns_event_features, dns_windows, dns_rules, dns_rule_alerts, dns_suspicious_domains, dns_top_domains, dns_dataset_stats, dns_source_stats, dns_alert_kpis,
     dns_severity_counts, dns_alerts_per_hour, dns_source_report, dns_top_sources, dns_method_counts, dns_scaler, dns_page_hosts,
+    dns_histogram, dns_thresholds, dns_feature_correlation, dns_readiness, *LEARNED,
 )
 
 _EVENTS = """
@@ -169,4 +219,8 @@ SQL = {
     "dns_method_counts": f"WITH {_RULES} SELECT method, count(*) AS alerts FROM (SELECT unnest(fired) AS method FROM a) GROUP BY method",
     "dns_scaler": f"WITH {_WINDOWS} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS std FROM w" for f in FEATURES),
     "dns_page_hosts": "WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '\\.$', '') AS host FROM pages) SELECT page_id, host, round(list_entropy(string_split(host, '')), 6) AS entropy, CAST(len(string_split(host, '.')) AS BIGINT) AS label_count, CAST(list_max(list_transform(string_split(host, '.'), lambda x: length(x))) AS BIGINT) AS max_label_len FROM p",
+    "dns_histogram": f"WITH {_WINDOWS}, x AS (SELECT min(avg_rtt) AS low, max(avg_rtt) AS high FROM w) SELECT src_ip, CAST(least(34, coalesce(floor((avg_rtt - low) / nullif((high - low) / 35, 0)), 0)) AS BIGINT) AS bin, count(*) AS n FROM w, x WHERE avg_rtt IS NOT NULL GROUP BY ALL",
+    "dns_thresholds": f"WITH {_WINDOWS} SELECT round(quantile_cont(avg_rtt, 0.95), 6) AS p95, round(quantile_cont(avg_rtt, 0.99), 6) AS p99, round(quantile_cont(avg_rtt, 0.975), 6) AS threshold, round(avg(avg_rtt) + 3 * stddev_pop(avg_rtt), 6) AS mean_3std FROM w",
+    "dns_feature_correlation": f"WITH {_WINDOWS} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(coalesce(CASE WHEN var_pop({f}) > 0 THEN corr({f}, total_queries) END, 0), 6) AS correlation FROM w" for f in FEATURES[1:]),
+    "dns_readiness": f"WITH {_EVENTS}, p AS (SELECT src_ip, floor(epoch(ts) / 300) AS bucket, count(*) AS n FROM e GROUP BY ALL), d AS (SELECT *, bucket < floor(epoch(TIMESTAMP '2024-01-15 12:02:00') / 300) AS done FROM p) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS records, count(*) FILTER (WHERE done) AS completed, CAST(coalesce(sum(n) FILTER (WHERE NOT done), 0) AS BIGINT) AS pending FROM d",
 }

@@ -21,6 +21,37 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(RAW).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
 
 
+def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Tab-separated records whose columns the file's own ``#fields`` line names; ``#separator`` may name another separator, as ``\\x09``.
+
+    Short rows are padded with the null marker ``-``, long rows are cut, and files without a ``#fields`` line give no rows. Columns are text, as in `read_json`.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    named = F.regexp_extract("value", r"^#separator\s+(\S+)", 1)
+    sep = F.when(named.startswith("\\x"), F.decode(F.unhex(F.substring(named, 3, 2)), "UTF-8")).otherwise(named)
+    heads = lines.where(F.col("value").startswith("#")).groupBy("file").agg(
+        F.coalesce(F.max(F.when(named != "", sep)), F.lit("\t")).alias("sep"), F.min(F.when(F.col("value").startswith("#fields"), F.col("value"))).alias("head")
+    ).where("head is not null")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).join(heads, "file")
+    parts = lambda c: F.split(F.col(c), F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1)
+    split = rows.select(F.array_distinct(F.slice(parts("head"), 2, 10_000)).alias("names"), parts("value").alias("found"))
+    padded = F.transform("names", lambda _, i: F.coalesce(F.get("found", i), F.lit("-")))
+    record = split.select(F.map_from_arrays("names", padded).alias("r"))
+    return record.select(*(F.col("r").getItem(n).alias(n) for n in RAW.names))
+
+
+def source_manifest(spark: SparkSession, root: str, pattern: str = "dns*") -> DataFrame:
+    """Path, size and time of change of every file below ``root``, oldest first. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"[.](log|log[.]gz|json|jsonl)$")).orderBy("modificationTime", "path")
+
+
+def manifest_signature(manifest: DataFrame) -> str:
+    """One SHA-256 for a manifest: it changes when a file is added, removed or rewritten. The row of each file is a digest of fixed length."""
+    each = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime").cast("string")), 256)
+    return manifest.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ","), 256)).first()[0]
+
+
 def write_events(df: DataFrame, path: str) -> None:
     """JSON lines in the order of time."""
     df.orderBy("ts").write.mode("overwrite").json(path)

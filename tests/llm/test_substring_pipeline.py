@@ -3,7 +3,7 @@ import random
 
 import corpus_pipeline
 from llm.queries import op6_substring_dedup
-from llm.substring_dedup import remove_repeats, segments
+from llm.substring_dedup import Automaton, remove_repeats, segments
 from tests.llm import brute
 
 
@@ -17,6 +17,13 @@ def test_segments_cover_each_window_once_and_depend_on_content():
     assert all(own[100 + int(s) + k] == int(p) for p, s, c in zip(inner[0], inner[2], inner[3]) for k in range(int(c)))
 
 
+def test_automaton_finds_every_occurrence_of_earlier_owners_only():
+    found = Automaton({b"a b c": 1, b"b c": 7, b"x": 3})
+    assert found.covered(b"b c a b c z x a b".split(), 5).tolist() == [False, False, True, True, True, False, True, False, False]
+    assert found.covered(b"b c a b c".split(), 8).tolist() == [True] * 5
+    assert found.covered(b"b c".split(), 7) is None and found.covered([], 9) is None
+
+
 def check(rows, got):
     gone = brute.removed_words(rows)
     for k, (ident, text) in enumerate(rows):
@@ -30,6 +37,8 @@ def test_against_brute_force(spark):
     new = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(n)]
     passages = [new(n) for n in (49, 50, 51, 60, 120, 400)]
     rows = [(i, " ".join(sum((rng.choice(passages)[rng.choice([0, 0, 3]) :] if rng.random() < 0.6 else new(rng.randint(0, 60)) for _ in range(5)), []))) for i in rng.sample(range(500), 60)]
+    again = new(90)
+    rows += [(600, " ".join(new(9) + again)), (601, " ".join(again + new(70) + again)), (602, " ".join(again[5:] + again[:70] + again)), (603, " ".join(again[20:75]))]
     rows += [(900, "x " * 200), (901, "x " * 130), (902, None), (903, ""), (904, " ".join(new(30000))), (905, "é\x85 " * 60)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, print int")
     got = {r.id: (r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df).collect()}

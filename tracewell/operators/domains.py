@@ -35,3 +35,12 @@ def suspicious_domains(events: DataFrame, size: str = "5 minutes", top: int = 20
     order = [F.desc("suspicion_score"), F.desc("count"), F.desc("unique_answer_ips"), F.round("max_entropy", 9).desc(), F.desc("max_query_len")]
     ranked = F.row_number().over(Window.partitionBy("window_start", "src_ip").orderBy(*order, "query"))
     return grouped.withColumn("suspicion_score", score).withColumn("rank", ranked).where(F.col("rank") <= top)
+
+
+def context_domains(events: DataFrame, found: DataFrame, size: str = "5 minutes", top: int = 10) -> DataFrame:
+    """For windows and sources without a suspicious domain: their ``top`` domains by queries, ties by name."""
+    window = F.window("ts", size).getField("start").alias("window_start")
+    counts = events.where("query_clean != ''").groupBy(window, "src_ip", F.col("query_clean").alias("query")).agg(F.count("*").alias("count"))
+    bare = counts.join(found.select("window_start", "src_ip").distinct(), ["window_start", "src_ip"], "left_anti")
+    ranked = F.row_number().over(Window.partitionBy("window_start", "src_ip").orderBy(F.desc("count"), "query"))
+    return bare.withColumn("rank", ranked).where(F.col("rank") <= top).withColumns({"reasons": F.array(F.lit("isolation_window_context")), "suspicion_score": F.lit(0)})

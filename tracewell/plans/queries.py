@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
-from tracewell.operators import correlation, detectors, domains, reports
+from tracewell.operators import correlation, detectors, domains, gates, reports, store
 from tracewell.operators.events import add_features
 from tracewell.operators.windows import POINTS, build_windows, evaluate_rules, rule_alerts
 from tracewell.schema import FEATURES
@@ -153,13 +153,48 @@ def dns_final_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return correlation.correlate(correlation.evidence(iso, rec, _alerts(spark, sf), correlation.Config(window=DAY)))
 
 
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule alerts with their suspicious domains."""
+    methods = F.map_from_arrays("heuristics_fired", F.transform("heuristics_fired", lambda _: F.lit(True)))
+    alerts = _alerts(spark, sf).withColumn("detection_methods", methods)
+    return store.with_domains(alerts, domains.suspicious_domains(_features(spark, sf), DAY))
+
+
+def dns_alert_store(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(store.stored_alerts(_listed(spark, sf)).select("alert_uid", "window_start", "src_ip", "alert_type", "status", "threat_score", "severity"))
+
+
+def dns_alert_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(store.stored_domains(_listed(spark, sf)).select("alert_uid", "query", "count", "reasons", "suspicion_score", "max_entropy", "max_query_len"))
+
+
+def dns_linked_domains(spark: SparkSession, sf: str) -> DataFrame:
+    listed = _listed(spark, sf)
+    return _rounded(store.linked_domains(store.stored_domains(listed), store.stored_alerts(listed)))
+
+
+def dns_context_domains(spark: SparkSession, sf: str) -> DataFrame:
+    events = _features(spark, sf)
+    found = domains.context_domains(events, domains.suspicious_domains(events, DAY), DAY)
+    return _rounded(found.select("window_start", "src_ip", "query", "count", "rank"))
+
+
+def dns_training_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.training_gate(build_windows(_features(spark, sf), DAY), FEATURES).drop("reason")
+
+
+def dns_time_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(gates.time_gate(dns_events(spark, sf)).drop("reason"))
+
+
 #: What no SQL can express; tests hold these against plain versions.
 LEARNED = (dns_reconstruction, dns_isolation, dns_final_alerts)
 
 QUERIES = (
     dns_event_features, dns_windows, dns_rules, dns_rule_alerts, dns_suspicious_domains, dns_top_domains, dns_dataset_stats, dns_source_stats, dns_alert_kpis,
     dns_severity_counts, dns_alerts_per_hour, dns_source_report, dns_top_sources, dns_method_counts, dns_scaler, dns_page_hosts,
-    dns_histogram, dns_thresholds, dns_feature_correlation, dns_readiness, *LEARNED,
+    dns_histogram, dns_thresholds, dns_feature_correlation, dns_readiness,
+    dns_alert_store, dns_alert_domains, dns_linked_domains, dns_context_domains, dns_training_gate, dns_time_gate, *LEARNED,
 )
 
 _EVENTS = """
@@ -200,6 +235,8 @@ g AS (SELECT date_trunc('day', ts) AS ws, src_ip, query_clean AS query, count(*)
  min(ttl_event) AS ttl_min, avg(ttl_event) AS ttl_avg, list_sort(list_distinct(flatten(list(rs)))) AS reasons FROM m WHERE len(rs) > 0 GROUP BY ALL),
 s AS (SELECT *, """ + " + ".join(f"CASE WHEN list_contains(reasons, '{n}') THEN {p} ELSE 0 END" for n, _, p in domains.REASONS) + """ AS suspicion_score FROM g),
 d AS (SELECT *, row_number() OVER (PARTITION BY ws, src_ip ORDER BY suspicion_score DESC, count DESC, unique_answer_ips DESC, round(max_entropy, 9) DESC, max_query_len DESC, query) AS rank FROM s QUALIFY rank <= 20)"""
+_STORE = _RULES + _DOMAINS[len(_EVENTS):] + """, st AS (SELECT a.ws, a.src_ip, id AS alert_uid, window_start, severity, CAST(least(100, score + CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.ws = a.ws AND d.src_ip = a.src_ip) THEN 15 ELSE 0 END) AS BIGINT) AS threat_score FROM
+ (SELECT *, 'HEUR-' || upper(substr(sha256('heuristics|' || strftime(ws, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || src_ip || '|' || heuristics_fired), 1, 20)) AS id FROM a) a)"""
 _R = lambda c: f"round({c}, 6) AS {c}"
 
 SQL = {
@@ -223,4 +260,10 @@ SQL = {
     "dns_thresholds": f"WITH {_WINDOWS} SELECT round(quantile_cont(avg_rtt, 0.95), 6) AS p95, round(quantile_cont(avg_rtt, 0.99), 6) AS p99, round(quantile_cont(avg_rtt, 0.975), 6) AS threshold, round(avg(avg_rtt) + 3 * stddev_pop(avg_rtt), 6) AS mean_3std FROM w",
     "dns_feature_correlation": f"WITH {_WINDOWS} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(coalesce(CASE WHEN var_pop({f}) > 0 THEN corr({f}, total_queries) END, 0), 6) AS correlation FROM w" for f in FEATURES[1:]),
     "dns_readiness": f"WITH {_EVENTS}, p AS (SELECT src_ip, floor(epoch(ts) / 300) AS bucket, count(*) AS n FROM e GROUP BY ALL), d AS (SELECT *, bucket < floor(epoch(TIMESTAMP '2024-01-15 12:02:00') / 300) AS done FROM p) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS records, count(*) FILTER (WHERE done) AS completed, CAST(coalesce(sum(n) FILTER (WHERE NOT done), 0) AS BIGINT) AS pending FROM d",
+    "dns_alert_store": f"WITH {_STORE} SELECT alert_uid, window_start, src_ip, 'anomaly_candidate' AS alert_type, 'New' AS status, threat_score, CASE WHEN threat_score >= 75 THEN 'high' WHEN threat_score >= 50 THEN 'medium' WHEN threat_score >= 25 THEN 'low' ELSE severity END AS severity FROM st",
+    "dns_alert_domains": f"WITH {_STORE} SELECT alert_uid, query, count, array_to_string(reasons, ',') AS reasons, CAST(suspicion_score AS BIGINT) AS suspicion_score, {_R('max_entropy')}, max_query_len FROM d JOIN st USING (ws, src_ip)",
+    "dns_linked_domains": f"WITH {_STORE} SELECT query AS domain, count(DISTINCT alert_uid) AS linked_alerts, CAST(sum(count) AS BIGINT) AS observed_queries, CAST(max(suspicion_score) AS BIGINT) AS max_suspicion_score, round(max(max_entropy), 4) AS max_entropy, max(window_start) AS latest_alert FROM d JOIN st USING (ws, src_ip) GROUP BY query ORDER BY 4 DESC, 2 DESC, 3 DESC, 1 LIMIT 20",
+    "dns_context_domains": f"WITH {_DOMAINS}, c AS (SELECT date_trunc('day', ts) AS ws, src_ip, query_clean AS query, count(*) AS count FROM e WHERE query_clean <> '' GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY ws, src_ip ORDER BY count DESC, query) AS rank FROM c ANTI JOIN d USING (ws, src_ip) QUALIFY rank <= 10) SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, src_ip, query, count, CAST(rank AS BIGINT) AS rank FROM f",
+    "dns_training_gate": f"WITH {_WINDOWS} SELECT count(*) AS windows, count(DISTINCT src_ip) AS sources, count(*) FILTER (WHERE ws IS NULL OR trim(coalesce(src_ip, '')) = '') AS blank_keys, count(*) FILTER (WHERE {' OR '.join(f'NOT coalesce(isfinite(CAST({f} AS DOUBLE)), false)' for f in FEATURES)}) AS bad_rows, count(*) >= 50 AND blank_keys = 0 AND bad_rows = 0 AS passed FROM w",
+    "dns_time_gate": f"WITH {_EVENTS} SELECT count(*) AS records, count(*) FILTER (WHERE NOT coalesce(year(ts) BETWEEN 2000 AND 2099, false)) AS invalid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 86400, 6) AS span_days, count(*) > 0 AND invalid = 0 AND span_days <= 3660 AS passed FROM e",
 }

@@ -13,7 +13,7 @@ from llm._common import materialize
 from llm.best_fit_packing import pack
 from llm.line_dedup import dedup_lines
 from llm.mixture_sampling import mix
-from llm.simhash_golay import drop_near_duplicates
+from llm.shingle_jaccard import drop_similar
 from llm.toxicity import drop_toxic, fit, held_out
 
 #: SQL can't express these stages; tests hold them against plain versions.
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document of the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of documents linked at a Jaccard similarity of 0.8 or more over five-word shingles that of the smallest id stays."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,11 +159,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id. All columns stay as they are.
+    """One row of each group of near-duplicates: that of the smallest id, as ``keep_first`` says."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, shingle, seed), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of each component's smallest id, for ``id`` and ``component_id`` of every row. All columns stay as they are.
 
     Rows that repeat an id count as one document, of which the smallest text stays (null before others).
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, seed)
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())

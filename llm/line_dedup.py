@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from llm._common import materialize
 
-#: Lines with fewer words stay, so that one edit leaves at least four fifths of a line.
+#: Lines with fewer words have no neighbourhood, so that one edit leaves at least four fifths of a line. Equality counts for all lines with a word.
 LEAST = 5
 
 
@@ -66,23 +66,24 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``id, print, line, h, keys``: each line with enough words, its hash and the keys of its halves."""
+    """``id, print, line, h, keys``: each line with a word, its hash and the keys of its halves, none if it is short."""
 
     def batches(it):
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                rows, lines, hashes, keys = [], [], [], []
+                rows, lines, hashes, keys, ends = [], [], [], [], [0]
                 for row, text in enumerate(batch.column("text").to_pylist()):
                     for k, line in enumerate((text or b"").split(b"\n")):
                         words = line.split()
-                        if len(words) >= LEAST:
+                        if words:
                             rows.append(row)
                             lines.append(k)
                             hashes.append(_digest(words))
-                            keys += halves(words)
+                            keys += halves(words) if len(words) >= LEAST else []
+                            ends.append(len(keys))
                 taken = pa.array(rows, pa.int64())
-                offsets = pa.array(np.arange(0, len(keys) + 1, 4, dtype=np.int32))
+                offsets = pa.array(ends, pa.int32())
                 yield pa.record_batch(
                     [batch.column("id").take(taken), batch.column("print").take(taken), pa.array(lines, pa.int32()), _signed(hashes), pa.ListArray.from_arrays(offsets, _signed(keys))],
                     ["id", "print", "line", "h", "keys"],
@@ -132,8 +133,9 @@ def near_lines(contents: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with duplicate lines taken out of the text, and ``n_lines`` and ``n_removed``.
 
-    Lines end at ``\\n``; words are separated by ASCII white space. A line of at least five words goes if an earlier line, kept or not, of its own or another
-    document is equal or within one word edit; documents are in the order of their ids, null last, then of a hash of the text. Shorter lines stay.
+    Lines end at ``\\n``; words are separated by ASCII white space. A line goes if an earlier line, kept or not, of its own or another
+    document has equal words, or if both have at least five words and are within one word edit; documents are in the order of their ids, null last, then of a hash of the text.
+    Lines without words stay.
     Null text stays null, with no lines; a text whose lines are all removed becomes empty. Rows that repeat an id and a text count as one document
     and are treated alike. Other columns stay; those named like the new ones are replaced. An empty table gives no rows.
     """

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -38,11 +38,60 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet to the shared folder and read them again, which cuts the lineage."""
+    """Write the rows as Parquet to the shared folder and read them again, which cuts the lineage. `discard` deletes such a table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have in any spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        k = 0
+        while (made := f"_{n}{k or ''}").lower() in taken:
+            k += 1
+        taken.add(made.lower())
+        out.append(made)
+    return out
+
+
+def one_of_equals(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the first by all other columns that have an order. Equal keys are thinned out before the shuffle."""
+    (nth,) = fresh(docs, "nth")
+    ordered = [f.name for f in docs.schema.fields if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy(*keys).orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in ordered or keys))
+    return docs.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+
+
+#: A key with more than one in `PARTS` of a side's rows is dealt out over several tasks; there are at most `PARTS` such keys.
+PARTS = 200
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, all keys of ``left`` that matter, and how many rows of ``left`` have the key.
+
+    Keys with many rows are split by a salt, and their row of ``right`` is repeated for each part. Only these keys and their number of
+    parts are broadcast, at most `PARTS` rows. ``right`` is read twice and should be a written table. The column ``count`` isn't in the result.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    least = max(1000.0, total / PARTS)
+    heavy = F.broadcast(right.where(F.col(count) > least).select(*on, F.ceil(F.col(count) / least).cast("int").alias("_parts")))
+    dealt = left.join(heavy, on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).cast("int")).drop("_parts")
+    parts = F.when(F.col(count) > least, F.ceil(F.col(count) / least)).otherwise(1).cast("int")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(repeated, [*on, "_salt"]).drop("_salt")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -78,7 +127,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen.n:
             break
-        now = materialize(star(star(now, True), False), "links")
+        last, now = now, materialize(star(star(now, True), False), "links")
+        discard(last)
         was, seen = seen, now.agg(print_of).first()[0]
         if was == seen:
             break

@@ -54,7 +54,7 @@ class WordEncoder:
         """A word as lower-cased letters and one mark after them, which the tokenizer cuts too; other words stay whole."""
         low = word if "\u03a3" in word else word.lower()
         core, tail = (low[:-1], low[-1]) if low[-1:] in _MARKS and len(low) > 1 else (low, "")
-        return (core, tail) if core.isalpha() else (word, "")
+        return (core, tail) if core.isalpha() and core.lower().isalpha() else (word, "")
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words of letters are encoded in one go and told apart by the ids that end a word."""
@@ -203,12 +203,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, i
     """Pieces with ``sequence_id`` and ``offset``: their place in sequences of at most ``length`` tokens, without gaps.
 
     Null text counts as empty, so such a document is the end id alone. Rows with equal or null ids are packed each on its own.
-    An empty table gives no rows. Other columns of ``docs`` are ignored.
+    An empty table gives no rows. Other columns of ``docs``, those named like the result's included, are ignored. Pieces are dealt to groups by their contents and their
+    place in the table of pieces, so that rows that repeat each other don't meet in one group.
     """
     cut = materialize(pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
     n = cut.count()
     groups = max(1, -(-n // group))
-    salted = cut.withColumn("_group", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(9)), F.lit(groups)).cast("long"))
+    salted = cut.withColumn("_group", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

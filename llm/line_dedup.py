@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import materialize
+from llm._common import discard, fresh, join_counted, materialize
 
 #: Lines with fewer words have no neighbourhood, so that one edit leaves at least four fifths of a line. Equality counts for all lines with a word.
 LEAST = 5
@@ -115,19 +115,25 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_lines(contents: DataFrame) -> DataFrame:
     """``h`` of every distinct line that has an earlier one within one word edit, for ``h``, ``pos`` and ``content``.
 
-    ``pos`` orders the lines. The witness is the earliest line of an equal key, and its distance is verified.
+    ``pos`` orders the lines. The witness is the earliest line of an equal key, and its distance is verified. A key that very many lines share is
+    brought together with its earliest lines in parts.
     """
     made = materialize(_variants(contents), "variants")
-    shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    some = materialize(made.join(shared, "key").join(contents.select("h", "pos"), "h").select("h", "key", "place", F.struct("pos", "h").alias("me")), "shared")
-    of_place = some.groupBy("key", "place").agg(F.min("me").alias("at_place"))
-    of_key = some.groupBy("key").agg(F.min(F.when(F.col("place") < 0, F.col("me"))).alias("itself"), F.min(F.when(F.col("place") >= 0, F.col("me"))).alias("shortened"))
+    shared = materialize(made.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "shared_keys")
+    some = materialize(join_counted(made, shared, ["key"], "rows").join(contents.select("h", "pos"), "h").select("h", "key", "place", F.struct("pos", "h").alias("me")), "shared")
+    discard(made, shared)
+    of_place = materialize(some.groupBy("key", "place").agg(F.min("me").alias("at_place"), F.count("*").alias("rows")), "places")
+    earliest = lambda on: F.min(F.when(on, F.col("at_place")))
+    of_key = of_place.groupBy("key").agg(earliest(F.col("place") < 0).alias("itself"), earliest(F.col("place") >= 0).alias("shortened"), F.sum("rows").alias("rows"))
+    of_key = materialize(of_key, "keys")
     witness = F.when(F.col("place") < 0, F.col("shortened")).otherwise(F.least("itself", "at_place"))
-    told = some.join(of_place, ["key", "place"]).join(of_key, "key").withColumn("witness", witness).where("witness.pos < me.pos")
+    told = join_counted(join_counted(some, of_place, ["key", "place"], "rows"), of_key, ["key"], "rows").withColumn("witness", witness).where("witness.pos < me.pos")
     pairs = told.select("h", F.col("witness.h").alias("other")).distinct()
     texts = contents.select("h", "content")
     both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("content").alias("_other")), "other")
-    return both.where(F.pandas_udf(_near, "boolean")("content", "_other")).select("h").distinct()
+    near = materialize(both.where(F.pandas_udf(_near, "boolean")("content", "_other")).select("h").distinct(), "near_lines")
+    discard(some, of_place, of_key)
+    return near
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,26 +143,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document has equal words, or if both have at least five words and are within one word edit; documents are in the order of their ids, null last, then of a hash of the text.
     Lines without words stay.
     Null text stays null, with no lines; a text whose lines are all removed becomes empty. Rows that repeat an id and a text count as one document
-    and are treated alike. Other columns stay; those named like the new ones are replaced. An empty table gives no rows.
+    and are treated alike. Other columns stay; those named ``n_lines`` and ``n_removed`` are replaced. An empty table gives no rows.
     """
-    named = docs.withColumn("_id", F.col(id_col)).withColumn("_print", F.xxhash64(F.col(text_col)))
-    slim = named.select(F.col("_id").alias("id"), F.col("_print").alias("print"), F.col(text_col).cast("binary").alias("text"))
+    ident, print_of, gone_of = fresh(docs, "id", "print", "gone")
+    named = docs.withColumn(ident, F.col(id_col)).withColumn(print_of, F.xxhash64(F.col(text_col)))
+    slim = named.select(F.col(ident).alias("id"), F.col(print_of).alias("print"), F.col(text_col).cast("binary").alias("text"))
     where = F.struct(F.col("id").isNull().alias("last"), "id", "print", "line").alias("pos")
     lines = materialize(_lines(slim), "lines")
-    first = materialize(lines.groupBy("h").agg(F.min(where).alias("pos")), "first")
+    first = materialize(lines.groupBy("h").agg(F.min(where).alias("pos"), F.count("*").alias("rows")), "first")
     keyed = lines.select("h", F.explode("keys").alias("key"))
-    common = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key")
-    doubtful = keyed.join(common, "key").select("h").distinct()
+    common = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("rows")).where("a != b").select("key", "rows")
+    common = materialize(common, "common_halves")
+    doubtful = join_counted(keyed, common, ["key"], "rows").select("h").distinct()
     listed = first.join(doubtful, "h").groupBy("pos.id", "pos.print").agg(F.collect_list(F.struct(F.col("pos.line").alias("line"), "h", "pos")).alias("which"))
     found = slim.join(listed, (slim["print"] == listed["print"]) & slim["id"].eqNullSafe(listed["id"])).select(F.split(F.col("text").cast("string"), "\n").alias("split"), F.explode("which").alias("w"))
     contents = materialize(found.select("w.h", "w.pos", F.get("split", F.col("w.line")).cast("binary").alias("content")).dropDuplicates(["h"]), "contents")
-    near = near_lines(contents).withColumn("near", F.lit(True))
-    fate = first.join(near, "h", "left").select("h", F.col("pos").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h", where).join(fate, "h").where("near or pos != kept")
-    by_doc = gone.groupBy("pos.id", "pos.print").agg(F.collect_set("pos.line").alias("_gone"))
-    out = named.join(by_doc, (F.col("_print") == by_doc["print"]) & F.col("_id").eqNullSafe(by_doc["id"]), "left").drop(by_doc["id"], by_doc["print"])
+    near = near_lines(contents)
+    fate = first.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", F.col("pos").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"), "rows").where("near or rows > 1")
+    fate = materialize(fate, "fate")
+    gone = join_counted(lines.select("h", where), fate, ["h"], "rows").where("near or pos != kept")
+    by_doc = gone.groupBy(F.col("pos.id").alias("_i"), F.col("pos.print").alias("_p")).agg(F.collect_set("pos.line").alias(gone_of))
+    by_doc = materialize(by_doc, "gone")
+    discard(lines, first, common, contents, near, fate)
+    out = named.join(by_doc, (named[print_of] == by_doc["_p"]) & named[ident].eqNullSafe(by_doc["_i"]), "left").select(*named.columns, gone_of)
     split = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")))
-    return out.withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col))).drop("_id", "_print", "_gone")
+    kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains(F.col(gone_of), k)), "\n")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size(split), F.lit(0))).cast("long")
+    out = out.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size(gone_of), F.lit(0)).cast("long")})
+    return out.withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col))).drop(ident, print_of, gone_of)

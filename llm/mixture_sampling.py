@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: int = 5, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """``id, size, source, source_size, target, copies, taken`` of every row.
 
-    ``copies`` is how often the document is in the mix, at most ``epochs`` times, and ``taken`` the words that makes.
+    ``copies`` is how often the document is in the mix, at most ``epochs`` times, also if it has no words, and ``taken`` the words that makes.
     ``quality`` is a positive weight, by default `text_quality`. Null and empty texts have size 0 and take part with 0 words. A null source is
     a source of its own, the last. Equal ids get equal keys, ties fall to the smaller id (null first), then the smaller size; repeated rows
     are each a document. An empty table gives no rows.
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, se
     same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     cuts = summed.select("source", "bucket", (prefix - F.col("bucket_size")).alias("below"), prefix.alias("upto"))
     cuts = cuts.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    place = F.when(F.col("upto") <= F.col("rest"), "all").when(F.col("below") >= F.col("rest"), "none").otherwise("cut")
+    place = F.when(F.col("below") >= F.col("rest"), "none").when(F.col("upto") <= F.col("rest"), "all").otherwise("cut")
     cuts = materialize(cuts.withColumn("place", place), "cuts")
     known = cuts.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "below", "place", "source_size", "target", "whole", "rest")
     joined = sized.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))

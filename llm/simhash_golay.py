@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import connected_components, materialize
+from llm._common import connected_components, discard, join_counted, materialize
 
 #: Widths of the segments, from the lowest bit.
 SEGMENTS = (23, 23, 18)
@@ -60,35 +60,40 @@ def fuzzy_keys(words: np.ndarray, width: int) -> np.ndarray:
     return golay_index(words.astype(np.uint32)[:, None] ^ flips[None, :])
 
 
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, in blocks, so that the bits of a very long text stay small."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 20_000):
+        block = np.ascontiguousarray(hashes[at : at + 20_000]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; zero without hashes."""
+    return int(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of the whole text: a bit is set if it is set in over half of the shingles' hashes."""
+    """SimHash of the whole text: the majority of its shingles' hashes."""
     words = (text or b"").lower().split()
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
-    hashed = xxhash.xxh64_intdigest
-    counts, at = np.zeros(64, dtype=np.int64), 0
-    while at < n:  # in blocks, so that the bits of a very long text stay small
-        to = min(n, at + 20_000)
-        block = words[at : to + shingle - 1]
-        grams = map(b" ".join, zip(*(block[i:] for i in range(shingle)), strict=False)) if len(block) >= shingle else [b" ".join(block)]
-        values = np.fromiter((hashed(g, seed) for g in grams), dtype="<u8", count=to - at)
-        counts += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at = to
-    bits = counts * 2 > n
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype="<u8", count=n))
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """Fingerprint of every row: ``id`` and ``fp``, a signed long of the 64 bits. Null or empty text: zero."""
+    """Fingerprint of every row: ``id``, a hash ``text_print`` of the text, and ``fp``, a signed long of the 64 bits. Null or empty text: zero."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(it):
         for batch in it:
-            values = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["id", "text_print", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(batches, f"id {kind}, fp long")
+    return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col).cast("binary")).mapInArrow(batches, f"id {kind}, text_print long, fp long")
 
 
 def _keys(batches):
@@ -136,7 +141,20 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     near = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
     hub = near.groupBy("centre").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b != top").select("centre", "b")
     stars = near.join(hub, "centre").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-    return pairs.unionByName(stars)
+    out = materialize(pairs.unionByName(stars), "golay_links")
+    discard(keys)
+    return out
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``id``, ``text_print``, ``fp``, ``root``, ``component_id`` of every row."""
+    prints = materialize(simhash(docs, id_col, text_col, shingle, seed), "simhash")
+    first = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "fingerprints")
+    roots = connected_components(links(first.select("fp")))
+    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    owner = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = materialize(rooted.join(owner, "root").select("fp", "root", "component_id", "rows"), "simhash_classes")
+    return join_counted(prints, classes, ["fp"], "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -147,28 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, null if it has none. Repeated rows stay, each with the same result; an empty table gives an empty result; columns other than
     the two named are ignored.
     """
-    prints = materialize(simhash(docs, id_col, text_col, shingle, seed), "simhash")
-    first = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    roots = connected_components(links(first.select("fp")))
-    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    owner = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(owner, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
-
+    return _classes(docs, id_col, text_col, shingle, seed).select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id, as ``keep_first`` says."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, shingle, seed), id_col, text_col)
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, similar: bool = False) -> DataFrame:
+    """One row of each group of near-duplicates: of the smallest id, null last, and then of the smallest hash of the text. All columns stay as they are.
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of each component's smallest id, for ``id`` and ``component_id`` of every row. All columns stay as they are.
-
-    Rows that repeat an id count as one document, of which the smallest text stays (null before others).
+    Documents link by their fingerprints' bits; with ``similar`` by a Jaccard similarity of 4/5 or more, for which fingerprints only propose. Texts under one id, or without
+    an id, are judged each by itself; rows that repeat id and text are one document. An empty table gives no rows.
     """
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    from llm import shingle_jaccard as jaccard
+
+    if similar:
+        return jaccard.drop_similar(docs, id_col, text_col, shingle)
+    return jaccard.keep_one(docs, _classes(docs, id_col, text_col, shingle, seed), id_col, text_col)

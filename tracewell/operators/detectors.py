@@ -1,4 +1,4 @@
-"""Learned detectors on window features: a rank-k reconstruction and an isolation forest. Both are fitted on bounded samples and score every window."""
+"""Learned detectors on window features: a rank-k reconstruction and an isolation forest. Both see every window when they are fitted, and score every window."""
 
 from __future__ import annotations
 
@@ -8,52 +8,113 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import dns as D
 from tracewell.operators.reports import scaler
 from tracewell.schema import FEATURES
 
-#: Rows that trees draw their samples from, at most.
-POOL = 20_000
 BUCKETS = 4096
+#: Values that a quantile's interval may hold when they are fetched.
+FEW = 1000
 
 
-def scale(windows: DataFrame, like: DataFrame | None = None, features: list[str] = FEATURES) -> DataFrame:
-    """Adds ``scaled``: z-scores of the features by the mean and population deviation of ``like``; 0 where a feature doesn't vary or is missing."""
-    stats = {r.feature: r for r in scaler(windows if like is None else like, features).collect()}  # a row for each feature
+def scale_by(windows: DataFrame, scaling: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """Adds ``scaled``: z-scores of the features by a table of ``feature, mean, std``; 0 where a feature doesn't vary or is missing."""
+    stats = {r.feature: r for r in scaling.collect()}  # a row for each feature
     def one(c: str) -> Column:
         mean, std = stats[c].mean, stats[c].std
         return F.coalesce((F.col(c) - mean) / std, F.lit(0.0)) if std else F.lit(0.0)
     return windows.withColumn("scaled", F.array(*map(one, features)))
 
 
+def scale(windows: DataFrame, like: DataFrame | None = None, features: list[str] = FEATURES) -> DataFrame:
+    """Adds ``scaled`` by the mean and population deviation of ``like``, or of the windows themselves."""
+    return scale_by(windows, scaler(windows if like is None else like, features), features)
+
+
+def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Quantiles with linear interpolation, exactly; nulls and NaN are left out, and without values all are None.
+
+    Each pass counts the values of the intervals that hold the wanted ranks in `BUCKETS` equal buckets, and narrows every interval to the
+    one bucket that holds its rank, until it has `FEW` values or one. No task sorts all values, and the driver gets counts of bounded number.
+    """
+    x = F.col(col)
+    values = values.select(x.cast("double").alias(col)).where(x.isNotNull() & ~F.isnan(x))
+    n, low, high = values.agg(F.count("*"), F.min(col), F.max(col)).first()
+    if not n:
+        return [None] * len(shares)
+    places = [p * (n - 1) for p in shares]
+    held = {r: (low, high, 0, n) for p in places for r in (int(np.floor(p)), int(np.ceil(p)))}  # rank: low, high, values below, values in it
+    while wide := sorted({h for h in held.values() if h[0] < h[1] and h[3] > FEW}):
+        parts = [F.when(x.between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.lit(BUCKETS - 1), F.floor((x - a) / (b / BUCKETS - a / BUCKETS))).cast("int").alias("bucket"))) for k, (a, b, _, _) in enumerate(wide)]
+        rows = values.select(F.coalesce(*parts).alias("p"), col).where("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.min(col).alias("a"), F.max(col).alias("b")).orderBy("p").collect()
+        after = {}
+        for k, (a, b, below, size) in enumerate(wide):
+            for r in (r for r in rows if r.p.k == k):
+                for rank in (i for i, h in held.items() if h == (a, b, below, size) and below <= i < below + r.n):
+                    after[rank] = (r.a, r.b, below, r.n)
+                below += r.n
+        held |= after
+    found = {i: h[0] for i, h in held.items() if h[0] == h[1]}
+    narrow = {h for h in held.values() if h[0] < h[1]}
+    inside = F.lit(False)
+    for a, b, _, _ in narrow:
+        inside = inside | x.between(a, b)
+    few = np.array(sorted(r[0] for r in values.where(inside).collect())) if narrow else np.empty(0)  # at most two intervals a quantile
+    for i, (a, b, below, _) in held.items():
+        if a < b:
+            found[i] = float(few[np.searchsorted(few, a) + i - below])
+    return [found[int(np.floor(p))] + (found[int(np.ceil(p))] - found[int(np.floor(p))]) * (p - np.floor(p)) for p in places]
+
+
 def error_thresholds(scores: DataFrame, col: str, chosen: float = 0.99) -> DataFrame:
-    """Exact quantiles 0.95, 0.99 and the chosen one, with linear interpolation, and the mean plus three population deviations."""
-    q = lambda p: F.percentile(col, F.lit(p))
-    return scores.agg(q(0.95).alias("p95"), q(0.99).alias("p99"), q(chosen).alias("threshold"), (F.avg(col) + 3 * F.stddev_pop(col)).alias("mean_3std"))
+    """Exact quantiles 0.95, 0.99 and the chosen one, with linear interpolation, and the mean plus three population deviations, in one row."""
+    p95, p99, threshold = (None if q is None else float(q) for q in exact_quantiles(scores, col, (0.95, 0.99, chosen)))
+    of = lambda v, n: F.lit(v).cast("double").alias(n)
+    return scores.agg((F.avg(col) + 3 * F.stddev_pop(col)).alias("mean_3std")).select(of(p95, "p95"), of(p99, "p99"), of(threshold, "threshold"), "mean_3std")
+
+
+def split(rows: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), share: int = 80, seed: int = 42) -> Column:
+    """``train`` or ``validation`` by a digest of the keys, so that the split is the same however rows are partitioned."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(D.iso_time(F.col(k)) if rows.schema[k].dataType.typeName().startswith("timestamp") else F.col(k).cast("string") for k in keys))
+    return F.when(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100 < share, "train").otherwise("validation")
 
 
 def fit_reconstruction(scaled: DataFrame, k: int = 12) -> np.ndarray:
-    """The ``k`` principal components of the scaled features, as columns."""
+    """The ``k`` principal components of the scaled features, as columns. None of them (``k`` 0) reconstructs every row by the mean."""
+    if not k:
+        return np.zeros((len(FEATURES), 0))
     return PCA(k=k, inputCol="v", outputCol="p").fit(scaled.select(array_to_vector("scaled").alias("v"))).pc.toArray()
 
 
 def score_reconstruction(scaled: DataFrame, components: np.ndarray) -> DataFrame:
-    """Adds ``latent``, ``residuals`` (absolute, by feature) and ``reconstruction_error``, their mean."""
+    """Adds ``latent``, ``reconstructed``, ``residuals`` (absolute, by feature) and ``reconstruction_error``, their mean."""
 
-    @F.pandas_udf("latent array<double>, residuals array<double>")
+    @F.pandas_udf("latent array<double>, reconstructed array<double>")
     def project(x: pd.Series) -> pd.DataFrame:
-        rows = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
-        latent = rows @ components if len(x) else rows
-        residual = np.abs(rows - latent @ components.T) if len(x) else rows
-        return pd.DataFrame({"latent": list(latent), "residuals": list(residual)})
+        rows = np.array(x.tolist(), dtype=float).reshape(len(x), components.shape[0])
+        latent = rows @ components
+        return pd.DataFrame({"latent": list(latent), "reconstructed": list(latent @ components.T)})
 
-    found = scaled.withColumn("_p", project("scaled")).withColumns({"latent": F.col("_p.latent"), "residuals": F.col("_p.residuals")}).drop("_p")
+    found = scaled.withColumn("_p", project("scaled")).withColumns({"latent": F.col("_p.latent"), "reconstructed": F.col("_p.reconstructed")}).drop("_p")
+    found = found.withColumn("residuals", F.zip_with("scaled", "reconstructed", lambda a, b: F.abs(a - b)))
     total = F.aggregate("residuals", F.lit(0.0), lambda a, x: a + x)
     return found.withColumn("reconstruction_error", total / F.size("residuals"))
 
 
+def flagged(scored: DataFrame, threshold: float, mode: str = "full-log") -> DataFrame:
+    """Scored windows with ``threshold``, the ratio to it, whether it is exceeded, and the mode."""
+    error = F.col("reconstruction_error")
+    return scored.withColumns({"threshold": F.lit(threshold), "threshold_ratio": F.when(F.lit(threshold) > 0, error / threshold), "anomaly": (F.lit(threshold) > 0) & (error > threshold), "scoring_mode": F.lit(mode)})
+
+
+def long_form(scored: DataFrame, array: str, names: list[str] = FEATURES, keys: tuple[str, ...] = ("window_start", "src_ip")) -> DataFrame:
+    """One row for each name and value of an array column: the residual, latent and attribution tables."""
+    return scored.select(*keys, F.inline(F.zip_with(F.array(*map(F.lit, names)), F.col(array), lambda n, v: F.struct(n.alias("feature"), v.alias("value")))))
+
+
 def top_features(values: str, k: int, features: list[str] = FEATURES) -> Column:
     """The ``k`` features of largest absolute value in an array column, as structs of name and value."""
     named = F.zip_with(F.array(*map(F.lit, features)), F.col(values), lambda n, v: F.struct(F.abs(v).alias("size"), n.alias("feature"), v.alias("value")))
@@ -69,7 +130,7 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays of nodes: feature (-1 at a leaf), cut, left child (the right one follows it) and path length at a leaf."""
+    """Trees as arrays of nodes: feature (-1 at a leaf), cut, left child (the right one follows it), and the mean path length of the node's sample."""
 
     feature: np.ndarray
     cut: np.ndarray
@@ -79,62 +140,93 @@ class Forest:
     sample: int
     depth: int
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """2 to the minus mean path length over the expected one: near 1 for rows that are isolated early."""
-        total = np.zeros(len(rows))
+    def _steps(self, rows: np.ndarray):
+        """For each tree the nodes that the rows stand at, level by level."""
         every = np.arange(len(rows))
         for root in self.roots:
-            at = np.full(len(rows), root)
+            at = [np.full(len(rows), root)]
             for _ in range(self.depth):
-                f = self.feature[at]
-                at = np.where(f < 0, at, self.left[at] + (rows[every, f] >= self.cut[at]))
-            total += self.path[at]
+                f = self.feature[at[-1]]
+                at.append(np.where(f < 0, at[-1], self.left[at[-1]] + (rows[every, f] >= self.cut[at[-1]])))
+            yield at
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """2 to the minus mean path length over the expected one: near 1 for rows that are isolated early."""
+        total = np.zeros(len(rows))
+        for at in self._steps(rows):
+            total += self.path[at[-1]]
         return 2.0 ** (-total / len(self.roots) / max(float(_average_path(self.sample)), 1e-12))
 
+    def attributions(self, rows: np.ndarray) -> np.ndarray:
+        """By how much each feature's cuts shorten the path, in the mean over trees. A row's sum is the mean path at the roots less its own."""
+        out, every = np.zeros(rows.shape), np.arange(len(rows))
+        for at in self._steps(rows):
+            for above, below in zip(at, at[1:]):
+                inner = self.feature[above] >= 0
+                np.add.at(out, (every[inner], self.feature[above][inner]), (self.path[above] - self.path[below])[inner])
+        return out / len(self.roots)
 
-def _grow(rows: np.ndarray, rng: np.random.Generator, deepest: int) -> list[tuple]:
+
+def _grow(rows: np.ndarray, rng: np.random.Generator, deepest: int) -> list[list]:
     """One tree: each node is cut at a random place of a random feature that varies."""
-    nodes, todo = [None], [(0, rows, 0)]
+    nodes, sizes, todo = [None], [len(rows)], [(0, rows, 0)]
     while todo:
         at, part, depth = todo.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         varied = np.flatnonzero(high > low)
         if depth >= deepest or not len(varied):
-            nodes[at] = (-1, 0.0, 0, depth + float(_average_path(len(part))))
+            nodes[at] = [-1, 0.0, 0, depth + float(_average_path(len(part)))]
             continue
         f = int(rng.choice(varied))
         cut = rng.uniform(low[f], high[f])
         cut = cut if cut > low[f] else high[f]
-        nodes[at] = (f, float(cut), len(nodes), 0.0)
+        nodes[at] = [f, float(cut), len(nodes), 0.0]
         above = part[:, f] >= cut
         todo += [(len(nodes), part[~above], depth + 1), (len(nodes) + 1, part[above], depth + 1)]
         nodes += [None, None]
+        sizes += [int((~above).sum()), int(above.sum())]
+    for at in reversed(range(len(nodes))):  # children follow their parents
+        f, _, left, _ = nodes[at]
+        if f >= 0:
+            nodes[at][3] = (nodes[left][3] * sizes[left] + nodes[left + 1][3] * sizes[left + 1]) / sizes[at]
     return nodes
 
 
-def fit_isolation(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), trees: int = 300, sample: int = 256, seed: int = 42, pool: int = POOL) -> Forest | None:
-    """A forest of random trees. Each draws ``sample`` rows from a hash sample of at most ``pool`` windows; trees grow on executors. None without rows."""
-    spark = scaled.sparkSession
-    drawn = scaled.orderBy(F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed)), *keys).select("scaled").limit(pool).collect()
-    if not drawn:
+def fit_isolation(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), trees: int = 300, sample: int = 256, seed: int = 42) -> Forest | None:
+    """A forest of random trees, None without rows. Each tree draws ``sample`` rows of all windows by a hash of the row's keys and the tree's number, and grows on an executor."""
+    n = scaled.count()
+    if not n:
         return None
-    shared = spark.sparkContext.broadcast(np.array([r.scaled for r in drawn], dtype=float))
-    size = min(sample, len(drawn))
+    size = min(sample, n)
     deepest = max(1, int(np.ceil(np.log2(max(size, 2)))))
+    # a few more than needed reach each tree, which takes the smallest hashes among them
+    share = min(1.0, (sample + 8 * np.sqrt(sample)) / n)
+    own = F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed))
+    least = F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
+    drawn = scaled.select("scaled", own.alias("own")).select("scaled", "own", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("own", t) <= least)).alias("tree"))
 
-    def build(parts):
-        for pdf in parts:
-            for tree in pdf["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                rows = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                grown = _grow(rows, rng, deepest)
-                yield pd.DataFrame([(int(tree), k, *n) for k, n in enumerate(grown)], columns=["tree", "node", "feature", "cut", "left", "path"])
-
-    nodes = spark.range(0, trees, 1, min(trees, 32)).mapInPandas(build, "tree long, node long, feature long, cut double, left long, path double")
-    own = nodes.toPandas().sort_values(["tree", "node"])  # at most 2 * sample nodes a tree
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "own"]).head(size)
+        grown = _grow(np.array(pdf["scaled"].tolist(), dtype=float), np.random.default_rng([seed, int(key[0])]), deepest)
+        return pd.DataFrame([(int(key[0]), k, *node) for k, node in enumerate(grown)], columns=["tree", "node", "feature", "cut", "left", "path"])
+
+    nodes = drawn.withColumn("place", F.xxhash64("own", "tree")).groupBy("tree").applyInPandas(build, "tree long, node long, feature long, cut double, left long, path double")
+    return forest_of(nodes, size, deepest)
+
+
+def forest_of(nodes: DataFrame, sample: int, depth: int) -> Forest:
+    """The forest of a table of nodes: at most ``2 * sample`` a tree."""
+    own = nodes.toPandas().sort_values(["tree", "node"])
     roots = np.flatnonzero(own["node"].to_numpy() == 0)
-    left = own["left"].to_numpy() + roots[own["tree"].to_numpy()]
-    return Forest(own["feature"].to_numpy(), own["cut"].to_numpy(), left, own["path"].to_numpy(), roots, size, deepest)
+    number = np.cumsum(own["node"].to_numpy() == 0) - 1
+    return Forest(own["feature"].to_numpy(), own["cut"].to_numpy(), own["left"].to_numpy() + roots[number], own["path"].to_numpy(), roots, sample, depth)
+
+
+def nodes_of(spark: SparkSession, forest: Forest) -> DataFrame:
+    """The table of nodes of a forest."""
+    number = np.searchsorted(forest.roots, np.arange(len(forest.path)), side="right") - 1
+    first = forest.roots[number]
+    return spark.createDataFrame(pd.DataFrame({"tree": number, "node": np.arange(len(first)) - first, "feature": forest.feature, "cut": forest.cut, "left": forest.left - first, "path": forest.path}))
 
 
 def score_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
@@ -148,6 +240,24 @@ def score_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
     return scaled.withColumn("isolation", score("scaled"))
 
 
+def attribute_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
+    """Adds ``attribution``: for each feature how much it pushes a row toward anomaly, in path length."""
+    shared = scaled.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("array<double>")
+    def explain(x: pd.Series) -> pd.Series:
+        return pd.Series(list(shared.value.attributions(np.array(x.tolist(), dtype=float).reshape(len(x), len(FEATURES)))))
+
+    return scaled.withColumn("attribution", explain("scaled"))
+
+
+def label_isolation(scored: DataFrame, contamination: float = 0.01, offset: float | None = None) -> tuple[DataFrame, float]:
+    """Adds ``isolation_score``, above 0 for the ``contamination`` share of highest isolation, and ``predicted_label``; the offset is also returned, to label later windows by."""
+    offset = exact_quantiles(scored, "isolation", (1 - contamination,))[0] if offset is None else offset
+    score = F.col("isolation") - F.lit(offset)
+    return scored.withColumns({"isolation_score": score, "isolation_threshold": F.lit(0.0), "predicted_label": F.when(score > 0, "anomaly").otherwise("normal")}), offset
+
+
 def share_not_above(scores: DataFrame, reference: DataFrame, col: str, name: str = "score_percentile") -> DataFrame:
     """Adds the percentage of reference values not above each row's value, exactly; values lie between 0 and 1.
 
@@ -164,3 +274,65 @@ def share_not_above(scores: DataFrame, reference: DataFrame, col: str, name: str
     placed = ranked.groupBy("_bucket", "_v").agg(F.max("_own").alias("_own")).join(F.broadcast(below), "_bucket")
     share = placed.select("_v", F.try_divide(100.0 * (F.col("_own") + F.col("_below")), F.col("_all")).alias(name))
     return scores.join(share, F.col(col) == F.col("_v"), "left").drop("_v")
+
+
+def stratified_sample(rows: DataFrame, label: str, limit: int, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
+    """``limit`` rows, or all if there are fewer: of each label its share, at least two, by a hash of the keys; what is missing or too much is made up over all labels."""
+    placed = rows.withColumn("_place", F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed)))
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())  # one row for each label
+    share = counts.withColumn("_want", F.least(F.col("_n"), F.greatest(F.lit(2), F.bround(limit * F.col("_n") / total).cast("long"))))
+    known = placed.join(F.broadcast(share.withColumnRenamed(label, "_label")), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    # of each label no more than `limit` rows can be in the sample: these lie among its smallest hashes, so that no label is sorted whole
+    known = known.where((F.col("_place") / float(1 << 64) + 0.5) * F.col("_n") <= limit + 8 * limit**0.5 + 8)
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("_place", *keys))
+    ranked = known.withColumn("_nth", nth).where(F.col("_nth") <= limit)
+    first = (F.col("_nth") <= F.col("_want")).cast("int")
+    return ranked.withColumn("_first", first).orderBy(F.desc("_first"), "_place", *keys).limit(limit).drop("_place", "_n", "_want", "_nth", "_first")
+
+
+def fit_plane(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), most: int = 50_000, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Two principal components, fitted on at most ``most`` rows of smallest hash, and the variance they explain. The largest entry of each is positive."""
+    drawn = scaled.orderBy(F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed)), *keys).limit(most)
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(drawn.select(array_to_vector("scaled").alias("v")))
+    axes = model.pc.toArray()
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]]), model.explainedVariance.toArray()
+
+
+def project_plane(scaled: DataFrame, axes: np.ndarray) -> DataFrame:
+    """Adds ``pca_1`` and ``pca_2``, in expressions."""
+    of = lambda k: F.aggregate(F.zip_with("scaled", F.array(*map(F.lit, axes[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return scaled.withColumns({"pca_1": of(0), "pca_2": of(1)})
+
+
+def silhouette(labelled: DataFrame, label: str, keys: tuple[str, ...] = ("window_start", "src_ip"), limit: int = 5000, seed: int = 42) -> tuple[float | None, int, str | None]:
+    """Mean Euclidean silhouette of two groups on a stratified sample of ``limit`` rows, the sample's size, and why it is undefined, if it is.
+
+    The sample, of bounded size, is sent to all tasks; each row's distances to it are taken where the row lies.
+    """
+    sizes = {r[0]: r.n for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return None, 0, "there is one group only"
+    if min(sizes.values()) < 2:
+        return None, 0, "a group has fewer than two rows"
+    drawn = stratified_sample(labelled, label, limit, keys, seed).select(label, "scaled")
+    rows = drawn.collect()
+    groups = sorted({r[0] for r in rows}, key=str)
+    if len(groups) < 2 or min(sum(r[0] == g for r in rows) for g in groups) < 2:
+        return None, len(rows), "the sample doesn't hold two groups"
+    shared = labelled.sparkSession.sparkContext.broadcast((np.array([r.scaled for r in rows], dtype=float), np.array([groups.index(r[0]) for r in rows])))
+
+    def each(parts):
+        x, g = shared.value
+        for pdf in parts:
+            own = pdf["i"].to_numpy()
+            far = np.sqrt(np.maximum(((x[own][:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+            mean = np.stack([far[:, g == k].sum(axis=1) / (np.sum(g == k) - (g[own] == k)).clip(1) for k in range(len(groups))], axis=1)
+            a = mean[np.arange(len(own)), g[own]]
+            mean[np.arange(len(own)), g[own]] = np.inf
+            b = mean.min(axis=1)
+            yield pd.DataFrame({"s": np.where(np.maximum(a, b) > 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)})
+
+    spark = labelled.sparkSession
+    places = spark.range(len(rows)).repartition(max(1, -(-len(rows) // 250))).withColumnRenamed("id", "i")
+    return places.mapInPandas(each, "s double").agg(F.avg("s")).first()[0], len(rows), None

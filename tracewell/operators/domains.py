@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.events import settled
+
 #: Reasons in order, their conditions on an event with features, and their points.
 REASONS = (
     ("long_query", "query_len >= 80", 2), ("high_entropy", "entropy >= 4.0D", 2), ("long_label", "max_label_len >= 50", 2),
@@ -12,6 +14,8 @@ REASONS = (
     ("txt_record", "qtype_name = 'TXT'", 2), ("nxdomain", "rcode_name = 'NXDOMAIN'", 1), ("servfail", "rcode_name = 'SERVFAIL'", 1),
     ("many_answers", "answer_count >= 4", 2), ("low_ttl", "is_low_ttl = 1", 2),
 )
+#: Columns of events that the ranking needs.
+MEASURED = ("ts", "src_ip", "query_clean", "qtype_name", "rcode_name", "entropy", "query_len", "max_label_len", "digit_ratio", "answer_count", "answers", "ttl_min_event", "ttl_avg_event")
 
 
 def reasons() -> Column:
@@ -23,7 +27,7 @@ def suspicious_domains(events: DataFrame, size: str = "5 minutes", top: int = 20
 
     Events are matched to windows by the equality of bucket and source. One row per domain reaches the ranking.
     """
-    marked = events.withColumn("reasons", reasons()).where(F.size("reasons") > 0)
+    marked = settled(events.select(*MEASURED, reasons().alias("reasons"))).where(F.size("reasons") > 0)
     grouped = marked.groupBy(F.window("ts", size).getField("start").alias("window_start"), "src_ip", F.col("query_clean").alias("query")).agg(
         F.count("*").alias("count"), F.sort_array(F.collect_set("qtype_name")).alias("qtypes"), F.sort_array(F.collect_set("rcode_name")).alias("rcodes"),
         F.max("entropy").alias("max_entropy"), F.avg("entropy").alias("avg_entropy"), F.max("query_len").alias("max_query_len"), F.max("max_label_len").alias("max_label_len"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
@@ -17,11 +19,11 @@ def normalize(raw: DataFrame) -> DataFrame:
     some = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin("", "-", "(empty)"), F.trim(F.col(f"`{c}`")))
     return raw.select(
         D.parse_time(some("ts")).alias("ts"), some("uid").alias("uid"), some("id.orig_h").alias("src_ip"), some("id.orig_p").try_cast("int").alias("src_port"),
-        F.coalesce(some("id.resp_h"), F.lit("unknown")).alias("dns_server"), some("id.resp_p").try_cast("int").alias("dns_port"), some("proto").alias("proto"),
+        F.coalesce(some("id.resp_h"), F.lit("unknown")).alias("dns_server"), some("id.resp_p").try_cast("int").alias("dns_port"), some("proto").alias("proto"), some("trans_id").try_cast("int").alias("trans_id"),
         F.coalesce(F.col("query"), F.lit("")).alias("query"), F.coalesce(F.upper(some("qtype_name")), F.lit("UNKNOWN")).alias("qtype_name"),
         F.coalesce(F.upper(some("rcode_name")), F.lit("UNKNOWN")).alias("rcode_name"), F.coalesce(some("rtt").try_cast("double"), F.lit(0.0)).alias("rtt"),
         D.normalize_list(F.col("answers")).alias("answers"), D.numbers(D.normalize_list(F.col("TTLs"))).alias("ttls"),
-        *(D.to_bool(F.col(c)).alias(c.lower()) for c in ("AA", "TC", "RD", "RA", "Z", "rejected")),
+        *(some(c).try_cast("int").alias(c) for c in ("qclass", "qtype", "rcode")), *(D.to_bool(F.col(c)).alias(c.lower()) for c in ("AA", "TC", "RD", "RA", "Z", "rejected")),
     ).where("ts is not null and src_ip is not null")
 
 
@@ -31,11 +33,33 @@ def keep_last(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return events.withColumn("_nth", ranked).where("_nth = 1").drop("_nth")
 
 
+def keep_first(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, by ``order``: what a table that ignores later inserts of a key would hold."""
+    ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.asc(c) for c in order)))
+    return events.withColumn("_nth", ranked).where("_nth = 1").drop("_nth")
+
+
+def union_inputs(frames: list[DataFrame]) -> DataFrame:
+    """All rows of several inputs; columns that one of them lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def fingerprint(events: DataFrame) -> DataFrame:
-    """Adds ``fingerprint``: equal for records that describe one event."""
-    short = ["uid", "ts", "src_ip", "query", "qtype_name", "rcode_name", "dns_server"]
-    fields = F.when(F.col("uid").isNotNull(), F.to_json(F.struct(*short))).otherwise(F.to_json(F.struct(*short[1:], "rtt", "answers", "ttls")))
-    return events.withColumn("fingerprint", F.sha2(fields, 256))
+    """Adds ``fingerprint``, equal for records that describe one event: a digest of seven fields if there is a uid, else of ten and the answers. Times count to the microsecond.
+
+    Columns that ``events`` lacks count as null.
+    """
+    have = set(events.columns)
+    col = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    ts = F.unix_micros(F.col("ts")).alias("ts")
+    named = F.struct(ts, *(col(c).alias(c) for c in ("uid", "src_ip", "dns_server", "query", "qtype_name", "rcode_name")))
+    bare = F.struct(ts, *(col(c).alias(c) for c in ("src_ip", "src_port", "dns_server", "dns_port", "proto", "trans_id", "query", "qtype_name", "rcode_name")), F.coalesce(col("answers", "array<string>"), F.array().cast("array<string>")).alias("answers"))
+    return events.withColumn("fingerprint", F.sha2(F.when(col("uid").isNotNull(), F.to_json(named)).otherwise(F.to_json(bare)), 256))
+
+
+def completed(events: DataFrame, now: Column, seconds: int = 300) -> Column:
+    """Whether the window of an event is over at ``now``: a condition to split events into those to score and those that wait."""
+    return F.unix_timestamp("ts") < F.floor(F.unix_timestamp(now) / seconds) * seconds
 
 
 def add_features(events: DataFrame) -> DataFrame:
@@ -55,3 +79,8 @@ def add_features(events: DataFrame) -> DataFrame:
         "is_low_ttl": (F.col("answer_count") > 0) & (F.col("ttl_min_event") > 0) & (F.col("ttl_min_event") <= LOW_TTL),
     }
     return named.withColumns({k: v.cast("int") for k, v in flags.items()})
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, past a generator: a later filter isn't pushed below it, which would compute the columns that it names a second time."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

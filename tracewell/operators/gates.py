@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions import dns as D
+
 #: The fewest windows to train on, the years that times may lie in, the longest span in days.
 LEAST_WINDOWS, FIRST_YEAR, LAST_YEAR, MOST_DAYS = 50, 2000, 2100, 3660
 #: Required columns of a record, and other names of time and source in the order of preference.
@@ -80,3 +82,19 @@ def require(gate: DataFrame) -> None:
     row = gate.first()
     if not row.passed:
         raise ValueError(f"{row.reason}: {row.asDict()}")
+
+
+def repaired(windows: DataFrame, features: list[str]) -> DataFrame:
+    """The windows with 0 for features that are null, NaN, infinite or no numbers; a missing feature is an error."""
+    missing = [f for f in features if f not in windows.columns]
+    if missing:
+        raise ValueError(f"missing features: {missing}")
+    x = {f: F.col(f).try_cast("double") for f in features}
+    return windows.withColumns({f: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v) for f, v in x.items()})
+
+
+def sample_gate(records: DataFrame, n: int = 2000) -> DataFrame:
+    """Whether the first ``n`` records have a time and a source, and all times parse and lie in the bounds. Records have text columns ``ts`` and ``src_ip``."""
+    part = records.limit(n).select(D.parse_time(F.col("ts")).alias("t"), F.trim(F.coalesce("src_ip", F.lit(""))).alias("s"))
+    found = part.agg(F.count("*").alias("records"), F.count_if(F.col("s") == "").alias("without_source"), F.count_if(~_in_bounds(F.col("t"))).alias("invalid"))
+    return _verdict(found, (("no records", F.col("records") > 0), ("records without a source", F.col("without_source") == 0), ("times out of bounds", F.col("invalid") == 0)))

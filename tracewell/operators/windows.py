@@ -1,8 +1,8 @@
-"""Windows of a source: 36 features in one shuffle. Distinct counts use sets, which streams accept too."""
+"""Windows of a source: 36 features. Distinct values are counted in two steps, so that no row holds all names of a busy source; streams, which allow one aggregation, use sets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
@@ -14,25 +14,48 @@ POINTS = {"heuristic_dga": 35, "heuristic_tunnel": 40, "heuristic_fastflux": 30,
 DOMAIN_POINTS = 15
 
 
+def _distinct_sets(answers: Column) -> dict[str, Column]:
+    return {
+        "unique_queries": F.size(F.collect_set("query_clean")).cast("long"), "dns_servers": F.sort_array(F.collect_set("dns_server")),
+        "unique_answer_ips": F.size(F.array_distinct(F.flatten(F.collect_set(answers)))).cast("long"),
+    }
+
+
 def build_windows(events: DataFrame, size: str = "5 minutes") -> DataFrame:
-    """``window_start, window_end, src_ip``, the features in their order, and ``dns_servers``, for events with features."""
+    """``window_start, window_end, src_ip``, the features in their order, and ``dns_servers``, for events with features.
+
+    In batch the sums, which combine before the shuffle, and the distinct names, servers and answers, each value its own key, are two
+    aggregations joined on window and source. A row holds the source's resolvers, none its names or answers.
+    """
     rate = lambda c: F.avg(c)
-    found = {
-        "total_queries": F.count("*"), "unique_queries": F.size(F.collect_set("query_clean")).cast("long"),
-        **{f"{c.lower()}_rate": rate(f"is_{c.lower()}") for c in (*RCODES, *QTYPES)},
+    sums = {
+        "total_queries": F.count("*"), **{f"{c.lower()}_rate": rate(f"is_{c.lower()}") for c in (*RCODES, *QTYPES)},
         "avg_query_len": F.avg("query_len"), "max_query_len": F.max("query_len"), "long_query_rate": rate("is_long_query"),
         "avg_entropy": F.avg("entropy"), "max_entropy": F.max("entropy"), "high_entropy_rate": rate("is_high_entropy"),
         "avg_label_count": F.avg("label_count"), "max_label_count": F.max("label_count"),
         "avg_max_label_len": F.avg("max_label_len"), "max_max_label_len": F.max("max_label_len"), "long_label_rate": rate("is_long_label"),
-        "digit_ratio_avg": F.avg("digit_ratio"), "hyphen_ratio_avg": F.avg("hyphen_ratio"), "dns_servers": F.sort_array(F.collect_set("dns_server")),
+        "digit_ratio_avg": F.avg("digit_ratio"), "hyphen_ratio_avg": F.avg("hyphen_ratio"),
         "avg_rtt": F.avg("rtt"), "max_rtt": F.max("rtt"), "answer_count_avg": F.avg("answer_count"), "answer_count_max": F.max("answer_count"),
-        "ttl_avg": F.avg("ttl_avg_event"), "ttl_min": F.min("ttl_min_event"),
-        "unique_answer_ips": F.size(F.array_distinct(F.flatten(F.collect_set("answers")))).cast("long"), "low_ttl_rate": rate("is_low_ttl"),
+        "ttl_avg": F.avg("ttl_avg_event"), "ttl_min": F.min("ttl_min_event"), "low_ttl_rate": rate("is_low_ttl"),
     }
-    grouped = events.groupBy(F.window("ts", size).alias("w"), "src_ip").agg(*(v.alias(k) for k, v in found.items()))
+    sums = [v.alias(k) for k, v in sums.items()]
+    answers = F.filter(F.transform("answers", lambda a: F.trim(a)), lambda a: a != "")
+    if events.isStreaming:
+        grouped = events.groupBy(F.window("ts", size).alias("w"), "src_ip").agg(*sums, *(v.alias(k) for k, v in _distinct_sets(answers).items()))
+        grouped = grouped.withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")})
+    else:
+        placed = events.withColumn("window_start", F.window("ts", size).getField("start"))
+        value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+        values = F.concat(F.array(value("name", F.col("query_clean")), value("server", F.col("dns_server"))), F.transform(F.array_distinct(F.coalesce(answers, F.array().cast("array<string>"))), lambda a: value("answer", a)))
+        different = placed.select("window_start", "src_ip", F.inline(values)).where("value is not null").distinct()
+        of = lambda kind: F.col("kind") == kind
+        counted = different.groupBy("window_start", "src_ip").agg(
+            F.count_if(of("name")).alias("unique_queries"), F.sort_array(F.collect_list(F.when(of("server"), F.col("value")))).alias("dns_servers"), F.count_if(of("answer")).alias("unique_answer_ips")
+        )
+        grouped = placed.groupBy("window_start", "src_ip").agg(*sums).join(counted, ["window_start", "src_ip"]).withColumn("window_end", F.col("window_start") + F.expr(f"INTERVAL {size}"))
     unique = D.safe_ratio(F.col("unique_queries"), F.col("total_queries"))
     out = grouped.withColumns({"unique_query_ratio": unique, "repeated_query_ratio": 1 - unique, "unique_dns_servers": F.size("dns_servers").cast("long")})
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "src_ip", *FEATURES, "dns_servers")
+    return out.select("window_start", "window_end", "src_ip", *FEATURES, "dns_servers")
 
 
 def evaluate_rules(windows: DataFrame, approved: list[str] | None = None) -> DataFrame:
@@ -51,7 +74,7 @@ def evaluate_rules(windows: DataFrame, approved: list[str] | None = None) -> Dat
     })
 
 
-def rule_score(has_domains=None):
+def rule_score(has_domains: Column | None = None) -> Column:
     """Points of the fired rules, and of suspicious domains, at most 100."""
     points = sum((F.when(F.col(k), v).otherwise(0) for k, v in POINTS.items()), F.lit(0))
     return F.least(F.lit(100), points + (F.when(has_domains, DOMAIN_POINTS).otherwise(0) if has_domains is not None else 0))
@@ -67,5 +90,5 @@ def rule_alerts(judged: DataFrame, domains: DataFrame | None = None) -> DataFram
     else:
         alerts = alerts.withColumn("n_domains", F.lit(0).cast("long"))
     alerts = alerts.withColumn("n_domains", F.coalesce("n_domains", F.lit(0))).withColumn("threat_score", rule_score(F.col("n_domains") > 0))
-    ident = D.stable_id("HEUR-", F.lit("heuristics"), D.iso_time(F.col("window_start")), F.col("src_ip"), F.array_join("heuristics_fired", ","))
+    ident = D.stable_id("HEUR-", F.lit("heuristics"), D.iso_time(F.col("window_start")), F.col("src_ip"), F.array_join("heuristics_fired", "|"))
     return alerts.withColumns({"severity": D.severity_rules(F.col("threat_score")), "id": ident})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.schema import RAW
+from tracewell.schema import FEATURES, RAW
 
 
 def read_json(spark: SparkSession, paths: str | list[str], keep_raw: bool = False) -> DataFrame:
@@ -17,27 +17,56 @@ def read_json(spark: SparkSession, paths: str | list[str], keep_raw: bool = Fals
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Whole JSON files that hold one object or an array of objects."""
-    return spark.read.schema(RAW).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
+    """Whole files that hold one JSON object, an array of objects, or an object on each line; a byte-order mark is skipped.
+
+    A file that is empty or holds anything else than objects is an error when the rows are computed.
+    """
+    files = spark.read.text(paths, wholetext=True).select(F.trim(F.regexp_replace("value", r"^\uFEFF|(?U)^\s+|\s+$", "")).alias("text"), F.col("_metadata.file_path").alias("file"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    is_object = lambda x: F.json_object_keys(x).isNotNull()
+    items = F.when(F.col("text").startswith("["), F.from_json("text", "array<string>")).when(F.forall(lines, is_object), lines).otherwise(F.array("text"))
+    found = files.select("file", items.alias("items"))
+    wrong = F.coalesce(F.size("items") < 1, F.lit(True)) | ~F.coalesce(F.forall("items", is_object), F.lit(False))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not JSON objects: "), F.col("file")))).otherwise(F.col("items"))
+    return found.select(F.explode(checked).alias("item")).select(F.from_json("item", RAW).alias("e")).select("e.*")
 
 
-def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Tab-separated records whose columns the file's own ``#fields`` line names; ``#separator`` may name another separator, as ``\\x09``.
+def read_tsv(spark: SparkSession, paths: str | list[str], keep_invalid: bool = False) -> DataFrame:
+    """Tab-separated records whose columns the last ``#fields`` line above them names; ``#separator`` may name another separator, as ``\\x09``.
 
-    Short rows are padded with the null marker ``-``, long rows are cut, and files without a ``#fields`` line give no rows. Columns are text, as in `read_json`.
+    Lines that hold a JSON object are read as such. Short rows are padded with the null marker ``-``, long rows are cut, of a name that repeats the last column counts, and
+    rows above any header and broken JSON are invalid. Invalid rows are left out, or with ``keep_invalid`` kept as nulls beside a column ``valid``. Columns are text, as in `read_json`.
+
+    Lines keep their order within a split, and splits theirs within a file, so that a row finds its header by position, however files are split. Only header lines are gathered by file.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    named = F.regexp_extract("value", r"^#separator\s+(\S+)", 1)
-    sep = F.when(named.startswith("\\x"), F.decode(F.unhex(F.substring(named, 3, 2)), "UTF-8")).otherwise(named)
-    heads = lines.where(F.col("value").startswith("#")).groupBy("file").agg(
-        F.coalesce(F.max(F.when(named != "", sep)), F.lit("\t")).alias("sep"), F.min(F.when(F.col("value").startswith("#fields"), F.col("value"))).alias("head")
-    ).where("head is not null")
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).join(heads, "file")
-    parts = lambda c: F.split(F.col(c), F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1)
-    split = rows.select(F.array_distinct(F.slice(parts("head"), 2, 10_000)).alias("names"), parts("value").alias("found"))
-    padded = F.transform("names", lambda _, i: F.coalesce(F.get("found", i), F.lit("-")))
-    record = split.select(F.map_from_arrays("names", padded).alias("r"))
-    return record.select(*(F.col("r").getItem(n).alias(n) for n in RAW.names))
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("at")
+    lines = spark.read.text(paths).select(F.regexp_replace("value", r"\r+$", "").alias("value"), F.col("_metadata.file_path").alias("file"), at)
+    named = F.trim(F.substring("value", len("#separator") + 1, 1 << 20))
+    hexed = F.decode(F.unhex(F.substring(named, 3, 2)), "ISO-8859-1")
+    sep = F.when(F.col("value").startswith("#separator"), F.when(named.rlike(r"^\\x[0-9A-Fa-f]{2}"), hexed).when(named.startswith("\\x") | (named == ""), "\t").otherwise(named))
+    cut = lambda c, by: F.split(c, F.concat(F.lit("\\Q"), by, F.lit("\\E")), -1)
+    order = Window.partitionBy("file").orderBy("at")
+    heads = lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).withColumn("sep", F.coalesce(F.last(sep, ignorenulls=True).over(order), F.lit("\t")))
+    own = cut(F.col("value"), F.col("sep"))
+    own = F.when(F.size(own) > 1, own).otherwise(F.split("value", r"\s+"))
+    heads = heads.select("file", "at", "sep", F.when(F.col("value").startswith("#fields"), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).alias("names"))
+    heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "sep", "names"))).alias("heads"))
+    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file", "left")
+    above = F.filter(F.coalesce("heads", F.array().cast(heads.schema["heads"].dataType)), lambda h: h["at"] < F.col("at"))
+    rows = rows.withColumn("above", above).select(
+        "value", F.get(F.filter("above", lambda h: h["names"].isNotNull()), F.size(F.filter("above", lambda h: h["names"].isNotNull())) - 1)["names"].alias("names"),
+        F.coalesce(F.get("above", F.size("above") - 1)["sep"], F.lit("\t")).alias("sep"), F.ltrim("value").startswith("{").alias("is_json"),
+    )
+    rows = rows.withColumns({"found": cut(F.col("value"), F.col("sep")), "json": F.when(F.col("is_json") & F.json_object_keys("value").isNotNull(), F.from_json("value", RAW))})
+    valid = F.when(F.col("is_json"), F.col("json").isNotNull()).otherwise(F.coalesce(F.size("names") > 0, F.lit(False)))
+
+    def field(name: str) -> Column:
+        back = F.array_position(F.reverse("names"), name)
+        text = F.when(back > 0, F.coalesce(F.get("found", (F.size("names") - back).cast("int")), F.lit("-")))
+        return F.when(F.col("is_json"), F.col("json").getField(name)).otherwise(text).alias(name)
+
+    told = rows.select(*map(field, RAW.names), valid.alias("valid"))
+    return told if keep_invalid else told.where("valid").drop("valid")
 
 
 def source_manifest(spark: SparkSession, root: str, pattern: str = "dns*") -> DataFrame:
@@ -47,9 +76,25 @@ def source_manifest(spark: SparkSession, root: str, pattern: str = "dns*") -> Da
 
 
 def manifest_signature(manifest: DataFrame) -> str:
-    """One SHA-256 for a manifest: it changes when a file is added, removed or rewritten. The row of each file is a digest of fixed length."""
+    """One SHA-256 for a manifest: it changes when a file is added, removed or rewritten. Files' digests are summed in 16 parts of 16 bits each, which no order of rows changes, so that no task holds a list of all files."""
     each = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime").cast("string")), 256)
-    return manifest.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ","), 256)).first()[0]
+    parts = [F.coalesce(F.sum(F.conv(F.substring(each, 1 + 4 * k, 4), 16, 10).cast("long")), F.lit(0)).cast("string") for k in range(16)]
+    return manifest.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *parts), 256)).first()[0]
+
+
+def input_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Path, SHA-256, bytes and number of records, lines that aren't blank or comments, of each file."""
+    files = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).where("line != '' and not startswith(line, '#')")
+    return files.join(lines.groupBy("path").agg(F.count("*").alias("records")), "path", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
+def consolidate(spark: SparkSession, root: str, out: str, pattern: str = "dns*") -> int:
+    """Writes the lines of all segments below ``root``, oldest first, as compressed text, and returns how many records there are."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select("value", at).where(F.trim("value") != "")
+    lines.orderBy("at").select("value").write.mode("overwrite").option("compression", "gzip").text(out)
+    return spark.read.text(out).where(~F.col("value").startswith("#")).count()
 
 
 def write_events(df: DataFrame, path: str) -> None:
@@ -57,10 +102,26 @@ def write_events(df: DataFrame, path: str) -> None:
     df.orderBy("ts").write.mode("overwrite").json(path)
 
 
-def from_event_table(events: DataFrame) -> DataFrame:
-    """DNS-shaped rows from the generic event table: four sources misbehave in one way each, one asks unusual resolvers, five are ordinary."""
+def write_features(windows: DataFrame, path: str) -> None:
+    """The feature table with its keys, replaced as a whole."""
+    windows.select("window_start", "src_ip", *FEATURES).write.mode("overwrite").parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores: a small file is one split, and one task would work on all of it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def from_event_table(events: DataFrame, pooled: bool = True) -> DataFrame:
+    """DNS-shaped rows from the generic event table: four kinds of users misbehave in one way each, one asks unusual resolvers, five are ordinary.
+
+    ``pooled`` makes one source of all users of a kind, of which there are ten, so that a day's window holds enough events for the rules; else each user is a source.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
-    base = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", (F.col("user_id") % 10).cast("int").alias("r"), k.alias("k"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    user = F.col("user_id")
+    source = F.concat(F.lit("10.0.0."), (user % 10).cast("string")) if pooled else F.concat_ws(".", F.lit("10"), *((F.shiftright(user, n) % 256).cast("string") for n in (16, 8, 0)))
+    base = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", source.alias("source"), (user % 10).cast("int").alias("r"), k.alias("k"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
     r, k = F.col("r"), F.col("k")
     text = lambda c: c.cast("string")
     query = (
@@ -76,7 +137,7 @@ def from_event_table(events: DataFrame) -> DataFrame:
     shaped = base.withColumns({"query": query, "qtype_name": qtype, "rcode_name": rcode}).withColumn("n", n.cast("int"))
     places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
     return shaped.select(
-        "ts", F.concat(F.lit("C"), text(F.col("event_id"))).alias("uid"), F.concat(F.lit("10.0.0."), text(r)).alias("src_ip"),
+        "ts", F.concat(F.lit("C"), text(F.col("event_id"))).alias("uid"), F.col("source").alias("src_ip"),
         F.when(r == 4, F.concat(F.lit("203.0.113."), text(1 + k % 6))).otherwise(F.concat(F.lit("192.0.2."), text(1 + k % 2))).alias("dns_server"),
         "query", "qtype_name", "rcode_name", (F.col("value") / 1000).alias("rtt"),
         F.transform(places, lambda i: F.concat(F.lit("198.51.100."), text((F.col("event_id") * 7 + i) % 250))).alias("answers"),
@@ -84,5 +145,5 @@ def from_event_table(events: DataFrame) -> DataFrame:
     )
 
 
-def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_event_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def dns_events(spark: SparkSession, sf_dir: str, pooled: bool = True) -> DataFrame:
+    return from_event_table(spread(spark.read.parquet(f"{sf_dir}/events.parquet")), pooled)

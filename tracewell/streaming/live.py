@@ -1,35 +1,91 @@
-"""The batch transforms on a stream: windows close when the watermark passes them, and alerts are written once."""
+"""The batch transforms on a stream: windows close when the watermark passes them, all detectors see the same windows, and alerts are written once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracewell.operators import alerts as A
+from tracewell.operators import correlation, models
+from tracewell.operators.domains import context_domains, suspicious_domains
 from tracewell.operators.events import add_features
 from tracewell.operators.windows import build_windows, evaluate_rules, rule_alerts
 
+#: What makes two records of a stream one event. Without a uid the time, the type and the answer's code still tell events apart.
+SAME_EVENT = ["uid", "ts", "src_ip", "dns_server", "query", "qtype_name", "rcode_name"]
+
+
+def landed(spark: SparkSession, path: str, schema, glob: str = "*") -> DataFrame:
+    """A stream of the JSON-line files that land in a folder; the checkpoint remembers which were read. A growing file isn't read twice: land closed segments."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).json(path)
+
 
 def live_windows(events: DataFrame, size: str = "5 minutes", late: str = "5 minutes") -> DataFrame:
     """Windows of a stream of events; events later than ``late`` are dropped, and repeated ones within it count once."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["uid", "src_ip", "query"])
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(SAME_EVENT)
     return build_windows(add_features(once), size)
 
 
 def append_new(batch: DataFrame, path: str) -> None:
-    """Append the rows whose id isn't stored yet, one for each id."""
-    spark, new = batch.sparkSession, batch.dropDuplicates(["id"])
+    """Append the rows whose id isn't stored yet, one for each id. The table is partitioned by the window's day, and only the batch's days of it are read."""
+    spark, new = batch.sparkSession, batch.dropDuplicates(["id"]).withColumn("window_day", F.to_date("window_start"))
     try:
-        stored = spark.read.parquet(path).select("id")
+        table = spark.read.schema("id string, window_day date").parquet(path)
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
-        new = new.join(stored, "id", "left_anti")
-    new.write.mode("append").parquet(path)
+        low, high = new.agg(F.min("window_day"), F.max("window_day")).first()
+        new = new.join(table.where(F.col("window_day").between(low, high)).select("id"), "id", "left_anti")
+    new.write.mode("append").partitionBy("window_day").parquet(path)
 
 
-def start_rules(windows: DataFrame, path: str, checkpoint: str, approved: list[str] | None = None) -> StreamingQuery:
+def _start(windows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    """One pass over what is there, or, with ``every``, a pass each such time until the query is stopped."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def start_rules(windows: DataFrame, path: str, checkpoint: str, approved: list[str] | None = None, every: str | None = None) -> StreamingQuery:
     """Score finished windows by the rules and append new alerts, once over what is there."""
     write = lambda batch, _: append_new(rule_alerts(evaluate_rules(batch, approved)).withColumn("scored", F.lit(True)), path)
-    return windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(windows, write, checkpoint, every)
+
+
+def detect(windows: DataFrame, events: DataFrame, model: models.Fitted, size: str = "5 minutes", approved: list[str] | None = None, mode: str = "full-log", config: correlation.Config | None = None) -> dict[str, DataFrame]:
+    """Alerts of ``isolation``, ``reconstruction`` and ``rules``, and the ``final`` ones, of a batch of windows; ``events``, with features, are theirs. On all windows of a log it is a replay."""
+    rebuilt, isolated = models.score(windows, model, mode)
+    found = suspicious_domains(events, size)
+    context = context_domains(events, found, size)
+    own = {
+        "isolation": A.isolation_alerts(isolated, found, context, size, mode), "reconstruction": A.reconstruction_alerts(rebuilt, found, size, mode),
+        "rules": A.rule_alerts(evaluate_rules(windows, approved), found, size, mode),
+    }
+    config = config or correlation.Config(window=size)
+    own["final"] = A.final_alerts(correlation.correlate(correlation.evidence(own["isolation"], own["reconstruction"], own["rules"], config), config), config)
+    return own
+
+
+def start_detectors(windows: DataFrame, events: DataFrame, model: models.Fitted, root: str, checkpoint: str, size: str = "5 minutes", approved: list[str] | None = None, config: correlation.Config | None = None, every: str | None = None) -> StreamingQuery:
+    """All detectors on each batch of finished windows, and then their correlation; four tables below ``root``, to which new alerts are appended.
+
+    ``events`` is the static table of landed events, from which a batch's domains are read, by the time of its windows. A batch that is run
+    again writes no alert twice, and the final alerts are correlated only after all detectors' alerts are written.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        try:
+            low, high = batch.agg(F.min("window_start"), F.max("window_end")).first()
+            if low is None:
+                return
+            made = detect(batch, add_features(events.where((F.col("ts") >= low) & (F.col("ts") < high))), model, size, approved, "incremental", config)
+            for name in ("isolation", "reconstruction", "rules", "final"):
+                append_new(made[name], f"{root}/{name}")
+        finally:
+            batch.unpersist()
+
+    return _start(windows, write, checkpoint, every)

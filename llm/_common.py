@@ -75,6 +75,17 @@ def one_of_equals(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(owner, make=None):
+    """What a Python worker keeps between batches for one ``owner``, made when it is first asked for. Workers go on from operator to operator, so what any other owner kept is let go."""
+    if _REMEMBERED.get("owner") != owner:
+        _REMEMBERED.clear()
+        _REMEMBERED.update(owner=owner, kept=make() if make else None)
+    return _REMEMBERED["kept"]
+
+
 #: A key with more than one in `PARTS` of a side's rows is dealt out over several tasks; there are at most `PARTS` such keys.
 PARTS = 200
 

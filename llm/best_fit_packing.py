@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import materialize
+from llm._common import materialize, remembered
 
 #: Pieces in a packing group, about. A group wastes about one sequence, that is one in a thousand.
 GROUP = 8192
@@ -130,17 +129,12 @@ def _blocks(texts: pa.Array) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
-@cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of the documents' pieces; only documents longer than ``length`` have several."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(it):
-        encoder = _encoder(tokenizer)
+        encoder = remembered(("packing", tokenizer), lambda: WordEncoder(tokenizer))
         for whole in it:
             for at, n in _blocks(whole.column(1)):
                 batch = whole.slice(at, n)

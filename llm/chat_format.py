@@ -9,10 +9,10 @@ search; those of the chosen role carry the loss.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,29 +68,26 @@ def _tokenizer(path: str):
     return t
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> bytearray:
-    """1 for each token that lies in one of the spans. Tokens and spans are sorted; bytes of one character share its offsets."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    mask = bytearray(len(offsets))
+def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """True for each token that lies in one of the spans. Tokens and spans are sorted; bytes of one character share its offsets."""
+    mask = np.zeros(len(starts), dtype=bool)
     for start, end in spans:
-        first, last = bisect_right(ends, start), bisect_left(starts, end)
-        mask[first:last] = b"\1" * (last - first)
+        mask[np.searchsorted(ends, start, side="right") : np.searchsorted(starts, end, side="left")] = True
     return mask
 
 
-def masked_text(text: str, offsets: list[tuple[int, int]], mask: bytearray) -> list[tuple[int, int]]:
-    """The stretches of ``text`` under the mask, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for (a, b), on in zip(offsets, mask, strict=True):
-        if on and out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        elif on:
-            out.append((a, b))
-    return out
+def stretches(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of the text under the mask, joined where tokens touch."""
+    a, b = starts[mask], ends[mask]
+    if not len(a):
+        return []
+    upto = np.maximum.accumulate(b)
+    first = np.concatenate([[True], a[1:] > upto[:-1]])
+    return list(zip(a[first].tolist(), upto[np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)].tolist(), strict=True))
 
 
 def format_conversations(rows: DataFrame, tokenizer: str, learn_from: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id, formatted, ids, loss_mask``: one row for each conversation.
+    """``conv_id, formatted, ids, starts, ends, loss_mask``: one row for each conversation; ``starts`` and ``ends`` are the tokens' offsets in characters.
 
     Turns go by ``turn``, nulls first; ties by role and text, so that repeated turns stay, side by side. Null roles and texts count as empty. Rows with a null
     id make up one conversation. A conversation is one training example and has to fit a task; Spark spreads conversations. An empty table
@@ -109,32 +106,35 @@ def format_conversations(rows: DataFrame, tokenizer: str, learn_from: str = "ass
             for at in range(0, whole_batch.num_rows, 64):
                 batch = whole_batch.slice(at, 64)
                 made = [render(list(zip(r, t, strict=True))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                texts, ids, masks = [], [], []
-                for m in made:
-                    encoded = encoder.encode(m.text, add_special_tokens=False)
-                    texts.append(m.text)
+                ids, starts, ends, masks = [], [], [], []
+                for m, encoded in zip(made, encoder.encode_batch([m.text for m in made], add_special_tokens=False), strict=True):
+                    offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
                     ids.append(encoded.ids)
-                    masks.append(bytes(loss_mask(encoded.offsets, [s for s, r in zip(m.spans, m.roles, strict=True) if r == learn_from])))
-                yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.binary())], ["conv_id", "formatted", "ids", "loss_mask"])
+                    starts.append(offsets[:, 0])
+                    ends.append(offsets[:, 1])
+                    masks.append(loss_mask(offsets[:, 0], offsets[:, 1], [s for s, r in zip(m.spans, m.roles, strict=True) if r == learn_from]).tobytes())
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, ends)]
+                yield pa.record_batch([batch.column(0), pa.array([m.text for m in made], pa.string()), *lists, pa.array(masks, pa.binary())], ["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 
-    return whole.mapInArrow(batches, f"conv_id {kind}, formatted string, ids array<int>, loss_mask binary")
+    return whole.mapInArrow(batches, f"conv_id {kind}, formatted string, ids array<int>, starts array<int>, ends array<int>, loss_mask binary")
 
 
-def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """Digests of what the output alone tells: its turns, and the text under its mask, whose places the token ids give."""
+def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Digests of what the output alone tells: its turns, and the text under its mask, whose places the tokens' offsets give. With a ``tokenizer`` the ids and offsets are also held against a new encoding."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def batches(it):
-        encoder = _tokenizer(tokenizer)
         names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         for batch in it:
             rows = []
-            for text, ids, mask in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                encoded = encoder.encode(text, add_special_tokens=False)
-                assert encoded.ids == ids, "the ids are not those of the text"
+            for k, (text, mask) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                starts, ends = (np.asarray(batch.column(c)[k].values) for c in (3, 4))
+                if tokenizer:
+                    again = _tokenizer(tokenizer).encode(text, add_special_tokens=False)
+                    assert again.ids == batch.column(2)[k].as_py() and again.offsets == list(zip(starts.tolist(), ends.tolist())), "the tokens are not those of the text"
                 turns = parse(text)
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode())
-                under = "".join(unescape(text[a:b]) for a, b in masked_text(text, encoded.offsets, bytearray(mask)))
+                under = "".join(unescape(text[a:b]) for a, b in stretches(starts, ends, np.frombuffer(mask, dtype=bool)))
                 rows.append((len(turns), said.hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.string() if "sha" in n else pa.int64()) for n, c in zip(names, cols, strict=True))], ["conv_id", *names])

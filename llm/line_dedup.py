@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import discard, fresh, join_counted, materialize
+from llm._common import discard, fresh, join_counted, materialize, remembered
 
 #: Lines with fewer words have no neighbourhood, so that one edit leaves at least four fifths of a line. Equality counts for all lines with a word.
 LEAST = 5
@@ -69,6 +69,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """``id, print, line, h, keys``: each line with a word, its hash and the keys of its halves, none if it is short."""
 
     def batches(it):
+        remembered("nothing")
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

@@ -85,7 +85,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    return read_back(format_conversations(rows.unionByName(extra), path), path)
+    return read_back(format_conversations(rows.unionByName(extra), path))
 
 
 def queries() -> dict:

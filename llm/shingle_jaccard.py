@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import simhash_golay as golay
-from llm._common import connected_components, discard, fresh, join_counted, materialize, one_of_equals, union_all
+from llm._common import connected_components, discard, fresh, join_counted, materialize, one_of_equals, remembered, union_all
 
 SHINGLE = 5
 #: How many hubs of a key are tried before all pairs that are left.
@@ -59,6 +59,7 @@ def bucket_counts(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """How many documents' shingles fall into each bucket. A task sends one table, whatever its rows."""
 
     def count(batches):
+        remembered("nothing")
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -91,6 +92,7 @@ def _prints(docs: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max() < 1 << 31 else counts)
 
     def batches(it):
+        remembered("nothing")
         for batch in (whole.slice(at, 500) for whole in it for at in range(0, whole.num_rows, 500)):
             keys, own, sizes, fps = [], [], [], []
             for text in batch.column("text"):

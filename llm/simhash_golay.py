@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import connected_components, discard, join_counted, materialize
+from llm._common import connected_components, discard, join_counted, materialize, remembered
 
 #: Widths of the segments, from the lowest bit.
 SEGMENTS = (23, 23, 18)
@@ -89,6 +89,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(it):
+        remembered("nothing")
         for batch in it:
             values = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["id", "text_print", "fp"])

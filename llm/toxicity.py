@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import materialize
+from llm._common import fresh, materialize, remembered
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüßœæ"
 #: Classes of characters: 0 is any non-letter, 1 to n the letters, and the last another letter.
@@ -32,9 +32,12 @@ LEET = {
 SUBSTITUTED, DROPPED, DOUBLED = 2.0, 1.0, 1.0
 #: Most training documents, of all labelled ones, that word weights and the logistic function are fitted on.
 MAX_LABELLED = 20_000
-#: Most features that get a weight, and the least number of toxic documents that have one.
-MAX_FEATURES, LEAST = 50_000, 3
+#: The least number of toxic documents that have a feature with a weight.
+LEAST = 3
 REMEMBERED = 300_000
+#: The cost of a space that was put in.
+GLUED = 1.0
+_TRAILING = ".,;:?"
 _EDGES = re.compile(r"^[^\w@$€£|+]+|[^\w@$€£|+!]+$|([^\w\s])\1+$|^([^\w\s])\2+|_+$|^_+")
 _RUN = re.compile(r"(.)\1\1")
 
@@ -108,22 +111,32 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return columns
 
 
-def decode(word: str, costs: np.ndarray) -> str:
-    """The best path through the word's lattice. A state is the last two characters' classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, said) in states.items():
+def best_path(columns: list[list[tuple[str, float]]], costs: np.ndarray) -> str:
+    """The best path through a lattice, a column of options after the other. A state is the last two characters' classes; of equal paths the first found counts."""
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    for options in columns:
+        after: dict[tuple[int, int], tuple] = {}
+        for (a, b), (cost, path) in states.items():
             for emitted, channel in options:
                 x, y, total = a, b, cost + channel
                 for c in emitted:
-                    k = _CLASS.get(c, OTHER)
+                    k = _CLASS.get(c, 0 if c == " " else OTHER)
                     total += costs[x, y, k]
                     x, y = y, k
-                if (x, y) not in after or (total, said + emitted) < after[x, y]:
-                    after[x, y] = (total, said + emitted)
+                if (x, y) not in after or total < after[x, y][0]:
+                    after[x, y] = (total, (path, emitted))
         states = after
-    return min((cost + costs[a, b, 0], said) for (a, b), (cost, said) in states.items())[1]
+    path = min(((cost + costs[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])[1]
+    said = []
+    while path:
+        path, emitted = path
+        said.append(emitted)
+    return "".join(reversed(said))
+
+
+def decode(word: str, costs: np.ndarray) -> str:
+    """The best path through the word's lattice."""
+    return best_path(lattice(word), costs)
 
 
 _CLASS = {c: k + 1 for k, c in enumerate(LETTERS)}
@@ -162,16 +175,33 @@ class Restorer:
         return out + self.spelled(raw)
 
     def spelled(self, raw: list[str]) -> list[str]:
-        """Runs of three or more single characters, read as one word: ``i d 1 o t``."""
+        """Words spelled out in pieces of one or two characters, at least three of them: ``i d 1 o t``, ``id io t,``.
+
+        A run of short pieces is one lattice, in which each space between two may stand or have been put in, so that the model finds where words begin and end.
+        """
         out, run = [], []
-        for w in [*raw, "  "]:
-            if len(w) == 1:
-                run.append(w)
-            elif run:
+        for w in [*raw, "   "]:
+            core = w.rstrip(_TRAILING) or w
+            if len(core) <= 2:
+                run.append(core)
+            if len(core) > 2 or core != w:  # a mark ends a run, as a longer word does
                 if len(run) > 2:
-                    out.append(self.word("".join(run)))
+                    out += self.joined(run)
                 run = []
-        return [w for w in out if w]
+        return out
+
+    def joined(self, run: list[str]) -> list[str]:
+        """The words that a run of short pieces makes, where pieces were put together."""
+        key = " ".join(run)
+        said = self.young.get(key) if len(run) <= 8 else None
+        if said is None:
+            columns: list = []
+            for piece in run:
+                columns += [[(" ", 0.0), ("", GLUED)]] * bool(columns) + lattice(piece)
+            said = best_path(columns, self.costs)
+            if len(run) <= 8:
+                self.young[key] = said
+        return [w for w in said.split() if len(w) > 2]
 
 
 def features_of(word: str) -> list[str]:
@@ -226,13 +256,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     """The character model of all ``docs``, and weights from the labelled ones.
 
     At most ``max_labelled`` labels, those of smallest hash, are used. The logistic function is fitted on evidence
-    by the word weights of the other half of their documents, so that no document's own label is in it; the model keeps the weights of both halves. An id labelled twice counts once, as toxic if either label is. Without labels of both kinds the score is their smoothed share.
+    by the word weights of the other half of their documents, so that no document's own label is in it; the model keeps the weights of both halves. An id labelled twice counts once, as toxic if either label is; of several texts of an id the one of smallest hash is learnt from. Without labels of both kinds the score is their smoothed share.
     """
     spark = docs.sparkSession
     costs = language_model(character_counts(docs, text_col))
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = materialize(one.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_labelled), "labels")
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = materialize(sample.withColumn("half", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(2)).cast("int")).repartition(12), "sample")
     sizes = {(r.half, r.y): r.n for r in sample.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (sum(sizes.get((h, y), 0) for h in (0, 1)) for y in (1, 0))
@@ -259,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
         return found.groupBy("f").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
 
     total = F.col("n0") + F.col("n1")
-    bad = {r.f: (r.n0, r.n1) for r in by_half(1, None).where(total >= LEAST).orderBy(total.desc(), "f").limit(MAX_FEATURES).collect()}
+    bad = {r.f: (r.n0, r.n1) for r in by_half(1, None).where(total >= LEAST).collect()}  # of at most `max_labelled` texts, a third of their features at most
     good = {r.f: (r.n0, r.n1) for r in by_half(0, set(bad)).collect()}
 
     def weights_from(halves: tuple[int, ...]) -> dict[str, float]:
@@ -280,36 +311,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
             out = [(float(y), *evidence(restorer.words(t), other[h], known[h])) for t, y, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
             yield pa.record_batch([pa.array(c, pa.float64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.float64())] * 5, list("yabcd"))
 
-    data = np.array(sample.select("text", "y", "half").mapInArrow(rows, "y double, a double, b double, c double, d double").orderBy(*"yabcd").collect())
+    data = np.array(sample.select("text", "y", "half").mapInArrow(rows, "y double, a double, b double, c double, d double").collect())
+    data = data[np.lexsort(data.T[::-1])]  # so that the sums don't depend on the order of rows
     return Model(costs, weights_from((0, 1)), _logistic(data[:, 1:], data[:, 0]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``score``, from 0 to 1. Null texts count as empty, and an empty text gets the score of a text without evidence. A column of that name is replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES and the number of trigrams
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows with ``score``, or another ``name``, from 0 to 1. Null texts count as empty, and an empty text gets the score of a text without evidence. A column of that name is replaced."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labels that features come from, and the number of trigrams
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         m = sent.value
-        restorer, known = _worker_state(sent)
+        restorer, known = remembered(("toxicity", id(m)), lambda: (Restorer(m.costs), {}))
         x = np.array([[*evidence(restorer.words(t or ""), m.weights, known), 1.0] for t in texts]).reshape(-1, 5)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ m.coefficients, -30, 30))))
 
-    return docs.withColumn("score", scored(F.col(text_col)))
-
-
-_STATE: dict = {}
-
-
-def _worker_state(sent) -> tuple[Restorer, dict]:
-    """What a worker remembers between batches of one model."""
-    key = id(sent.value)
-    if _STATE.get("key") != key:
-        _STATE.clear()
-        _STATE.update(key=key, state=(Restorer(sent.value.costs), {}))
-    return _STATE["state"]
+    return docs.withColumn(name, scored(F.col(text_col)))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose score is below the threshold, with the columns of ``docs``."""
-    return score(docs, model, text_col).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows whose score is below the threshold, with the columns of ``docs`` as they are."""
+    (name,) = fresh(docs, "score")
+    return score(docs, model, text_col, name).where(F.col(name) < threshold).drop(name)

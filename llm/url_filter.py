@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm._common import materialize
+from llm._common import join_counted, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,25 +83,29 @@ def lexical_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_suffix", F.array(*(F.concat_ws(".", F.slice(labels, -F.least(F.lit(k), F.size(labels)), k)) for k in (1, 2))))
 
 
-def suffix_shares(labelled: DataFrame, prior: float = 10.0) -> DataFrame:
-    """``suffix`` and ``share``: of blocked URLs, drawn to the overall share as by ``prior`` more URLs."""
+def suffix_shares(labelled: DataFrame, overall: float, prior: float = 10.0) -> DataFrame:
+    """``suffix`` and ``share``: of blocked URLs, drawn to the ``overall`` share as by ``prior`` more URLs."""
     each = labelled.select(F.explode(F.array_distinct("_suffix")).alias("suffix"), "_blocked")
-    overall = labelled.agg(F.avg("_blocked").alias("overall"))
     counted = each.groupBy("suffix").agg(F.sum("_blocked").alias("b"), F.count("*").alias("n"))
-    return counted.join(F.broadcast(overall)).select("suffix", ((F.col("b") + prior * F.col("overall")) / (F.col("n") + prior)).alias("share"))
+    return counted.select("suffix", ((F.col("b") + prior * overall) / (F.col("n") + prior)).alias("share"))
 
 
 def _with_shares(rows: DataFrame, shares: DataFrame, overall: float) -> DataFrame:
+    """Adds the share of each suffix. A suffix that very many rows have is looked up in parts."""
     for k in (1, 2):
-        side = shares.select(F.col("suffix").alias(f"_s{k}"), F.col("share").alias(f"f_suffix{k}"))
-        rows = rows.join(side, F.col("_suffix")[k - 1] == F.col(f"_s{k}"), "left").drop(f"_s{k}")
-    return rows.fillna(overall, ["f_suffix1", "f_suffix2"])
+        rows = rows.withColumn(f"_s{k}", F.col("_suffix")[k - 1])
+    for k in (1, 2):
+        own = rows.groupBy(f"_s{k}").agg(F.count("*").alias("rows"))
+        known = own.join(shares.select(F.col("suffix").alias(f"_s{k}"), F.col("share").alias(f"f_suffix{k}")), f"_s{k}", "left").fillna(overall, [f"f_suffix{k}"])
+        rows = join_counted(rows, materialize(known, "suffixes"), [f"_s{k}"], "rows")
+    return rows
 
 
 def judge(pages: DataFrame, rules: tuple[DomainRule, ...] = RULES, max_labelled: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 1, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id, host, path, rule, verdict, score`` of every page; ``score`` is the trees' probability of ``block``.
 
-    At most ``max_labelled`` labelled URLs, chosen by hash, are learnt from. If the labelled URLs are all of one kind, that is the verdict of the
+    Suffixes are counted over all labelled URLs of one half, by a hash of the URL, and the trees learn from those of the other half: from ``max_labelled`` rows at most, those of smallest hash of id and URL.
+    If the labelled URLs are all of one kind, that is the verdict of the
     others; without any it is ``allow``. Null URLs and those without ``://`` have an empty host and path, fit no rule and are
     judged by the trees. Repeated rows and null ids are judged each on its own; an empty table gives no rows.
     """
@@ -114,17 +118,16 @@ def judge(pages: DataFrame, rules: tuple[DomainRule, ...] = RULES, max_labelled:
     if blocked in (0, n):
         only = "block" if blocked else "allow"
         return rows.select(*out, F.coalesce("rule_verdict", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
-    place = F.pmod(F.xxhash64("_url", F.lit(seed)), F.lit(1_000_000))
-    fit = labelled.where(place < int(min(1.0, max_labelled / n) * 1_000_000))
+    overall = blocked / n
     half = F.pmod(F.xxhash64("_url", F.lit(seed + 1)), F.lit(2))
-    shares = materialize(suffix_shares(fit.where(half == 0)), "suffixes")
+    shares = materialize(suffix_shares(labelled.where(half == 0), overall), "suffixes")
     names = [c for c in rows.columns if c.startswith("f_")] + ["f_suffix1", "f_suffix2"]
     vectors = VectorAssembler(inputCols=names, outputCol="_features")
-    train = vectors.transform(_with_shares(fit.where(half == 1), shares, blocked / n)).select("_features", F.col("_blocked").cast("double").alias("_label"))
-    train = train.repartition(4)
-    if train.select("_label").distinct().count() < 2:
-        return rows.select(*out, F.coalesce("rule_verdict", F.when(F.lit(2 * blocked >= n), "block").otherwise("allow")).alias("verdict"), F.lit(blocked / n).alias("score"))
+    chosen = materialize(labelled.where(half == 1).orderBy(F.xxhash64("id", "_url", F.lit(seed))).limit(max_labelled).repartition(4), "labelled")
+    train = vectors.transform(_with_shares(chosen, shares, overall)).select("_features", F.col("_blocked").cast("double").alias("_label"))
+    if chosen.select("_blocked").distinct().count() < 2:
+        return rows.select(*out, F.coalesce("rule_verdict", F.when(F.lit(2 * blocked >= n), "block").otherwise("allow")).alias("verdict"), F.lit(overall).alias("score"))
     model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
-    judged = model.transform(vectors.transform(_with_shares(rows, shares, blocked / n))).withColumn("score", vector_to_array("probability")[1])
+    judged = model.transform(vectors.transform(_with_shares(rows, shares, overall))).withColumn("score", vector_to_array("probability")[1])
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return judged.select(*out, F.coalesce("rule_verdict", own).alias("verdict"), "score")

@@ -103,14 +103,29 @@ def word_edit_at_most_one(a, b):
 
 
 def kept_lines(rows, least=5):
-    """(id, text) -> {row number: flags of the lines kept}"""
-    earlier, kept = defaultdict(list), {}
+    """(id, text) -> {row number: flags of the lines kept}; equal lines go however short, near ones from ``least`` words on"""
+    earlier, seen, kept = defaultdict(list), set(), {}
     for k, (_, text) in sorted(enumerate(rows), key=lambda x: x[1][0]):
         kept[k] = []
         for line in (text or "").split("\n"):
             w = words(line)
             near = len(w) >= least and any(word_edit_at_most_one(w, x) for n in (-1, 0, 1) for x in earlier[len(w) + n])
-            kept[k].append(not near)
+            kept[k].append(not (near or (w and tuple(w) in seen)))
+            seen.add(tuple(w))
             if len(w) >= least:
                 earlier[len(w)].append(w)
     return kept
+
+
+def similar_classes(rows, shingle=5):
+    """(id, text) -> [(id, component)] at a Jaccard similarity of 4/5 or more"""
+    sets = []
+    for _, text in rows:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or {" ".join(w)} - {""})
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    roots, low = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]), {}
+    for (ident, _), r in zip(rows, roots):
+        if ident is not None:
+            low[r] = min(ident, low.get(r, ident))
+    return [(ident, low.get(r)) for (ident, _), r in zip(rows, roots)]

@@ -73,9 +73,10 @@ def test_lines_against_brute_force(spark):
 def test_lines_edges(spark):
     line = "one two three four five"
     rows = [(None, line), (1, line), (1, line), (0, "a b c d\na b c d"), (2, "one two three four six\nx")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, _gone string, _id int, print int")
+    assert {(r["_gone"], r["_id"], r["print"]) for r in dedup_lines(docs).collect()} == {("k", 1, 2)}
     got = sorted(((r.doc_id is None, r.doc_id), r.text) for r in dedup_lines(docs).collect())
-    assert [t for _, t in got] == ["a b c d\na b c d", line, line, "x", ""]
+    assert [t for _, t in got] == ["a b c d", line, line, "x", ""]
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -105,6 +106,15 @@ def test_spelled_out(costs):
     assert "idiot" in T.Restorer(costs).words("you I d i 0 t there") and T.Restorer(costs).words("a b there a") == ["a", "b", "there", "a"]
 
 
+@pytest.mark.parametrize("text", ["you id io t, there", "the i d i 0 t. and", "book mo ro n"])
+def test_spelled_out_in_pieces_with_marks(costs, text):
+    assert {"idiot", "moron"} & set(T.Restorer(costs).words(text))
+
+
+def test_a_very_long_run_of_single_letters(costs):
+    assert "idiot" in "".join(T.Restorer(costs).words("i d i o t " * 3000)[-1:])
+
+
 def test_viterbi_is_the_best_path(costs):
     def cost(said, channel):
         k = [0, 0, *(T._CLASS.get(c, T.OTHER) for c in said), 0]
@@ -149,6 +159,12 @@ def test_held_out_accuracy_and_disguises(spark):
     said = {r.doc_id: r.score for r in T.score(odd.withColumn("score", F.lit("x")), model).collect()}
     assert all(said[i] >= 0.5 for i in (1, 2, 3, 4)) and all(0 <= said[i] < 0.5 for i in (5, 6, 7))
     assert sorted(r.doc_id for r in T.drop_toxic(odd, model).collect()) == [5, 6, 7]
+    kept = T.drop_toxic(odd.withColumns({"score": F.lit("mine"), "_score": F.lit(1)}), model)
+    assert kept.columns == ["doc_id", "text", "score", "_score"] and {(r.score, r["_score"]) for r in kept.collect()} == {("mine", 1)}
+    few = T.fit(docs, labels.where(~T.held_out(F.col("doc_id"))), max_labelled=50)
+    assert few.weights.keys() != model.weights.keys()
+    again = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(40)).select("doc_id", "text"))
+    assert T.fit(again, labels.where(~T.held_out(F.col("doc_id")))).weights == model.weights
 
 
 def test_without_labels(spark):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm._common import materialize
+from llm._common import discard, join_counted, materialize
 
 #: Words of a phrase.
 PHRASE = 8
@@ -208,10 +208,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 200, id_col:
     owners = windows.groupBy("phrase", "w").agg(first, F.max("id").alias("top")).where("first.owner != top").select("phrase", "w", "first.*")
     partly = windows.join(owners, ["phrase", "w"]).where("owner < id").select("id", "print", F.col("begin").alias("start"), F.lit(1).alias("n"), *owner)
     wanted = materialize(_joined(whole.unionByName(partly)), "wanted")
-    asked = wanted.select(*owner, "n").distinct().groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
+    discard(rows, kinds, windows)
+    counted = materialize(wanted.groupBy(*owner, "n").agg(F.count("*").alias("rows")), "counted")
+    asked = counted.groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
     words = _passages(texts.join(asked, ["id", "print"]).select("id", "print", "text", "which"), window).dropDuplicates([*owner, "n"])
+    words = materialize(words.join(counted, [*owner, "n"]), "passages")
     # by id alone: the automaton finds a passage in every text of the id, and again further on in one text
-    found = wanted.join(words, [*owner, "n"]).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))
+    found = join_counted(wanted, words, [*owner, "n"], "rows").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))
     both = slim.join(found, F.col("id") == F.col("_id"), "left").select("id", "text", "passages")
     return _cut(both, block)
 

@@ -68,6 +68,62 @@ def test_mix_edges(spark):
     assert mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_documents_without_words_are_taken_no_more_often_than_others(spark):
+    rows = [(i, "", "small", 0) for i in range(200)] + [(500 + i, "w " * 5, "small", 0) for i in range(3)] + [(1000 + i, "w " * 50, "zzz", 0) for i in range(40)]
+    got = mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.copies for r in got if r.source == "small"} == {3} and max(r.copies for r in got) <= 3
+
+
+def plain_mix(rows, weights=(5, 2, 1), epochs=3, seed=5):
+    """(id, text, source) -> {id: copies}"""
+    import hashlib
+
+    size = {i: len(brute.words(t)) for i, t, _ in rows}
+    total = {}
+    for i, _, s in rows:
+        total[s] = total.get(s, 0) + size[i]
+    out = {}
+    for s, target in waterfill(total, weights, epochs).items():
+        whole = math.floor(target / total[s]) if total[s] else 0
+        rest, upto = target - whole * total[s], 0
+
+        def key(row):
+            i, t, _ = row
+            bare = [c for c in t or "" if c not in " \t\n\x0b\f\r"]
+            quality = 0.1 + 0.9 * sum(c not in "#*$%&|<>!" for c in bare) / max(1, len(bare))
+            return -math.log((int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / quality
+
+        for i, _, _ in sorted((r for r in rows if r[2] == s), key=key):
+            before, upto = upto, upto + size[i]
+            out[i] = whole + (before < rest and (upto <= rest or upto - rest < rest - before))
+    return out
+
+
+def test_mix_against_a_plain_sampler(spark, sf_dir):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = plain_mix(rows)
+    got = {r.id: (r.copies, r.size) for r in mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert all(c == want[i] or not n for i, (c, n) in got.items()) and got.keys() == want.keys()
+
+
+def test_kept_against_a_plain_cascade(spark, sf_dir):
+    import regex
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.kept for r in op8_quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        n, chars, symbols, dup, _, failed = brute.quality(r.text)
+        letters, upper, lines = len(regex.findall(r"\p{L}", r.text or "")), len(regex.findall(r"\p{Lu}", r.text or "")), len((r.text or "").split("\n"))
+        rejected = failed or symbols * 4 > n or chars > 25 * n or chars < 2 * n or (dup >= 4 and 2 * dup > lines) or 2 * upper > letters or 2 * letters < chars
+        assert got[r.doc_id] == (not rejected), r.doc_id
+
+
+def test_columns_with_the_names_of_inner_ones_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c", 1, 2, 3, 4, "k")], "doc_id long, text string, _words int, _w int, _hashed int, _p int, kept string")
+    row = judge(docs).first()
+    assert (row["_words"], row["_w"], row["_hashed"], row["_p"], row.n_repeat_words, row.kept) == (1, 2, 3, 4, 6, False)
+
+
 TEXTS = [None, "", " \t\n", "a", "a b", "a b c", "a b c a b c", "a b c d a b c", "x x x x x", "é b c\x0bd | # é b c d",
          "one line\none line\n\n \none line\r\n", "a b a b a b c d e f", "👍 # $ % & | < > *", "z " * 5000]
 

@@ -76,3 +76,9 @@ def test_edges(spark):
     laid_out(got)
     assert sorted(r.length for r in got)[:3] == [1, 1, 3] and sum(r.length for r in got) == 18001 + 5
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_rows_that_repeat_each_other_fill_several_groups(spark):
+    docs = spark.range(1000).selectExpr("1L AS doc_id", "repeat('a b ', 500) AS text")
+    got = pack(docs, PATH, group=50).collect()
+    assert laid_out(got) == 500 and len({r.sequence_id % 20 for r in got}) > 10

@@ -7,7 +7,7 @@ import pytest
 
 from llm import chat_format as C
 from llm.queries import op1_url_filter, op2_top_k, op10_chat_format
-from llm.url_filter import RULES, judge
+from llm.url_filter import RULES, judge, suffix_shares
 from llm.va_search import block_top_k, quantise, scaled, top_k
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,26 @@ def test_url_trees_learn(spark):
     assert got[1000] == "block" and got[1001] == "allow"
 
 
+def test_url_trees_on_held_out_labels(spark):
+    """The verdicts of half of the labelled hosts, whose rules are taken away, are found again by the trees."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        bad = i % 2
+        path = "/" + "/".join("".join(rng.choice(list("0123456789" if bad else "abcdefgh"), 6)) for _ in range(1 + bad * 2))
+        rows.append((i, f"http://{'shop' if bad else 'news'}{i % 40}.example{i % 7}.{'com' if i < 1500 else ('net' if bad else 'org')}{path if i < 1500 or bad else '/fr' + path}" + ("?a=1&b=2&c=3" if bad else "")))
+    got = {r.id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), max_labelled=600).collect()}
+    asked = [i for i in range(1500) if got[i].rule is None]
+    assert len(asked) == 1500 and np.mean([(got[i].verdict == "block") == bool(i % 2) for i in asked]) > 0.95
+    again = judge(spark.createDataFrame(rows + rows[:3], "page_id long, url string"), max_labelled=600).collect()
+    assert len(again) == 3003 and all(len({r.verdict for r in again if r.id == i}) == 1 for i in range(3))
+
+
+def test_all_suffixes_of_labelled_urls_count(spark):
+    labelled = spark.createDataFrame([(["a"], 1), (["a"], 0), (["b"], 1)], "_suffix array<string>, _blocked int")
+    assert {r.suffix: round(r.share, 6) for r in suffix_shares(labelled, 0.5, 2.0).collect()} == {"a": 0.5, "b": round(2 / 3, 6)}
+
+
 @pytest.mark.parametrize("urls,verdict", [([None, "http://a.com/"], "allow"), (["http://a.net/", "http://a.com/"], "block"), ([], None)])
 def test_url_one_kind_of_label(spark, urls, verdict):
     got = judge(spark.createDataFrame([(1, u) for u in urls], "page_id long, url string")).collect()
@@ -98,6 +118,15 @@ def test_search_edges(spark):
     assert got == [(0, 1, 7, (1 << 63) - 1), (0, 2, 20, 64 * 192 - 128 * 64), (0, 3, 8, -64 + 128 * 32),
                    (20, 1, 7, (1 << 63) - 1), (20, 2, 0, 192 * 64 - 64 * 128), (20, 3, 0, 192 * 64 - 64 * 128)]
     assert top_k(docs.limit(0), docs.limit(0)).count() == 0
+    assert sorted(map(tuple, top_k(docs, docs.where("id % 20 = 0"), 3, block=2).collect())) == got
+
+
+def test_search_in_many_blocks_with_repeats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 400, [int(x) for x in rng.integers(-50, 50, 4)]) for i in range(400)] + [(400 + i, [7, 7, 7, 7]) for i in range(2500)]
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "id long, v array<double>")
+    got = sorted(map(tuple, top_k(docs, docs.where("id % 100 = 0"), 20, block=300).collect()))
+    assert got == sorted(plain_top_k(rows, [r for r in rows if r[0] % 100 == 0], 20))
 
 
 TEXTS = ["", " ", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\l<\\\\", " lead", "trail ", "\n\n a", "👍🏽é́ ß", "x" * 4000, "<|endoftext|>", "don't  stop"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import correlation, detectors, reports
 from tracewell.plans.queries import LEARNED
-from tracewell.sources.records import manifest_signature, read_tsv, source_manifest
+from tracewell.sources.records import consolidate, input_manifest, manifest_signature, read_documents, read_tsv, source_manifest
 
 CASES = [  # isolation score, percentile; ratio; rule score; active, score, outcome
     ((0.1, 100.0), 3.0, 100, 3, 100.0, "alert"), ((0.1, 100.0), 3.0, None, 2, 75.0, "alert"), (None, 3.0, 40, 2, 61.0, "suppressed_score"),
@@ -62,15 +62,35 @@ def test_tsv(spark, tmp_path):
     (tmp_path / "dns.log").write_text("#separator \\x09\n#fields\tts\tuid\tquery\n1\ta\tx.org\n2\tb\n3\tc\ty.org\textra\n")
     with gzip.open(tmp_path / "dns2.log.gz", "wt") as f:
         f.write("#separator \\x7c\n#fields|query|ts\nz.org|4\n")
-    (tmp_path / "dns3.log").write_text("5\td\tno.header\n")
+    (tmp_path / "dns3.log").write_text("5\td\tno.header\n#fields\tts\tquery\n\n6\ta.org\r\n#close\n{\"ts\": 7, \"query\": \"j.org\"}\n{broken\n#separator ,\n#fields,uid,ts,uid\nfirst,8,last\n#fields\n9\n")
     got = {r.ts: (r.uid, r["query"]) for r in read_tsv(spark, str(tmp_path)).collect()}
-    assert got == {"1": ("a", "x.org"), "2": ("b", "-"), "3": ("c", "y.org"), "4": (None, "z.org")}
+    assert got == {"1": ("a", "x.org"), "2": ("b", "-"), "3": ("c", "y.org"), "4": (None, "z.org"), "6": (None, "a.org"), "7": (None, "j.org"), "8": ("last", None)}
+    assert read_tsv(spark, str(tmp_path), keep_invalid=True).where("not valid").count() == 3
     before = manifest_signature(source_manifest(spark, str(tmp_path)))
     assert source_manifest(spark, str(tmp_path)).count() == 3
     (tmp_path / "dns4.log").write_text("#fields\tts\n")
     assert manifest_signature(source_manifest(spark, str(tmp_path))) != before
 
 
+def test_documents(spark, tmp_path):
+    read = lambda text: [(tmp_path / "d.json").write_text(text), read_documents(spark, f"{tmp_path}/d.json").collect()][1]
+    assert [r.uid for r in read('{"uid":\n "a"}')] == ["a"] and [r.uid for r in read('\ufeff [{"uid": "a"}, {"uid": "b"}] ')] == ["a", "b"] and [r.uid for r in read('{"uid": "a"}\n\n{"uid": "b"}\n')] == ["a", "b"]
+    for bad in ("", " \n", "[]", '[{"uid": "a"}, 1]', "[", "text", '{"uid": "a"}\nx'):
+        with pytest.raises(Exception, match="not JSON objects"):
+            read(bad)
+
+
+def test_manifests_and_segments(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "dns1.log").write_text("#fields\tts\n1\n2\n\n")
+    with gzip.open(tmp_path / "in" / "dns2.log.gz", "wt") as f:
+        f.write("3\n")
+    got = {r.path.rpartition("/")[2]: (r.bytes, r.records) for r in input_manifest(spark, f"{tmp_path}/in").collect()}
+    assert got["dns1.log"] == (17, 2) and got["dns2.log.gz"][1] == 1
+    assert consolidate(spark, f"{tmp_path}/in", f"{tmp_path}/out") == 3
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["#fields\tts", "1", "2", "3"]
+
+
 def test_bounded_history(spark):
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 3, "x"), ("c", 4, "y")], "k string, seq int, v string")
     assert [(r.k, r.v) for r in reports.keep_bounded(rows, ["k"], "seq", 2).collect()] == [("c", "y"), ("b", "x")]

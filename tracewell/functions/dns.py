@@ -113,7 +113,8 @@ def severity_isolation(percentile: Column) -> Column:
 
 def isolation_points(percentile: Column, score: Column) -> Column:
     """The percentile as a whole number, half to even; without one 50 and more, as the score lies above 0."""
-    return F.coalesce(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), percentile))), F.bround(F.greatest(F.lit(50.0), F.least(F.lit(100.0), 50 + 250 * F.greatest(F.lit(0.0), score))))).cast("int")
+    within = lambda low, x: F.greatest(F.lit(low), F.least(F.lit(100.0), x))
+    return F.bround(F.when(percentile.isNotNull(), within(0.0, percentile)).otherwise(within(50.0, 50 + 250 * F.greatest(F.lit(0.0), score)))).cast("int")
 
 
 def severity_isolation_alert(percentile: Column, score: Column) -> Column:

@@ -34,7 +34,7 @@ SUBSTITUTED, DROPPED, DOUBLED = 2.0, 1.0, 1.0
 MAX_LABELLED = 20_000
 #: The least number of toxic documents that have a feature with a weight.
 LEAST = 3
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: The cost of a space that was put in.
 GLUED = 1.0
 _TRAILING = ".,;:?"

@@ -66,7 +66,7 @@ def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> l
     for i, (a, b, below, _) in held.items():
         if a < b:
             found[i] = float(few[np.searchsorted(few, a) + i - below])
-    return [found[int(np.floor(p))] + (found[int(np.ceil(p))] - found[int(np.floor(p))]) * (p - np.floor(p)) for p in places]
+    return [float(found[int(np.floor(p))] + (found[int(np.ceil(p))] - found[int(np.floor(p))]) * (p - np.floor(p))) for p in places]
 
 
 def error_thresholds(scores: DataFrame, col: str, chosen: float = 0.99) -> DataFrame:
@@ -287,7 +287,7 @@ def stratified_sample(rows: DataFrame, label: str, limit: int, keys: tuple[str,
     known = known.where((F.col("_place") / float(1 << 64) + 0.5) * F.col("_n") <= limit + 8 * limit**0.5 + 8)
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_place", *keys))
     ranked = known.withColumn("_nth", nth).where(F.col("_nth") <= limit)
-    first = (F.col("_nth") <= F.col("_want")).cast("int")
+    first = F.when(F.col("_nth") <= F.least(F.lit(2), "_want"), 2).when(F.col("_nth") <= F.col("_want"), 1).otherwise(0)
     return ranked.withColumn("_first", first).orderBy(F.desc("_first"), "_place", *keys).limit(limit).drop("_place", "_n", "_want", "_nth", "_first")
 
 

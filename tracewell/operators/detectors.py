@@ -51,9 +51,10 @@ def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> l
         parts = [F.when(x.between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.lit(BUCKETS - 1), F.floor((x - a) / (b / BUCKETS - a / BUCKETS))).cast("int").alias("bucket"))) for k, (a, b, _, _) in enumerate(wide)]
         rows = values.select(F.coalesce(*parts).alias("p"), col).where("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.min(col).alias("a"), F.max(col).alias("b")).orderBy("p").collect()
         after = {}
-        for k, (a, b, below, size) in enumerate(wide):
+        for k, interval in enumerate(wide):
+            below = interval[2]
             for r in (r for r in rows if r.p.k == k):
-                for rank in (i for i, h in held.items() if h == (a, b, below, size) and below <= i < below + r.n):
+                for rank in (i for i, h in held.items() if h == interval and below <= i < below + r.n):
                     after[rank] = (r.a, r.b, below, r.n)
                 below += r.n
         held |= after

@@ -212,9 +212,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 200, id_col:
     counted = materialize(wanted.groupBy(*owner, "n").agg(F.count("*").alias("rows")), "counted")
     asked = counted.groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
     words = _passages(texts.join(asked, ["id", "print"]).select("id", "print", "text", "which"), window).dropDuplicates([*owner, "n"])
-    words = materialize(words.join(counted, [*owner, "n"]), "passages")
     # by id alone: the automaton finds a passage in every text of the id, and again further on in one text
-    found = join_counted(wanted, words, [*owner, "n"], "rows").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))
+    found = join_counted(wanted, words, [*owner, "n"], "rows", counted).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))
     both = slim.join(found, F.col("id") == F.col("_id"), "left").select("id", "text", "passages")
     return _cut(both, block)
 

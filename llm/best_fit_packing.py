@@ -81,14 +81,12 @@ class WordEncoder:
     def _known(self, words: list[str]) -> list[bytes]:
         """Ids of each of the different words, remembered or encoded."""
         found = list(map(self.young.get, words))
-        for k, ids in enumerate(found):
-            if ids is None:
-                found[k] = self.old.get(words[k])
-        lost = [k for k, ids in enumerate(found) if ids is None]
-        if lost:
-            for k, ids in zip(lost, self._encode([words[k] for k in lost]), strict=True):
-                found[k] = ids
-        self.young.update(zip(words, found, strict=True))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        seen = [self.old.get(words[k]) for k in missed]
+        lost = [words[k] for k, ids in zip(missed, seen, strict=True) if ids is None]
+        encoded = iter(self._encode(lost) if lost else ())
+        for k, ids in zip(missed, seen, strict=True):
+            found[k] = self.young[words[k]] = next(encoded) if ids is None else ids
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         return found
@@ -111,8 +109,11 @@ class WordEncoder:
         at = np.cumsum(size) - size
         ends = bounds[1:] - bounds[0]
         codes = np.insert(np.asarray(numbered.indices), ends, len(known) - 1)
-        after = np.cumsum(size[codes])
-        places = np.arange(after[-1] if len(after) else 0) + np.repeat(at[codes] - after + size[codes], size[codes])
+        own = size[codes]
+        after = np.cumsum(own)
+        kind = np.int32 if (len(after) == 0 or after[-1] < 1 << 31) and at[-1] < 1 << 31 else np.int64  # half the memory to walk, in all but huge texts
+        places = np.repeat((at[codes] - after + own).astype(kind), own)
+        places += np.arange(len(places), dtype=kind)
         return np.frombuffer(b"".join(known), dtype="<u4")[places], np.concatenate([[0], after[ends + np.arange(len(ends))]]).astype(np.int64)
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -81,4 +81,4 @@ def test_edges(spark):
 def test_rows_that_repeat_each_other_fill_several_groups(spark):
     docs = spark.range(1000).selectExpr("1L AS doc_id", "repeat('a b ', 500) AS text")
     got = pack(docs, PATH, group=50).collect()
-    assert laid_out(got) == 500 and len({r.sequence_id % 20 for r in got}) > 10
+    assert 500 <= laid_out(got) <= 520 and len({r.sequence_id % 20 for r in got}) > 10

@@ -209,8 +209,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 200, id_col:
     partly = windows.join(owners, ["phrase", "w"]).where("owner < id").select("id", "print", F.col("begin").alias("start"), F.lit(1).alias("n"), *owner)
     wanted = materialize(_joined(whole.unionByName(partly)), "wanted")
     discard(rows, kinds, windows)
-    counted = materialize(wanted.groupBy(*owner, "n").agg(F.count("*").alias("rows")), "counted")
-    asked = counted.groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
+    counted = wanted.groupBy(*owner, "n").agg(F.count("*").alias("rows"))
+    asked = wanted.select(*owner, "n").distinct().groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
     words = _passages(texts.join(asked, ["id", "print"]).select("id", "print", "text", "which"), window).dropDuplicates([*owner, "n"])
     # by id alone: the automaton finds a passage in every text of the id, and again further on in one text
     found = join_counted(wanted, words, [*owner, "n"], "rows", counted).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))

@@ -90,20 +90,23 @@ def remembered(owner, make=None):
 PARTS = 200
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, counts: DataFrame | None = None) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, counts: DataFrame | None = None, how: str = "inner", salt: Column | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key, all keys of ``left`` that matter, and how many rows of ``left`` have the key.
 
     Keys with many rows are split by a salt, and their row of ``right`` is repeated for each part. Only these keys and their number of
     parts are broadcast, at most `PARTS` rows. Where ``counts`` is given it has the keys and numbers, and ``right`` is read once; else ``right`` is read
-    twice and should be a written table. The column ``count`` isn't in the result.
+    twice and should be a written table. The column ``count`` isn't in the result. ``how`` is ``inner`` or ``left``.
+
+    The salt is a hash of ``salt``, by default of the row's values, never its place: a task that is run again after its executor was lost deals every row to the part where it went before.
     """
     known = right if counts is None else counts
+    own = F.xxhash64(*(F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString())) if salt is None else salt
     total = known.agg(F.sum(count)).first()[0] or 0
     least = max(1000.0, total / PARTS)
     heavy = F.broadcast(known.where(F.col(count) > least).select(*on, F.ceil(F.col(count) / least).cast("int").alias("_parts")))
-    dealt = left.join(heavy, on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts"))).cast("int")).drop("_parts")
+    dealt = left.join(heavy, on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(own, F.col("_parts"))).cast("int")).drop("_parts")
     repeated = right.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", count)
-    return dealt.join(repeated, [*on, "_salt"]).drop("_salt")
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -88,8 +88,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(extra), path))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from llm._common import discard, join_counted, materialize, shared_folder
+    from llm.warc import assemble, read_warc, write_warc
+
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    records = materialize(read_warc(spark, path).drop("payload", "headers", "http_headers"), "records")
+    took = F.explode("metadata").alias("about")
+    captures = assemble(records).where("capture is not null").select("record_id", "capture.type", "capture.refers_to", "capture.payload_bytes", "capture.payload_digest", took)
+    rows = materialize(captures.withColumn("page_id", F.col("about.fields")["page_id"].cast("long")).drop("about"), "captures")
+    discard(records)
+    meant = rows.where("refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("rows"))
+    named = rows.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("page_id").alias("response_id"))
+    told = join_counted(rows, materialize(meant.join(named, "refers_to"), "responses"), ["refers_to"], "rows", how="left", salt=F.xxhash64("record_id"))
+    return told.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("response_id").alias("refers_to"))
+
+
 def queries() -> dict:
-    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format)
+    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format, op13_warc)
     return {f.__name__: f for f in found}
 
 
@@ -131,6 +150,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 e AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), '<', '\\l')) + length(replace(replace(text, '\\', '\\\\'), '<', '\\l')) + length('<|turn|><|text|><|end|>') AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op13_warc": """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first OR page_id IS NULL AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN record_type = 'revisit' THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""",
 }
 
 

@@ -88,6 +88,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(extra), path))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.whitening import whiten
+
+    white = whiten(_table(spark, sf_dir, "embeddings"))
+    return white.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -108,7 +115,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format, op13_warc)
+    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format, op12_whitening, op13_warc)
     return {f.__name__: f for f in found}
 
 

@@ -80,7 +80,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     asked = _record(F.lit("request"), F.col("request"), date, uri | {"WARC-Concurrent-To": F.col("response"), "Content-Type": F.lit("application/http;msgtype=request")}, binary(F.coalesce(line, F.lit("GET / HTTP/1.1" + END))))
     about = _record(F.lit("metadata"), F.col("about"), date, uri | {"WARC-Concurrent-To": F.col("response"), "Content-Type": F.lit("application/warc-fields")}, binary(F.coalesce(F.concat(F.lit("page_id: "), own.cast("string"), F.lit("\r\n")), F.lit(""))))
     rows = named.select(F.explode(F.array(asked, got, about)).alias("record"))
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 3 * most).text(path)
 
 
 def _headers(head: bytes) -> tuple[str, list[tuple[str, str]]]:
@@ -101,8 +101,6 @@ def _whole(text: bytes, file: str) -> tuple[list[tuple[str, str]], int, int]:
     at = text.find(END.encode())
     named = _headers(text[: at if at >= 0 else len(text)])[1]
     head = dict(named)
-    if at < 0 and "content-length" in head and not text.endswith(b"\r\n\r\n"):
-        at = len(text)  # an empty block: the mark took the blank line
     length = head.get("content-length", "")
     if at < 0 or not length.isdigit() or "warc-record-id" not in head or "warc-type" not in head:
         raise ValueError(f"not a WARC record with an id, a type and a length: {file}")
@@ -153,12 +151,23 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    def done(text: bytes, file: str, named, start: int, length: int) -> None:
-        nonlocal size
-        if text[start + length:].strip(b"\r\n"):
-            raise ValueError(f"a WARC record is longer than it says: {file}")
-        rows.append(_parsed(named, text[start : start + length], file))
-        size += length + 500
+    def take(text: bytes, file: str, known=None) -> None:
+        """The records of a part, of which there are several where the splitting reader has overlooked a mark: it can, where a block ends like a mark's beginning."""
+        nonlocal kept, size
+        while text:
+            named, start, length = known or _whole(text, file)
+            if start + length > len(text):
+                kept = [[text], file, start + length - len(text), (named, start, length)]
+                return
+            rows.append(_parsed(named, text[start : start + length], file))
+            size += length + 500
+            text, known = text[start + length :], None
+            if text.startswith(MARK.encode()):
+                text = text[len(MARK) :]
+            elif text.strip(b"\r\n"):
+                raise ValueError(f"a WARC record is longer than it says: {file}")
+            else:
+                return
 
     for part in batches:
         for value, file in zip(part.column(0), part.column(1), strict=True):
@@ -169,14 +178,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept[0].append(MARK.encode() + text)
                 kept[2] -= len(MARK) + len(text)
                 if kept[2] <= 0:
-                    done(b"".join(kept[0]), file, *kept[3])
+                    parts, known = kept[0], kept[3]
                     kept = None
+                    take(b"".join(parts), file, known)
             elif text.strip():
-                named, start, length = _whole(text, file)
-                if start + length > len(text) and length:
-                    kept = [[text], file, start + length - len(text), (named, start, length)]
-                else:
-                    done(text, file, named, start, length)
+                take(text, file)
             if size > BATCH:
                 yield batch()
                 rows.clear()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from llm import queries as Q
 from llm._common import materialize
-from llm.warc import assemble, read_warc, write_warc
+from llm.warc import _records, assemble, read_warc, write_warc
 from tests.test_oracle import same_rows
 
 BIG = "x" * 100
@@ -92,6 +92,15 @@ def test_foreign_archives(spark, tmp_path):
     assert got == {"<r1>": (True, ["<q1>"], ["<m1>", "<m2>"]), "<s>": (True, [], []), "<q9>": (False, ["<q9>"], []), "<i>": (False, [], ["<i>"])}
 
 
+def test_marks_that_the_reader_overlooks():
+    import pyarrow as pa
+
+    texts = [record(b"request", b"<q%d>" % k, b"GET / HTTP/1.1\r\n\r\n" * (k % 3)).removesuffix(b"\r\n\r\n") for k in range(6)]
+    parts = [texts[0], (b"\r\n\r\n".join(texts[1:4])).removeprefix(b"WARC/"), texts[4].removeprefix(b"WARC/"), texts[5].removeprefix(b"WARC/") + b"\r\n\r\n"]
+    got = [r for b in _records([pa.RecordBatch.from_pydict({"value": parts, "file": ["f"] * len(parts)})]) for r in b.to_pylist()]
+    assert [(r["record_id"], r["payload"].count(b"GET")) for r in got] == [(f"<q{k}>", k % 3) for k in range(6)]
+
+
 @pytest.mark.parametrize("text", [b"hello", record(b"response", b"<r>", b"12345")[:-7], b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n", record(b"response", b"<r>", b"12345").replace(b": 5", b": 3")])
 def test_broken_archives_are_errors(spark, tmp_path, text):
     (tmp_path / "a.warc").write_bytes(text)

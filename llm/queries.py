@@ -88,6 +88,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(extra), path))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one kind of damage or none to each turn, by a checksum of its id and number; null values are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    said = F.when(kind == 1, "").when(kind == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text"))
+    row = F.struct(F.when(kind == 4, "user").otherwise(text("role")).alias("role"), said.alias("text"))
+    times = F.when(kind == 0, F.array().cast("array<struct<role:string,text:string>>")).when(kind == 3, F.array(row, row)).otherwise(F.array(row))
+    return rows.select("conv_id", "turn", F.inline(times))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.conversation_repair import repair
+
+    rows = _table(spark, sf_dir, "conversations")
+    return repair(_damaged(rows), rows.select("conv_id"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.whitening import whiten
 
@@ -115,7 +132,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format, op12_whitening, op13_warc)
+    found = (op1_url_filter, op2_top_k, op3_toxicity, op4_line_dedup, op5_mixture, op6_substring_dedup, op7_simhash, op8_quality, op9_packing, op10_chat_format, op11_conversation_repair, op12_whitening, op13_warc)
     return {f.__name__: f for f in found}
 
 

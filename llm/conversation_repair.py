@@ -393,7 +393,8 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None, conv: str =
         n(blank, copies).alias("blank"), n(~blank, F.when(again, copies).otherwise(copies - 1)).alias("duplicate"), n(~blank & ~again & F.col("cut"), 1).alias("truncated")
     )
     wide = lambda c: c.cast("decimal(20,0)")
-    counts = per.groupBy("c").agg(F.least(wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count("turn"), F.lit((1 << 63) - 1)).alias("gaps"), *(F.sum(x).alias(x) for x in ("blank", "duplicate", "truncated")))
+    missing, most = wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count("turn"), F.lit((1 << 63) - 1)
+    counts = per.groupBy("c").agg(F.when(missing > most, most).otherwise(missing).alias("gaps"), *(F.sum(x).alias(x) for x in ("blank", "duplicate", "truncated")))
     found = _replayed(slim, audited(turns)).mapInArrow(_digests, "c string, audit string, illegal long, cost long, sha string")
     ids = _slim(conversations.select(F.col(f"`{conv}`").alias("conv_id"), *(F.lit(None).cast("int").alias(x) for x in "trx")), "conv_id", "t", "r", "x").select("c").distinct() if conversations is not None else counts.select("c")
     whole = ids.join(counts, "c", "left").join(found, "c", "left")

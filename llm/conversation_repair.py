@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -91,6 +91,21 @@ def run_matrix(symbol: int, n: int) -> Matrix:
     return out
 
 
+@lru_cache(1 << 16)
+def _grown(whole: Matrix, symbol: int, n: int) -> tuple[Matrix, int]:
+    """A transition, of which the least cost was taken off, and then a run of equal turns: again less its least cost, and this. Short conversations meet few different ones."""
+    m = _times(whole, run_matrix(symbol, n))
+    least = min(map(min, m))
+    return tuple(tuple(x - least if x < FAR // 2 else FAR for x in row) for row in m), least
+
+
+@lru_cache(1 << 16)
+def _before_run(symbol: int, n: int, ahead: tuple[int, ...]) -> tuple[int, ...]:
+    """Costs before a run by those after it, less the least of them."""
+    v = _before(run_matrix(symbol, n), ahead)
+    return tuple(x - min(v) for x in v)
+
+
 @cache
 def _back(symbol: int, ahead: tuple[int, ...]) -> tuple[int, ...]:
     """Costs before a turn by those after it, less the least of them: only differences tell choices apart, and there are few of them."""
@@ -113,15 +128,14 @@ def _choice(symbol: int, ahead: tuple[int, ...], state: int) -> tuple[str, int]:
 
 def unroll(runs: list[tuple[int, int]], ahead: tuple[int, ...], states: list[int]) -> list[tuple[str, int]]:
     """The edits of a part's runs, and the state they lead to, for each state before it, by the costs after it."""
-    at = [ahead]
+    at = [tuple(x - min(ahead) for x in ahead)]
     for symbol, n in reversed(runs):
-        at.append(_before(run_matrix(symbol, n), at[-1]))
+        at.append(_before_run(symbol, n, at[-1]))
     at.reverse()
     parts: list[list[str]] = [[] for _ in states]
     states = list(states)
     for r, (symbol, n) in enumerate(runs):
-        v = tuple(x - min(at[r + 1]) for x in at[r + 1])
-        inside = [v]  # costs after each turn of the run, from its last
+        inside = [at[r + 1]]  # costs after each turn of the run, from its last
         for _ in range(n - 1):
             inside.append(_back(symbol, inside[-1]))
         for k in range(len(states)):
@@ -150,10 +164,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         c, runs, illegal = own
-        whole = NOTHING
+        whole, cost = NOTHING, 0
         for symbol, n in runs:
-            whole = _times(whole, run_matrix(symbol, n))
-        rows.append({"c": c, "part": part, "symbols": [s for s, _ in runs], "lengths": [n for _, n in runs], "matrix": [x for row in whole for x in row], "illegal": illegal})
+            whole, more = _grown(whole, symbol, n)
+            cost += more
+        rows.append({"c": c, "part": part, "symbols": [s for s, _ in runs], "lengths": [n for _, n in runs], "matrix": [x + cost if x < FAR else x for row in whole for x in row], "illegal": illegal})
 
     for batch in batches:
         for c, symbol, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):

@@ -82,12 +82,15 @@ def test_alert_files(spark, tmp_path):
     assert tuple(report.columns) == A.REPORT and {r.detection_type for r in report.collect()} == {"autoencoder"} and report.count() == 5
 
 
-@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40, list(range(100)), [float(x) for x in np.random.default_rng(1).lognormal(0, 3, 5000)], [1e-9 * k for k in range(3000)] + [1e9], [float("nan"), 1.0]])
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40, list(range(100)), [float(x) for x in np.random.default_rng(1).lognormal(0, 3, 5000)], [1e-9 * k for k in range(3000)] + [1e9], [float("nan"), 1.0],
+    [float(k) for k in range(3000)] + [math.inf] * 40, [-math.inf] * 100 + [float(k % 7) for k in range(3000)], [math.inf] * 1500, [5e-324 * (k % 3) for k in range(4000)], [1.7e308 * (-1) ** k for k in range(3000)] + [1.0], [5e-324 * k for k in range(3000)]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
     shares = (0.0, 0.5, 0.95, 0.99, 1.0)
-    want = np.quantile([v for v in values if not math.isnan(v)], shares)
-    assert detectors.exact_quantiles(df, "x", shares) == pytest.approx(want.tolist(), rel=1e-12)
+    own = sorted(v for v in values if not math.isnan(v))
+    places = [p * (len(own) - 1) for p in shares]
+    want = [a if (a := own[int(p)]) in (b := own[math.ceil(p)], -math.inf) else a + (b - a) * (p - int(p)) for p in places]
+    assert detectors.exact_quantiles(df, "x", shares) == pytest.approx(want, rel=1e-12, abs=0)
     assert detectors.exact_quantiles(df.where("false"), "x", (0.5,)) == [None]
 
 

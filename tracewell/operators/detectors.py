@@ -35,20 +35,39 @@ def scale(windows: DataFrame, like: DataFrame | None = None, features: list[str]
 
 
 def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> list[float | None]:
-    """Quantiles with linear interpolation, exactly; nulls and NaN are left out, and without values all are None.
+    """Quantiles with linear interpolation, exactly; nulls and NaN are left out, and without values all are None. Infinite values are counted apart; between minus infinity and a larger value it is minus infinity.
 
     Each pass counts the values of the intervals that hold the wanted ranks in `BUCKETS` equal buckets, and narrows every interval to the
     one bucket that holds its rank, until it has `FEW` values or one. No task sorts all values, and the driver gets counts of bounded number.
     """
     x = F.col(col)
     values = values.select(x.cast("double").alias(col)).where(x.isNotNull() & ~F.isnan(x))
-    n, low, high = values.agg(F.count("*"), F.min(col), F.max(col)).first()
+    n, least, most = values.agg(F.count("*"), F.count_if(x == -np.inf), F.count_if(x == np.inf)).first()
     if not n:
         return [None] * len(shares)
     places = [p * (n - 1) for p in shares]
-    held = {r: (low, high, 0, n) for p in places for r in (int(np.floor(p)), int(np.ceil(p)))}  # rank: low, high, values below, values in it
+    ranks = sorted({r for p in places for r in (int(np.floor(p)), int(np.ceil(p)))})
+    found = {r: -np.inf if r < least else np.inf for r in ranks if r < least or r >= n - most}
+    found |= {r: v for r, v in _ranked(values.where(F.abs(x) < np.inf), col, [r - least for r in ranks if r not in found], least).items()}
+
+    def between(p: float) -> float:
+        low, high = found[int(np.floor(p))], found[int(np.ceil(p))]
+        return float(low if low in (high, -np.inf) else low + (high - low) * (p - np.floor(p)))
+
+    return [between(p) for p in places]
+
+
+def _ranked(values: DataFrame, col: str, ranks: list[int], first: int) -> dict[int, float]:
+    """The finite values at some ranks, which ``first`` is added to."""
+    if not ranks:
+        return {}
+    x = F.col(col)
+    n, low, high = values.agg(F.count("*"), F.min(col), F.max(col)).first()
+    held = {r: (low, high, 0, n) for r in ranks}  # rank: low, high, values below, values in it
     while wide := sorted({h for h in held.values() if h[0] < h[1] and h[3] > FEW}):
-        parts = [F.when(x.between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.lit(BUCKETS - 1), F.floor((x - a) / (b / BUCKETS - a / BUCKETS))).cast("int").alias("bucket"))) for k, (a, b, _, _) in enumerate(wide)]
+        # halves don't overflow; neighbours too close for a difference of halves are told apart by value, of which there are few
+        place = lambda a, b: F.least(F.lit(BUCKETS - 1), F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * BUCKETS)).cast("double") if b / 2 - a / 2 > 2.0**-1060 else x
+        parts = [F.when(x.between(a, b), F.struct(F.lit(k).alias("k"), place(a, b).alias("bucket"))) for k, (a, b, _, _) in enumerate(wide)]
         rows = values.select(F.coalesce(*parts).alias("p"), col).where("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.min(col).alias("a"), F.max(col).alias("b")).orderBy("p").collect()
         after = {}
         for k, interval in enumerate(wide):
@@ -57,6 +76,8 @@ def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> l
                 for rank in (i for i, h in held.items() if h == interval and below <= i < below + r.n):
                     after[rank] = (r.a, r.b, below, r.n)
                 below += r.n
+        if all(after[i] == held[i] for i in after):
+            raise RuntimeError(f"the interval of a quantile of {col} doesn't narrow")
         held |= after
     found = {i: h[0] for i, h in held.items() if h[0] == h[1]}
     narrow = {h for h in held.values() if h[0] < h[1]}
@@ -67,7 +88,7 @@ def exact_quantiles(values: DataFrame, col: str, shares: tuple[float, ...]) -> l
     for i, (a, b, below, _) in held.items():
         if a < b:
             found[i] = float(few[np.searchsorted(few, a) + i - below])
-    return [float(found[int(np.floor(p))] + (found[int(np.ceil(p))] - found[int(np.floor(p))]) * (p - np.floor(p))) for p in places]
+    return {first + i: v for i, v in found.items()}
 
 
 def error_thresholds(scores: DataFrame, col: str, chosen: float = 0.99) -> DataFrame:

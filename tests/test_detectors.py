@@ -73,11 +73,22 @@ def test_tsv(spark, tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    read = lambda text: [(tmp_path / "d.json").write_text(text), read_documents(spark, f"{tmp_path}/d.json").collect()][1]
+    read = lambda text: [(tmp_path / "d.json").write_bytes(text if isinstance(text, bytes) else text.encode()), read_documents(spark, f"{tmp_path}/d.json").collect()][1]
     assert [r.uid for r in read('{"uid":\n "a"}')] == ["a"] and [r.uid for r in read('\ufeff [{"uid": "a"}, {"uid": "b"}] ')] == ["a", "b"] and [r.uid for r in read('{"uid": "a"}\n\n{"uid": "b"}\n')] == ["a", "b"]
-    for bad in ("", " \n", "[]", '[{"uid": "a"}, 1]', "[", "text", '{"uid": "a"}\nx'):
+    assert [r.uid for r in read('[{"uid": "a"}]\n[1]'.replace("\n[1]", " "))] == ["a"] and [(r.uid, r["query"]) for r in read('{"uid": "a", "query": "é\\n"}')] == [("a", "é\n")]
+    for bad in ("", " \n", "[]", '[{"uid": "a"}, 1]', "[", "text", '{"uid": "a"}\nx', '{"uid": "a"} {"uid": "b"}', '[{"uid": "a"}]]', "null", '{"uid": "a"}\n[]', b'{"uid": "\xff"}'):
         with pytest.raises(Exception, match="not JSON objects"):
             read(bad)
+    (tmp_path / "many [1]").mkdir()
+    (tmp_path / "many [1]" / "a b%20.json").write_text('{"uid":\n "a"}')
+    (tmp_path / "many [1]" / "c.json").write_text('{"uid": "b"}\n' * 2000)
+    with gzip.open(tmp_path / "many [1]" / "d.json.gz", "wt") as f:
+        f.write('[{"uid": "c"}]')
+    found = read_documents(spark, f"{tmp_path}/many \\[1\\]")
+    assert {r.uid: r["count"] for r in found.groupBy("uid").count().collect()} == {"a": 1, "b": 2000, "c": 1}
+    (tmp_path / "many [1]" / "empty.json").write_text("")
+    with pytest.raises(Exception, match="not JSON objects"):
+        read_documents(spark, f"{tmp_path}/many \\[1\\]")
 
 
 def test_manifests_and_segments(spark, tmp_path):
@@ -86,7 +97,7 @@ def test_manifests_and_segments(spark, tmp_path):
     with gzip.open(tmp_path / "in" / "dns2.log.gz", "wt") as f:
         f.write("3\n")
     got = {r.path.rpartition("/")[2]: (r.bytes, r.records) for r in input_manifest(spark, f"{tmp_path}/in").collect()}
-    assert got["dns1.log"] == (17, 2) and got["dns2.log.gz"][1] == 1
+    assert got["dns1.log"] == (16, 2) and got["dns2.log.gz"][1] == 1
     assert consolidate(spark, f"{tmp_path}/in", f"{tmp_path}/out") == 3
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["#fields\tts", "1", "2", "3"]
 

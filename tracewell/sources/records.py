@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +23,69 @@ def read_json(spark: SparkSession, paths: str | list[str], keep_raw: bool = Fals
     return kept.select("e.*", *(["__raw_line"] if keep_raw else []))
 
 
+def _objects(text: bytes, file: str) -> list[str]:
+    """The JSON objects of a whole document, each as text; an error if it is anything else, or text follows it."""
+    try:
+        found = json.loads(text.decode("utf-8-sig"))
+    except ValueError as e:
+        raise ValueError(f"not JSON objects: {file}: {e}") from e
+    items = found if isinstance(found, list) else [found]
+    if not items or not all(isinstance(x, dict) for x in items):
+        raise ValueError(f"not JSON objects: {file}")
+    return [json.dumps(x, ensure_ascii=False) for x in items]
+
+
+def _is_object(line: bytes, file: str) -> bool:
+    try:
+        return isinstance(json.loads(line.decode("utf-8")), dict)
+    except UnicodeDecodeError as e:
+        raise ValueError(f"not JSON objects: {file}: {e}") from e
+    except ValueError:
+        return False
+
+
+def _count_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, list[int]] = {}
+    for batch in batches:
+        for file, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            told = seen.setdefault(file, [0, 0])
+            if (text := line.as_py().strip()):
+                told[0 if _is_object(text, file) else 1] += 1
+    yield pa.RecordBatch.from_pydict({"file": list(seen), "objects": [n for n, _ in seen.values()], "others": [n for _, n in seen.values()]}, schema=pa.schema([("file", pa.string()), ("objects", pa.int64()), ("others", pa.int64())]))
+
+
+def _take_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield pa.RecordBatch.from_pydict({"item": _objects(text.as_py(), file)})
+
+
+def _plain_path(url: str) -> str:
+    """A file's URL as a path for a reader: not encoded, and without patterns."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(url))
+
+
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Whole files that hold one JSON object, an array of objects, or an object on each line; a byte-order mark is skipped.
+    """Files that hold an object of JSON on each line, one JSON object, or an array of objects; blank lines and a byte-order mark are skipped.
 
-    A file that is empty or holds anything else than objects is an error when the rows are computed.
+    A file that is empty or holds anything else, be it after a document's end or bytes that aren't UTF-8, is an error. Lines are told from documents by a first pass over all lines, after which files of lines are
+    read as such, split over tasks; any other file is one document, held by one task. The driver knows the files' names.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.trim(F.regexp_replace("value", r"^\uFEFF|(?U)^\s+|\s+$", "")).alias("text"), F.col("_metadata.file_path").alias("file"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    is_object = lambda x: F.json_object_keys(x).isNotNull()
-    items = F.when(F.col("text").startswith("["), F.from_json("text", "array<string>")).when(F.forall(lines, is_object), lines).otherwise(F.array("text"))
-    found = files.select("file", items.alias("items"))
-    wrong = F.coalesce(F.size("items") < 1, F.lit(True)) | ~F.coalesce(F.forall("items", is_object), F.lit(False))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not JSON objects: "), F.col("file")))).otherwise(F.col("items"))
-    return found.select(F.explode(checked).alias("item")).select(F.from_json("item", RAW).alias("e")).select("e.*")
+    lines = spark.read.text(paths)
+    placed = lambda df: df.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    told = placed(lines).mapInArrow(_count_objects, "file string, objects long, others long").groupBy("file").agg(F.sum("objects").alias("objects"), F.sum("others").alias("others")).collect()
+    listed = lines.inputFiles()
+    bare = lambda url: re.sub(r"^(\w+):///", r"\1:/", unquote(url))
+    empty = {bare(f) for f in listed} - {bare(r.file) for r in told}
+    if empty or not listed:
+        raise ValueError(f"not JSON objects: {sorted(empty)[:3] or paths} are empty")
+    by_line, whole = ([_plain_path(r.file) for r in told if (r.objects > 0 and not r.others) is kind] for kind in (True, False))
+    items = []
+    if by_line:
+        items.append(spark.read.text(by_line).where(F.trim("value") != "").select(F.col("value").alias("item")))
+    if whole:
+        items.append(placed(spark.read.text(whole, wholetext=True)).mapInArrow(_take_objects, "item string"))
+    return reduce(DataFrame.unionByName, items).select(F.from_json("item", RAW).alias("e")).select("e.*")
 
 
 def read_tsv(spark: SparkSession, paths: str | list[str], keep_invalid: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,32 +89,78 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, items).select(F.from_json("item", RAW).alias("e")).select("e.*")
 
 
+Header = tuple[str | None, str | None, str | None]
+
+
+def header(line: str, above: Header) -> Header:
+    """What holds below a line, given what held above it: the separator, the last ``#fields`` line, and the separator of its names. None is what isn't told yet."""
+    sep, fields, own = above
+    if line.startswith("#separator"):
+        named = line[len("#separator"):].strip()
+        code = re.match(r"\\x([0-9A-Fa-f]{2})", named)
+        return chr(int(code[1], 16)) if code else "\t" if not named or named.startswith("\\x") else named, fields, own
+    return (sep, line, sep) if line.startswith("#fields") else above
+
+
+_HEADED = pa.schema([("value", pa.string()), ("file", pa.string()), ("split", pa.int64()), ("sep", pa.string()), ("fields", pa.string()), ("fields_sep", pa.string())])
+
+
+def _under_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line of data with the header above it in its own split; lines come in their order."""
+    at, held = None, (None, None, None)
+    for batch in batches:
+        rows = []
+        for value, file, split in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if at != (file, split):
+                at, held = (file, split), (None, None, None)
+            if value.startswith("#"):
+                held = header(value, held)
+            elif value:
+                rows.append((value, file, split, *held))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _HEADED, strict=True)], schema=_HEADED)
+
+
 def read_tsv(spark: SparkSession, paths: str | list[str], keep_invalid: bool = False) -> DataFrame:
     """Tab-separated records whose columns the last ``#fields`` line above them names; ``#separator`` may name another separator, as ``\\x09``.
 
     Lines that hold a JSON object are read as such. Short rows are padded with the null marker ``-``, long rows are cut, of a name that repeats the last column counts, and
     rows above any header and broken JSON are invalid. Invalid rows are left out, or with ``keep_invalid`` kept as nulls beside a column ``valid``. Columns are text, as in `read_json`.
 
-    Lines keep their order within a split, and splits theirs within a file, so that a row finds its header by position, however files are split. Only header lines are gathered by file.
+    A task follows the headers of its split in one pass; what holds where a split begins is found from the header lines alone and joined by file and split, so that no key has more rows than a split.
     """
-    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("at")
-    lines = spark.read.text(paths).select(F.regexp_replace("value", r"\r+$", "").alias("value"), F.col("_metadata.file_path").alias("file"), at)
-    named = F.trim(F.substring("value", len("#separator") + 1, 1 << 20))
-    hexed = F.decode(F.unhex(F.substring(named, 3, 2)), "ISO-8859-1")
-    sep = F.when(F.col("value").startswith("#separator"), F.when(named.rlike(r"^\\x[0-9A-Fa-f]{2}"), hexed).when(named.startswith("\\x") | (named == ""), "\t").otherwise(named))
-    cut = lambda c, by: F.split(c, F.concat(F.lit("\\Q"), by, F.lit("\\E")), -1)
-    order = Window.partitionBy("file").orderBy("at")
-    heads = lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).withColumn("sep", F.coalesce(F.last(sep, ignorenulls=True).over(order), F.lit("\t")))
-    own = cut(F.col("value"), F.col("sep"))
-    own = F.when(F.size(own) > 1, own).otherwise(F.split("value", r"\s+"))
-    heads = heads.select("file", "at", "sep", F.when(F.col("value").startswith("#fields"), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))).alias("names"))
-    heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "sep", "names"))).alias("heads"))
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file", "left")
-    above = F.filter(F.coalesce("heads", F.array().cast(heads.schema["heads"].dataType)), lambda h: h["at"] < F.col("at"))
-    rows = rows.withColumn("above", above).select(
-        "value", F.get(F.filter("above", lambda h: h["names"].isNotNull()), F.size(F.filter("above", lambda h: h["names"].isNotNull())) - 1)["names"].alias("names"),
-        F.coalesce(F.get("above", F.size("above") - 1)["sep"], F.lit("\t")).alias("sep"), F.ltrim("value").startswith("{").alias("is_json"),
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    lines = spark.read.text(paths).select(F.regexp_replace("value", r"\r+$", "").alias("value"), *at)
+    rows = lines.mapInArrow(_under_headers, "value string, file string, split long, sep string, fields string, fields_sep string")
+    heads = lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).withColumn("line", F.monotonically_increasing_id())
+
+    def carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = (None, None, None), []
+        for _, own in pdf.sort_values(["split", "line"]).groupby("split", sort=True):
+            for line in own["value"]:
+                held = header(line, held)
+            out.append((key[0], int(own["split"].iloc[0]), *held))
+        return pd.DataFrame(out, columns=["file", "split", "c_sep", "c_fields", "c_fields_sep"])
+
+    ended = heads.groupBy("file").applyInPandas(carry, "file string, split long, c_sep string, c_fields string, c_fields_sep string")
+    began = lines.groupBy("file", "split").agg(F.lit(None).cast("string").alias("c_sep"), F.lit(None).cast("string").alias("c_fields"), F.lit(None).cast("string").alias("c_fields_sep"), F.lit(0).alias("end"))
+    before = Window.partitionBy("file").orderBy("split", "end")  # a row or two for each split
+    held = F.last(F.when(F.col("end") == 1, F.struct("c_sep", "c_fields", "c_fields_sep")), ignorenulls=True).over(before)
+    carried = began.unionByName(ended.withColumn("end", F.lit(1))).withColumn("held", held).where("end = 0").select("file", "split", "held.*")
+    joined = rows.join(carried, ["file", "split"], "left")
+    named = joined.select(
+        "value", F.coalesce("sep", "c_sep").alias("sep"), F.coalesce("fields", "c_fields").alias("fields"), F.when(F.col("fields").isNotNull(), F.coalesce("fields_sep", "c_sep")).otherwise(F.col("c_fields_sep")).alias("fields_sep")
     )
+    return parse_lines(named, keep_invalid)
+
+
+def parse_lines(rows: DataFrame, keep_invalid: bool = False) -> DataFrame:
+    """Records of lines ``value`` with the header that holds for them: ``sep, fields, fields_sep``; see `read_tsv`. On a table or a stream."""
+    cut = lambda c, by: F.split(c, F.concat(F.lit("\\Q"), F.coalesce(by, F.lit("\t")), F.lit("\\E")), -1)
+    own = cut(F.col("fields"), F.col("fields_sep"))
+    own = F.when(F.size(own) > 1, own).otherwise(F.split("fields", r"\s+"))
+    names = F.when(F.col("fields").isNotNull(), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))))
+    rows = rows.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("value", "sep", names.alias("names"), F.ltrim("value").startswith("{").alias("is_json"))
     rows = rows.withColumns({"found": cut(F.col("value"), F.col("sep")), "json": F.when(F.col("is_json") & F.json_object_keys("value").isNotNull(), F.from_json("value", RAW))})
     valid = F.when(F.col("is_json"), F.col("json").isNotNull()).otherwise(F.coalesce(F.size("names") > 0, F.lit(False)))
 

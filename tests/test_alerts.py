@@ -173,7 +173,7 @@ def test_all_detectors_on_a_stream_agree_with_a_replay_and_write_once(spark, sf_
     model = models.fit(windows, k=3, trees=20, contamination=0.2, chosen=0.8)
     stream = spark.readStream.schema(static.schema).parquet(f"{tmp_path}/in")
     for turn in "ab":  # a second stream over the same input finds all alerts written
-        live.start_detectors(live.live_windows(stream, "10 days", "1 day"), static, model, f"{tmp_path}/out", f"{tmp_path}/check{turn}", "10 days").awaitTermination(200)
+        live.start_detectors(live.live_windows(stream, "10 days", "1 day", live.COUNTED), static, model, f"{tmp_path}/out", f"{tmp_path}/check{turn}", "10 days").awaitTermination(200)
     closed = windows.where(F.col("window_end") <= static.agg(F.max("ts") - F.expr("INTERVAL 1 DAY")).first()[0])
     replay = live.detect(closed, add_features(static), model, "10 days")
     for name, made in replay.items():

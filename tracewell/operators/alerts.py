@@ -82,7 +82,7 @@ def rule_alerts(judged: DataFrame, domains: DataFrame, size: str = "5 minutes",
     alerts = W.rule_alerts(judged, domains)
     methods = F.create_map(*(x for k in W.POINTS for x in (F.lit(k), F.col(k))))
     named = alerts.withColumns(_common("rules", size, mode, F.col("id")) | {"detection_methods": methods, "possible_causes": D.rule_causes(F.col("heuristics_fired"))})
-    return _domains_or(named, domains).drop(*FEATURES, *W.POINTS, "n_domains", "dns_servers")
+    return _domains_or(named, domains).drop(*FEATURES, *W.POINTS, "n_domains", "dns_servers", "w")
 
 
 def reconstruction_alerts(scored: DataFrame, domains: DataFrame, size: str = "5 minutes", mode: str = "full-log") -> DataFrame:
@@ -96,7 +96,7 @@ def reconstruction_alerts(scored: DataFrame, domains: DataFrame, size: str = "5
         **_common("reconstruction", size, mode, alert_id("reconstruction")), "severity": D.severity_reconstruction(ratio), "detection_methods": _flags("autoencoder"),
         "top_contributing_features": top, "possible_causes": F.array(F.lit(D.BASELINE_CAUSE)), "threshold_ratio": F.round(ratio, 6),
     })
-    return _domains_or(alerts, domains).drop(*FEATURES, "scaled", "latent", "residuals", "reconstructed", "dns_servers")
+    return _domains_or(alerts, domains).drop(*FEATURES, "scaled", "latent", "residuals", "reconstructed", "dns_servers", "suspicious", "w")
 
 
 def isolation_alerts(scored: DataFrame, domains: DataFrame, context: DataFrame | None = None, size: str = "5 minutes", mode: str = "full-log") -> DataFrame:
@@ -115,7 +115,7 @@ def isolation_alerts(scored: DataFrame, domains: DataFrame, context: DataFrame |
         "detection_methods": _flags("categorization_forest", "isolation_forest"), "top_contributing_features": top, "decision_function": -score, "score_margin": score - F.col("isolation_threshold"),
     })
     alerts = alerts.withColumn("possible_causes", D.feature_causes(F.transform("top_contributing_features", lambda s: s["feature"])))
-    return _domains_or(alerts, domains, context).drop(*FEATURES, "scaled", "attribution", "dns_servers")
+    return _domains_or(alerts, domains, context).drop(*FEATURES, "scaled", "attribution", "dns_servers", "suspicious", "w")
 
 
 def _on(name: str) -> Column:
@@ -168,15 +168,19 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
 
 def final_alerts(correlated: DataFrame, config: Config = Config()) -> DataFrame:
     """Correlated windows that pass, as alerts, latest and highest first."""
+    return final_rows(correlated, config).orderBy(F.desc("window_start"), F.desc("final_score"), "id")
+
+
+def final_rows(correlated: DataFrame, config: Config = Config()) -> DataFrame:
+    """Correlated windows that pass, as alerts in any order."""
     names = F.array_compact(F.array(*(F.when(F.col(f"{n}_evidence") > 0, F.lit(said)) for n, said in (("isolation", "Isolation Forest"), ("reconstruction", "Autoencoder"), ("rules", "Heuristics")))))
-    rows = correlated.where("outcome = 'alert'").select(
+    return correlated.where("outcome = 'alert'").select(
         "id", F.col("id").alias("alert_uid"), F.lit("DNS final correlated alert").alias("alert_name"), F.lit("final_correlated_alert").alias("alert_type"), F.lit("final_correlation").alias("detection_type"),
         "window_start", (F.col("window_start") + F.expr(f"INTERVAL {config.window}")).alias("window_end"), "src_ip", F.lit("New").alias("status"), "severity",
         F.bround("threat_score").cast("int").alias("threat_score"), F.bround("threat_score", 4).alias("final_score"), F.bround("base", 4).alias("weighted_base_score"),
         F.when(F.col("active") >= 3, config.bonus_three).when(F.col("active") == 2, config.bonus_two).otherwise(0.0).alias("consensus_bonus"), F.col("active").alias("models_agreeing"),
         names.alias("active_models"), *(F.bround(f"{n}_evidence", 4).alias(f"{n}_evidence") for n in ("isolation", "reconstruction", "rules")), F.col("contributing_ids").alias("source_alert_ids"),
     )
-    return rows.orderBy(F.desc("window_start"), F.desc("final_score"), "id")
 
 
 def load_final(alerts: DataFrame, limit: int = 500) -> DataFrame:

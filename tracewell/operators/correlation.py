@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
@@ -43,25 +43,32 @@ def evidence(isolation: DataFrame, reconstruction: DataFrame, rules: DataFrame,
 
     Isolation alerts have ``isolation_score, score_percentile, threat_score``, reconstruction alerts ``threshold_ratio``, rule alerts ``threat_score``.
     """
-    share = F.coalesce("score_percentile", F.col("threat_score").cast("double"), F.lit(0.0))
-    iso = F.when((F.col("isolation_score") >= config.min_isolation) & (share >= config.min_percentile), _clamp(share))
-    ratio = F.col("threshold_ratio")
-    rec = F.when(ratio >= max(1.0, config.min_ratio), _clamp(50 + 25 * (ratio - 1)))
-    points = F.col("threat_score").cast("double")
-    own = F.when(points >= config.min_rules, _clamp(points))
     window = F.window("window_start", config.window).getField("start").alias("window_start")
-    kept = [df.select(F.lit(n).alias("family"), "src_ip", window, "id", e.alias("evidence")) for n, df, e in zip(FAMILIES, (isolation, reconstruction, rules), (iso, rec, own), strict=True)]
+    kept = [df.select(F.lit(n).alias("family"), "src_ip", window, "id", e.alias("evidence")) for n, df, e in zip(FAMILIES, (isolation, reconstruction, rules), gated(config), strict=True)]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
+def gated(config: Config, isolation: Column | None = None, rules: Column | None = None, share: Column | None = None) -> tuple[Column, Column, Column]:
+    """The evidence of an alert of each family, null where it doesn't pass: of isolation by its percentile, of reconstruction by its ratio, of rules by their points."""
+    share = F.coalesce("score_percentile", F.col("threat_score").cast("double"), F.lit(0.0)) if share is None else share
+    iso = F.when(((F.col("isolation_score") if isolation is None else isolation) >= config.min_isolation) & (share >= config.min_percentile), _clamp(share))
+    ratio = F.col("threshold_ratio")
+    rec = F.when(ratio >= max(1.0, config.min_ratio), _clamp(50 + 25 * (ratio - 1)))
+    points = (F.col("threat_score") if rules is None else rules).cast("double")
+    return iso, rec, F.when(points >= config.min_rules, _clamp(points))
+
+
 def correlate(found: DataFrame, config: Config = Config()) -> DataFrame:
     """One row for each source and window: the best alert of each family, how many are active, score, and ``outcome``.
 
     The outcome is ``alert``, ``suppressed_consensus`` (too few detectors) or ``suppressed_score``; the first is tested first.
-    One shuffle, with partial aggregation, instead of outer joins.
+    One shuffle, with partial aggregation, instead of outer joins. Of a stream of evidence, which has its time as ``at``, windows come out when the watermark passes them.
     """
     best = lambda n: F.max(F.when((F.col("family") == n) & F.col("evidence").isNotNull(), F.struct("evidence", "id"))).alias(n)
-    grouped = found.groupBy("src_ip", "window_start").agg(*map(best, FAMILIES))
+    if found.isStreaming:
+        grouped = found.groupBy("src_ip", F.window("at", config.window).alias("w")).agg(*map(best, FAMILIES)).withColumn("window_start", F.col("w.start"))
+    else:
+        grouped = found.groupBy("src_ip", "window_start").agg(*map(best, FAMILIES))
     point = {n: F.coalesce(F.col(f"{n}.evidence"), F.lit(0.0)) for n in FAMILIES}
     active = sum((F.col(n).isNotNull().cast("int") for n in FAMILIES), F.lit(0))
     base = sum((p * w for p, w in zip(point.values(), config.shares(), strict=True)), F.lit(0.0))

@@ -280,12 +280,16 @@ def label_isolation(scored: DataFrame, contamination: float = 0.01, offset: floa
     return scored.withColumns({"isolation_score": score, "isolation_threshold": F.lit(0.0), "predicted_label": F.when(score > 0, "anomaly").otherwise("normal")}), offset
 
 
+def _bucket(c: Column) -> Column:
+    return F.least(F.floor(c * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
 def share_not_above(scores: DataFrame, reference: DataFrame, col: str, name: str = "score_percentile") -> DataFrame:
     """Adds the percentage of reference values not above each row's value, exactly; values lie between 0 and 1.
 
     Values are ranked within narrow buckets, and the counts of lower buckets, a table of bounded size, are added: no task sees all rows.
     """
-    bucket = lambda c: F.least(F.floor(c * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    bucket = _bucket
     known = reference.select(F.col(col).alias("_v")).where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n")).withColumn("_bucket", bucket(F.col("_v")))
     per = known.groupBy("_bucket").agg(F.sum("_n").alias("_in"))
     ordered = Window.orderBy("_bucket")  # at most BUCKETS rows
@@ -298,6 +302,24 @@ def share_not_above(scores: DataFrame, reference: DataFrame, col: str, name: str
     return scores.join(share, F.col(col) == F.col("_v"), "left").drop("_v")
 
 
+def share_table(reference: DataFrame, col: str) -> DataFrame:
+    """What `share_by` needs of a reference, in `BUCKETS` rows: how many values lie in lower buckets, and how many of a bucket's own aren't above each of them."""
+    known = reference.select(F.col(col).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).withColumn("bucket", _bucket(F.col("v")))
+    placed = known.withColumn("upto", F.sum("n").over(Window.partitionBy("bucket").orderBy("v")))
+    own = placed.groupBy("bucket").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("v", "upto"))).alias("own"))
+    every = reference.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(own, "bucket", "left")
+    ordered = Window.orderBy("bucket")  # BUCKETS rows
+    total = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
+    return every.select("bucket", (F.sum(F.coalesce("n", F.lit(0))).over(ordered) - F.coalesce("n", F.lit(0))).alias("below"), total, F.coalesce("own", F.array().cast(own.schema["own"].dataType)).alias("own"))
+
+
+def share_by(scores: DataFrame, table: DataFrame, col: str, name: str = "score_percentile") -> DataFrame:
+    """What `share_not_above` adds, for a stream too: each row meets one row of the table that `share_table` made."""
+    met = scores.withColumn("bucket", _bucket(F.col(col))).join(table, "bucket")
+    last = F.coalesce(F.array_max(F.transform(F.filter("own", lambda s: s["v"] <= F.col(col)), lambda s: s["upto"])), F.lit(0))
+    return met.withColumn(name, F.try_divide(100.0 * (last + F.col("below")), F.col("total"))).drop("bucket", "below", "total", "own")
+
+
 def stratified_sample(rows: DataFrame, label: str, limit: int, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """``limit`` rows, or all if there are fewer: of each label its share, at least two, by a hash of the keys; what is missing or too much is made up over all labels."""
     placed = rows.withColumn("_place", F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed)))

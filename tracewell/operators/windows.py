@@ -1,4 +1,4 @@
-"""Windows of a source: 36 features. Distinct values are counted in two steps, so that no row holds all names of a busy source; streams, which allow one aggregation, use sets."""
+"""Windows of a source: 36 features. Distinct values are counted in two steps, so that no row holds all names of a busy source; streams count them by sketches of bounded size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
+from tracewell.operators.domains import reasons
 from tracewell.operators.events import QTYPES, RCODES
 from tracewell.schema import FEATURES
 
@@ -14,35 +15,46 @@ POINTS = {"heuristic_dga": 35, "heuristic_tunnel": 40, "heuristic_fastflux": 30,
 DOMAIN_POINTS = 15
 
 
-def _distinct_sets(answers: Column) -> dict[str, Column]:
-    return {
-        "unique_queries": F.size(F.collect_set("query_clean")).cast("long"), "dns_servers": F.sort_array(F.collect_set("dns_server")),
-        "unique_answer_ips": F.size(F.array_distinct(F.flatten(F.collect_set(answers)))).cast("long"),
-    }
+#: Distinct values of a stream's window are counted exactly up to 2 to this power, and beyond it with a standard error of one in its root: 1.6 in 100.
+SKETCH = 12
+#: So many resolvers of a stream's window are known by name, the most used first.
+RESOLVERS = 100
+
+
+def _streamed(events: DataFrame, size: str, sums: dict[str, Column], answers: Column) -> DataFrame:
+    """Windows of a stream, of bounded state: three sketches of at most 33 KB each, and the most used resolvers. An event has a row for each of its answers, and counts by the first of them."""
+    suspicious = F.size(reasons()) > 0
+    rows = events.withColumn("_suspicious", suspicious).select("*", F.posexplode_outer(F.array_distinct(answers)).alias("_place", "_answer"))
+    first = F.coalesce(F.col("_place") == 0, F.lit(True))
+    grouped = rows.groupBy(F.window("ts", size).alias("w"), "src_ip").agg(
+        *(v(first).alias(k) for k, v in sums.items()), F.count_if(first & F.col("_suspicious")).alias("suspicious"),
+        F.theta_sketch_agg(F.when(first, F.col("query_clean")), F.lit(SKETCH)).alias("_names"), F.theta_sketch_agg("_answer", F.lit(SKETCH)).alias("_answers"),
+        F.theta_sketch_agg("dns_server", F.lit(SKETCH)).alias("_resolvers"), F.expr(f"approx_top_k(dns_server, {RESOLVERS})").alias("_servers"),
+    )
+    return grouped.withColumns({
+        "window_start": F.col("w.start"), "window_end": F.col("w.end"), "unique_queries": F.theta_sketch_estimate("_names"), "unique_answer_ips": F.theta_sketch_estimate("_answers"),
+        "unique_dns_servers": F.theta_sketch_estimate("_resolvers"), "dns_servers": F.sort_array(F.filter(F.transform("_servers", lambda x: x["item"]), lambda x: x.isNotNull())),
+    })
 
 
-def build_windows(events: DataFrame, size: str = "5 minutes") -> DataFrame:
+def build_windows(events: DataFrame, size: str = "5 minutes", also: tuple[str, ...] = ()) -> DataFrame:
     """``window_start, window_end, src_ip``, the features in their order, and ``dns_servers``, for events with features.
 
     In batch the sums, which combine before the shuffle, and the distinct names, servers and answers, each value its own key, are two
-    aggregations joined on window and source. A row holds the source's resolvers, none its names or answers.
+    aggregations joined on window and source. A row holds the source's resolvers, none its names or answers. A stream's windows are of one aggregation, with distinct values counted up to `SKETCH`; of its columns ``also``
+    may name ``w``, the window that later aggregations of the stream need, and ``suspicious``, how many events have a reason to be so.
     """
-    rate = lambda c: F.avg(c)
-    sums = {
-        "total_queries": F.count("*"), **{f"{c.lower()}_rate": rate(f"is_{c.lower()}") for c in (*RCODES, *QTYPES)},
-        "avg_query_len": F.avg("query_len"), "max_query_len": F.max("query_len"), "long_query_rate": rate("is_long_query"),
-        "avg_entropy": F.avg("entropy"), "max_entropy": F.max("entropy"), "high_entropy_rate": rate("is_high_entropy"),
-        "avg_label_count": F.avg("label_count"), "max_label_count": F.max("label_count"),
-        "avg_max_label_len": F.avg("max_label_len"), "max_max_label_len": F.max("max_label_len"), "long_label_rate": rate("is_long_label"),
-        "digit_ratio_avg": F.avg("digit_ratio"), "hyphen_ratio_avg": F.avg("hyphen_ratio"),
-        "avg_rtt": F.avg("rtt"), "max_rtt": F.max("rtt"), "answer_count_avg": F.avg("answer_count"), "answer_count_max": F.max("answer_count"),
-        "ttl_avg": F.avg("ttl_avg_event"), "ttl_min": F.min("ttl_min_event"), "low_ttl_rate": rate("is_low_ttl"),
+    own = {
+        "avg": [f"{c.lower()}_rate=is_{c.lower()}" for c in (*RCODES, *QTYPES)] + [
+            "avg_query_len=query_len", "long_query_rate=is_long_query", "avg_entropy=entropy", "high_entropy_rate=is_high_entropy", "avg_label_count=label_count", "avg_max_label_len=max_label_len", "long_label_rate=is_long_label",
+            "digit_ratio_avg=digit_ratio", "hyphen_ratio_avg=hyphen_ratio", "avg_rtt=rtt", "answer_count_avg=answer_count", "ttl_avg=ttl_avg_event", "low_ttl_rate=is_low_ttl"],
+        "max": ["max_query_len=query_len", "max_entropy=entropy", "max_label_count=label_count", "max_max_label_len=max_label_len", "max_rtt=rtt", "answer_count_max=answer_count"], "min": ["ttl_min=ttl_min_event"],
     }
-    sums = [v.alias(k) for k, v in sums.items()]
+    named = {name: (getattr(F, how), column) for how, of in own.items() for name, _, column in (x.partition("=") for x in of)}
     answers = F.filter(F.transform("answers", lambda a: F.trim(a)), lambda a: a != "")
     if events.isStreaming:
-        grouped = events.groupBy(F.window("ts", size).alias("w"), "src_ip").agg(*sums, *(v.alias(k) for k, v in _distinct_sets(answers).items()))
-        grouped = grouped.withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")})
+        counted_once = {"total_queries": F.count_if} | {k: lambda first, how=how, c=c: how(F.when(first, F.col(c))) for k, (how, c) in named.items()}
+        grouped = _streamed(events, size, counted_once, answers)
     else:
         placed = events.withColumn("window_start", F.window("ts", size).getField("start"))
         value = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
@@ -52,10 +64,12 @@ def build_windows(events: DataFrame, size: str = "5 minutes") -> DataFrame:
         counted = different.groupBy("window_start", "src_ip").agg(
             F.count_if(of("name")).alias("unique_queries"), F.sort_array(F.collect_list(F.when(of("server"), F.col("value")))).alias("dns_servers"), F.count_if(of("answer")).alias("unique_answer_ips")
         )
+        sums = [F.count("*").alias("total_queries"), *(how(c).alias(k) for k, (how, c) in named.items())]
         grouped = placed.groupBy("window_start", "src_ip").agg(*sums).join(counted, ["window_start", "src_ip"]).withColumn("window_end", F.col("window_start") + F.expr(f"INTERVAL {size}"))
     unique = D.safe_ratio(F.col("unique_queries"), F.col("total_queries"))
-    out = grouped.withColumns({"unique_query_ratio": unique, "repeated_query_ratio": 1 - unique, "unique_dns_servers": F.size("dns_servers").cast("long")})
-    return out.select("window_start", "window_end", "src_ip", *FEATURES, "dns_servers")
+    grouped = grouped if events.isStreaming else grouped.withColumn("unique_dns_servers", F.size("dns_servers").cast("long"))
+    out = grouped.withColumns({"unique_query_ratio": unique, "repeated_query_ratio": 1 - unique})
+    return out.select("window_start", "window_end", "src_ip", *FEATURES, "dns_servers", *also)
 
 
 def evaluate_rules(windows: DataFrame, approved: list[str] | None = None) -> DataFrame:
@@ -80,15 +94,24 @@ def rule_score(has_domains: Column | None = None) -> Column:
     return F.least(F.lit(100), points + (F.when(has_domains, DOMAIN_POINTS).otherwise(0) if has_domains is not None else 0))
 
 
+def fired_rules() -> Column:
+    """The names of a judged window's fired rules, in order."""
+    return F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in sorted(POINTS))))
+
+
+def rule_id() -> Column:
+    return D.stable_id("HEUR-", F.lit("heuristics"), D.iso_time(F.col("window_start")), F.col("src_ip"), F.array_join("heuristics_fired", "|"))
+
+
 def rule_alerts(judged: DataFrame, domains: DataFrame | None = None) -> DataFrame:
-    """One row for each window in which a rule fired: fired rules, score, severity and a stable id. ``domains`` are the windows' suspicious domains."""
-    fired = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in sorted(POINTS))))
-    alerts = judged.withColumn("heuristics_fired", fired).where(F.size("heuristics_fired") > 0)
-    if domains is not None:
+    """One row for each window in which a rule fired: fired rules, score, severity and a stable id. ``domains`` are the windows' suspicious domains; windows that count their ``suspicious`` events themselves don't need them."""
+    alerts = judged.withColumn("heuristics_fired", fired_rules()).where(F.size("heuristics_fired") > 0)
+    if "suspicious" in judged.columns:
+        alerts = alerts.withColumnRenamed("suspicious", "n_domains")
+    elif domains is not None:
         own = domains.groupBy("window_start", "src_ip").agg(F.count("*").alias("n_domains"))
         alerts = alerts.join(own, ["window_start", "src_ip"], "left")
     else:
         alerts = alerts.withColumn("n_domains", F.lit(0).cast("long"))
     alerts = alerts.withColumn("n_domains", F.coalesce("n_domains", F.lit(0))).withColumn("threat_score", rule_score(F.col("n_domains") > 0))
-    ident = D.stable_id("HEUR-", F.lit("heuristics"), D.iso_time(F.col("window_start")), F.col("src_ip"), F.array_join("heuristics_fired", "|"))
-    return alerts.withColumns({"severity": D.severity_rules(F.col("threat_score")), "id": ident})
+    return alerts.withColumns({"severity": D.severity_rules(F.col("threat_score")), "id": rule_id()})

@@ -107,7 +107,54 @@ def test_attributions_add_up_and_point_at_the_odd_feature(spark):
     again = detectors.fit_isolation(df.repartition(5), ("src_ip",), trees=40)
     assert (again.cut == forest.cut).all() and (again.feature == forest.feature).all()
     back = detectors.forest_of(detectors.nodes_of(spark, forest).repartition(3), forest.sample, forest.depth)
-    assert all((getattr(back, f) == getattr(forest, f)).all() for f in ("feature", "cut", "left", "path", "roots"))
+    assert all((getattr(back, f) == getattr(forest, f)).all() for f in ("feature", "cut", "left", "path", "size", "roots"))
+
+
+def shapley(forest, row):
+    """Shapley values by all subsets: the expected path when the features of a subset are known, cuts on others being followed by the sample's shares."""
+    d = len(row)
+    def expected(known, at):
+        f = forest.feature[at]
+        if f < 0:
+            return forest.path[at]
+        left, right = forest.left[at], forest.left[at] + 1
+        if known >> int(f) & 1:
+            return expected(known, right if row[f] >= forest.cut[at] else left)
+        return (forest.size[left] * expected(known, left) + forest.size[right] * expected(known, right)) / forest.size[at]
+    value = [float(np.mean([expected(known, root) for root in forest.roots])) for known in range(1 << d)]
+    out = np.zeros(d)
+    for i in range(d):
+        for known in range(1 << d):
+            if not known >> i & 1:
+                k = known.bit_count()
+                out[i] -= math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) * (value[known | 1 << i] - value[known])
+    return out
+
+
+@pytest.mark.parametrize("seed,d", [(0, 1), (1, 3), (2, 5), (3, 7)])
+def test_attributions_are_shapley_values(spark, seed, d):
+    rng = np.random.default_rng(seed)
+    data = np.round(rng.normal(size=(80, d)), 1)  # with ties
+    forest = detectors.fit_isolation(spark.createDataFrame([(str(k), r.tolist()) for k, r in enumerate(data)], "src_ip string, scaled array<double>"), ("src_ip",), trees=6, sample=40)
+    rows = np.vstack([data[:6], rng.normal(0, 4, size=(4, d)), np.full((1, d), forest.cut[forest.roots[0]])])
+    assert np.allclose(forest.attributions(rows), [shapley(forest, r) for r in rows], atol=1e-12)
+
+
+def test_attribution_tables(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, size=(60, len(FEATURES))).astype(float)
+    w = rng.normal(size=(60, len(FEATURES))) * np.linspace(0.1, 2, len(FEATURES))
+    rows = [(DAY, f"s{k}", *a.tolist(), b.tolist(), float(k), "anomaly" if k > 50 else "normal") for k, (a, b) in enumerate(zip(x, w))]
+    df = spark.createDataFrame(rows, "window_start timestamp, src_ip string, " + ", ".join(f"{f} double" for f in FEATURES) + ", attribution array<double>, isolation_score double, predicted_label string")
+    top = sorted(range(len(FEATURES)), key=lambda j: -np.abs(w[:, j]).mean())
+    got = views.attribution_values(df, 4)
+    assert {r.feature for r in got.select("feature").distinct().collect()} == {FEATURES[j] for j in top[:4]} and got.count() == 240
+    one = {r.src_ip: r for r in got.where(F.col("feature") == FEATURES[top[0]]).collect()}
+    for k in range(60):
+        v = x[:, top[0]]
+        assert (one[f"s{k}"].feature_value, one[f"s{k}"].attribution) == (v[k], w[k, top[0]]) and one[f"s{k}"].feature_percentile == pytest.approx(((v < v[k]).sum() + ((v == v[k]).sum() + 1) / 2) / 60)
+    strongest = views.dependency(got)
+    assert strongest.count() == 60 and {r.feature for r in strongest.collect()} == {FEATURES[top[0]]} and "predicted_label" in strongest.columns
 
 
 def test_samples_planes_and_silhouettes(spark):

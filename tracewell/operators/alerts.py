@@ -107,7 +107,7 @@ def isolation_alerts(scored: DataFrame, domains: DataFrame, context: DataFrame |
     score, share = F.col("isolation_score"), F.col("score_percentile")
     found = scored.where("predicted_label = 'anomaly'")
     if "attribution" in scored.columns:
-        top = F.transform(top_features("attribution", 8), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), F.when(s["value"] > 0, "toward_anomaly").otherwise("toward_normal").alias("direction"), F.lit("path_length").alias("explanation_method")))
+        top = F.transform(top_features("attribution", 8), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), F.when(s["value"] > 0, "toward_anomaly").otherwise("toward_normal").alias("direction"), F.lit("tree_shap").alias("explanation_method")))
     else:
         top = F.transform(top_features("scaled", 8), lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"), F.lit("unusual_magnitude").alias("direction"), F.lit("scaled_deviation_fallback").alias("explanation_method")))
     alerts = found.withColumns({

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -100,20 +102,25 @@ def error_thresholds(scores: DataFrame, col: str, chosen: float = 0.99) -> DataF
 
 def split(rows: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), share: int = 80, seed: int = 42) -> Column:
     """``train`` or ``validation`` by a digest of the keys, so that the split is the same however rows are partitioned."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(D.iso_time(F.col(k)) if rows.schema[k].dataType.typeName().startswith("timestamp") else F.col(k).cast("string") for k in keys))
-    return F.when(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100 < share, "train").otherwise("validation")
+    return F.when(F.conv(F.substring(key_digest(rows, keys, seed), 1, 8), 16, 10).cast("long") % 100 < share, "train").otherwise("validation")
 
 
-def fit_reconstruction(scaled: DataFrame, k: int = 12) -> np.ndarray:
-    """The ``k`` principal components of the scaled features, as columns. None of them (``k`` 0) reconstructs every row by the mean."""
-    if not k:
+def fit_reconstruction(scaled: DataFrame, k: int | None = 12) -> np.ndarray:
+    """The ``k`` principal components of the scaled features, as columns. None of them (``k`` 0) reconstructs every row by the mean; ``k`` None takes those whose variance exceeds that of a scaled feature, 1."""
+    if k == 0:
         return np.zeros((len(FEATURES), 0))
+    if k is None:
+        total = scaled.agg(sum(F.var_pop(F.get("scaled", F.lit(i))) for i in range(len(FEATURES)))).first()[0] or 0.0
+        model = PCA(k=len(FEATURES), inputCol="v", outputCol="p").fit(scaled.select(array_to_vector("scaled").alias("v")))
+        return model.pc.toArray()[:, model.explainedVariance.toArray() * total > 1]
     return PCA(k=k, inputCol="v", outputCol="p").fit(scaled.select(array_to_vector("scaled").alias("v"))).pc.toArray()
 
 
 def score_reconstruction(scaled: DataFrame, components: np.ndarray) -> DataFrame:
     """Adds ``latent``, ``reconstructed``, ``residuals`` (absolute, by feature) and ``reconstruction_error``, their mean."""
 
+    components = np.ascontiguousarray(components)  # products of equal layouts are equal to the last bit
+
     @F.pandas_udf("latent array<double>, reconstructed array<double>")
     def project(x: pd.Series) -> pd.DataFrame:
         rows = np.array(x.tolist(), dtype=float).reshape(len(x), components.shape[0])
@@ -152,12 +159,13 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays of nodes: feature (-1 at a leaf), cut, left child (the right one follows it), and the mean path length of the node's sample."""
+    """Trees as arrays of nodes: feature (-1 at a leaf), cut, left child (the right one follows it), the mean path length of the node's sample, and its size."""
 
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     path: np.ndarray
+    size: np.ndarray
     roots: np.ndarray
     sample: int
     depth: int
@@ -179,41 +187,92 @@ class Forest:
             total += self.path[at[-1]]
         return 2.0 ** (-total / len(self.roots) / max(float(_average_path(self.sample)), 1e-12))
 
+    def leaves(self) -> dict[int, tuple[np.ndarray, ...]]:
+        """Leaves by how many features their paths cut: of each such feature its number, the share of the sample that its cuts let through, and the interval that they leave; and the leaf's path length."""
+        found: dict[int, list] = {}
+        for root in self.roots:
+            todo = [(root, {})]
+            while todo:
+                at, way = todo.pop()
+                f = int(self.feature[at])
+                if f < 0:
+                    found.setdefault(len(way), []).append((list(way), [w[0] for w in way.values()], [w[1] for w in way.values()], [w[2] for w in way.values()], self.path[at]))
+                    continue
+                share, low, high = way.get(f, (1.0, -np.inf, np.inf))
+                for child, ends in ((self.left[at], (low, min(high, self.cut[at]))), (self.left[at] + 1, (max(low, self.cut[at]), high))):
+                    todo.append((child, way | {f: (share * self.size[child] / self.size[at], *ends)}))
+        return {m: tuple(np.array(c, dtype=int if k == 0 else float) for k, c in enumerate(zip(*rows, strict=True))) for m, rows in found.items()}
+
     def attributions(self, rows: np.ndarray) -> np.ndarray:
-        """By how much each feature's cuts shorten the path, in the mean over trees. A row's sum is the mean path at the roots less its own."""
-        out, every = np.zeros(rows.shape), np.arange(len(rows))
-        for at in self._steps(rows):
-            for above, below in zip(at, at[1:]):
-                inner = self.feature[above] >= 0
-                np.add.at(out, (every[inner], self.feature[above][inner]), (self.path[above] - self.path[below])[inner])
+        """Exact Shapley values of the features for minus the mean path length, features that aren't known following the sample's shares at each cut. A row's sum is the mean path at the roots less its own.
+
+        A leaf with m features on its path pays feature i its length times (o - z), whether the row passes i's cuts less the share that does, times the mean over all orders of the product of the others' o or z.
+        This mean is the integral from 0 to 1 of the product of z (1 - t) + o t, a polynomial of degree m - 1, for which Gauss's rule of m / 2 points is exact.
+        """
+        leaves = self.__dict__.setdefault("_leaves", None) or self.leaves()
+        self.__dict__["_leaves"] = leaves
+        out = np.zeros(rows.shape)
+        for m, (feature, share, low, high, path) in leaves.items():
+            if not m:
+                continue
+            points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+            step = max(1, (1 << 22) // share.size)
+            for k in range(0, len(rows), step):
+                x = rows[k : k + step][:, feature]
+                passes = (low <= x) & (x < high)
+                paid = np.zeros(x.shape)
+                for t, w in zip((points + 1) / 2, weights / 2, strict=True):
+                    each = share * (1 - t) + passes * t
+                    paid += w * each.prod(axis=2, keepdims=True) / each
+                paid *= (passes - share) * path[:, None]
+                for r in range(len(x)):
+                    out[k + r] -= np.bincount(feature.ravel(), paid[r].ravel(), rows.shape[1])
         return out / len(self.roots)
 
 
-def _grow(rows: np.ndarray, rng: np.random.Generator, deepest: int) -> list[list]:
-    """One tree: each node is cut at a random place of a random feature that varies."""
-    nodes, sizes, todo = [None], [len(rows)], [(0, rows, 0)]
+#: Hashes of rows and trees are numbers below this prime.
+PRIME = (1 << 31) - 1
+
+
+def _uniform(*parts: object) -> float:
+    """A number from 0 up to 1 that a text of the parts decides."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / float(1 << 52)
+
+
+def turns(tree: int, seed: int) -> tuple[int, int]:
+    """Factor and summand by which a tree reorders the hashes of rows."""
+    return 1 + int(_uniform(seed, tree, "a") * (PRIME - 1)), int(_uniform(seed, tree, "b") * PRIME)
+
+
+def _grow(rows: np.ndarray, seed: int, tree: int, deepest: int) -> list[list]:
+    """One tree: each node is cut at a random place of a random feature that varies. Random numbers are hashes of the node's place in the tree, so that any engine grows the same tree."""
+    nodes, todo = [None], [(0, 1, rows, 0)]
     while todo:
-        at, part, depth = todo.pop()
+        at, place, part, depth = todo.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         varied = np.flatnonzero(high > low)
         if depth >= deepest or not len(varied):
-            nodes[at] = [-1, 0.0, 0, depth + float(_average_path(len(part)))]
+            nodes[at] = [-1, 0.0, 0, depth + float(_average_path(len(part))), len(part)]
             continue
-        f = int(rng.choice(varied))
-        cut = rng.uniform(low[f], high[f])
+        f = int(varied[int(_uniform(seed, tree, place, "f") * len(varied))])
+        cut = low[f] + _uniform(seed, tree, place, "c") * (high[f] - low[f])
         cut = cut if cut > low[f] else high[f]
-        nodes[at] = [f, float(cut), len(nodes), 0.0]
+        nodes[at] = [f, float(cut), len(nodes), 0.0, len(part)]
         above = part[:, f] >= cut
-        todo += [(len(nodes), part[~above], depth + 1), (len(nodes) + 1, part[above], depth + 1)]
+        todo += [(len(nodes), 2 * place, part[~above], depth + 1), (len(nodes) + 1, 2 * place + 1, part[above], depth + 1)]
         nodes += [None, None]
-        sizes += [int((~above).sum()), int(above.sum())]
     for at in reversed(range(len(nodes))):  # children follow their parents
-        f, _, left, _ = nodes[at]
+        f, _, left, _, n = nodes[at]
         if f >= 0:
-            nodes[at][3] = (nodes[left][3] * sizes[left] + nodes[left + 1][3] * sizes[left + 1]) / sizes[at]
+            nodes[at][3] = (nodes[left][3] * nodes[left][4] + nodes[left + 1][3] * nodes[left + 1][4]) / n
     return nodes
 
 
+def key_digest(rows: DataFrame, keys: tuple[str, ...], seed: int) -> Column:
+    """An MD5 of the seed and the keys as text, times as ISO text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(D.iso_time(F.col(k)) if rows.schema[k].dataType.typeName().startswith("timestamp") else F.col(k).cast("string") for k in keys)))
+
+
 def fit_isolation(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "src_ip"), trees: int = 300, sample: int = 256, seed: int = 42) -> Forest | None:
     """A forest of random trees, None without rows. Each tree draws ``sample`` rows of all windows by a hash of the row's keys and the tree's number, and grows on an executor."""
     n = scaled.count()
@@ -221,18 +280,19 @@ def fit_isolation(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "s
         return None
     size = min(sample, n)
     deepest = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    # a few more than needed reach each tree, which takes the smallest hashes among them
-    share = min(1.0, (sample + 8 * np.sqrt(sample)) / n)
-    own = F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed))
-    least = F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
-    drawn = scaled.select("scaled", own.alias("own")).select("scaled", "own", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("own", t) <= least)).alias("tree"))
+    # a few more than needed reach each tree, which takes the first in its order among them
+    limit = int(np.ceil(min(1.0, (sample + 8 * np.sqrt(sample)) / n) * PRIME))
+    a, b = (F.array(*map(F.lit, c)).cast("array<bigint>") for c in zip(*(turns(t, seed) for t in range(trees)), strict=True))
+    own = scaled.select("scaled", key_digest(scaled, keys, seed).alias("digest")).withColumn("own", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % PRIME)
+    place = lambda t: (F.col("own") * F.get(a, t) + F.get(b, t)) % PRIME
+    drawn = own.select("scaled", "digest", "own", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < limit)).alias("tree"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "own"]).head(size)
-        grown = _grow(np.array(pdf["scaled"].tolist(), dtype=float), np.random.default_rng([seed, int(key[0])]), deepest)
-        return pd.DataFrame([(int(key[0]), k, *node) for k, node in enumerate(grown)], columns=["tree", "node", "feature", "cut", "left", "path"])
+        pdf = pdf.sort_values(["place", "digest"]).head(size)
+        grown = _grow(np.array(pdf["scaled"].tolist(), dtype=float), seed, int(key[0]), deepest)
+        return pd.DataFrame([(int(key[0]), k, *node) for k, node in enumerate(grown)], columns=["tree", "node", "feature", "cut", "left", "path", "size"])
 
-    nodes = drawn.withColumn("place", F.xxhash64("own", "tree")).groupBy("tree").applyInPandas(build, "tree long, node long, feature long, cut double, left long, path double")
+    nodes = drawn.select("scaled", "digest", "tree", place(F.col("tree")).alias("place")).groupBy("tree").applyInPandas(build, "tree long, node long, feature long, cut double, left long, path double, size long")
     return forest_of(nodes, size, deepest)
 
 
@@ -241,14 +301,14 @@ def forest_of(nodes: DataFrame, sample: int, depth: int) -> Forest:
     own = nodes.toPandas().sort_values(["tree", "node"])
     roots = np.flatnonzero(own["node"].to_numpy() == 0)
     number = np.cumsum(own["node"].to_numpy() == 0) - 1
-    return Forest(own["feature"].to_numpy(), own["cut"].to_numpy(), own["left"].to_numpy() + roots[number], own["path"].to_numpy(), roots, sample, depth)
+    return Forest(own["feature"].to_numpy(), own["cut"].to_numpy(), own["left"].to_numpy() + roots[number], own["path"].to_numpy(), own["size"].to_numpy(), roots, sample, depth)
 
 
 def nodes_of(spark: SparkSession, forest: Forest) -> DataFrame:
     """The table of nodes of a forest."""
     number = np.searchsorted(forest.roots, np.arange(len(forest.path)), side="right") - 1
     first = forest.roots[number]
-    return spark.createDataFrame(pd.DataFrame({"tree": number, "node": np.arange(len(first)) - first, "feature": forest.feature, "cut": forest.cut, "left": forest.left - first, "path": forest.path}))
+    return spark.createDataFrame(pd.DataFrame({"tree": number, "node": np.arange(len(first)) - first, "feature": forest.feature, "cut": forest.cut, "left": forest.left - first, "path": forest.path, "size": forest.size}))
 
 
 def score_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
@@ -263,7 +323,7 @@ def score_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
 
 
 def attribute_isolation(scaled: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``attribution``: for each feature how much it pushes a row toward anomaly, in path length."""
+    """Adds ``attribution``: for each feature how much it pushes a row toward anomaly, a Shapley value in path length."""
     shared = scaled.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("array<double>")

@@ -50,6 +50,28 @@ def attribution_summary(long: DataFrame) -> DataFrame:
     return means.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc(F.round("mean_abs", 12)))))  # a row for each feature
 
 
+def attribution_values(explained: DataFrame, top: int = 15, features: list[str] = FEATURES, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """A row for each explained window and each of the ``top`` features of largest mean absolute attribution: its value, the value's percentile among the windows, the attribution, score and label.
+
+    ``explained`` has the features, ``attribution``, ``isolation_score`` and ``predicted_label``. Equal means go by the feature's name.
+    """
+    size = attribution_summary(explained.select(*keys, F.inline(_named("attribution", features))))
+    first = size.orderBy(F.desc(F.round("mean_abs", 12)), "feature").limit(top).select("feature")
+    pair = F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("feature_value"), F.get("attribution", F.lit(k)).alias("attribution")) for k, f in enumerate(features)))
+    long = explained.select(*keys, "isolation_score", "predicted_label", F.inline(pair)).join(F.broadcast(first), "feature")  # at most a row for each feature
+    return percentile_rank(long, "feature", "feature_value").select(*keys, "feature", "feature_value", F.col("percentile").alias("feature_percentile"), "attribution", "isolation_score", "predicted_label")
+
+
+def dependency(values: DataFrame) -> DataFrame:
+    """Of a table of `attribution_values` the rows of the one feature of largest mean absolute attribution: how its value goes with its attribution."""
+    strongest = values.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("size")).orderBy(F.desc(F.round("size", 12)), "feature").limit(1).select("feature")
+    return values.join(F.broadcast(strongest), "feature").drop("feature_percentile")
+
+
+def _named(column: str, features: list[str]) -> Column:
+    return F.zip_with(F.array(*map(F.lit, features)), F.col(column), lambda n, v: F.struct(n.alias("feature"), v.alias("value")))
+
+
 def percentile_rank(rows: DataFrame, by: str, col: str) -> DataFrame:
     """Adds ``percentile``: the mean rank of equal values within ``by``, as a share of its rows. Equal values are counted before they are ranked."""
     counts = rows.groupBy(by, col).agg(F.count("*").alias("_n"))

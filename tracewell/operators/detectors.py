@@ -287,7 +287,7 @@ def fit_isolation(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "s
     place = lambda t: (F.col("own") * F.get(a, t) + F.get(b, t)) % PRIME
     drawn = own.select("scaled", "digest", "own", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < limit)).alias("tree"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "digest"]).head(size)
         grown = _grow(np.array(pdf["scaled"].tolist(), dtype=float), seed, int(key[0]), deepest)
         return pd.DataFrame([(int(key[0]), k, *node) for k, node in enumerate(grown)], columns=["tree", "node", "feature", "cut", "left", "path", "size"])

@@ -134,7 +134,7 @@ def read_tsv(spark: SparkSession, paths: str | list[str], keep_invalid: bool = F
     rows = lines.mapInArrow(_under_headers, "value string, file string, split long, sep string, fields string, fields_sep string")
     heads = lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).withColumn("line", F.monotonically_increasing_id())
 
-    def carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def carry(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         held, out = (None, None, None), []
         for _, own in pdf.sort_values(["split", "line"]).groupby("split", sort=True):
             for line in own["value"]:

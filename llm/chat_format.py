@@ -127,11 +127,11 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
         names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         for batch in it:
             rows = []
-            for k, (text, mask) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                starts, ends = (np.asarray(batch.column(c)[k].values) for c in (3, 4))
+            for k, (text, mask) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                starts, ends = (np.asarray(batch.column(c)[k].values) for c in (2, 3))
                 if tokenizer:
                     again = _tokenizer(tokenizer).encode(text, add_special_tokens=False)
-                    assert again.ids == batch.column(2)[k].as_py() and again.offsets == list(zip(starts.tolist(), ends.tolist())), "the tokens are not those of the text"
+                    assert again.ids == batch.column(5)[k].as_py() and again.offsets == list(zip(starts.tolist(), ends.tolist())), "the tokens are not those of the text"
                 turns = parse(text)
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode())
                 under = "".join(unescape(text[a:b]) for a, b in stretches(starts, ends, np.frombuffer(mask, dtype=bool)))
@@ -139,4 +139,5 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.string() if "sha" in n else pa.int64()) for n, c in zip(names, cols, strict=True))], ["conv_id", *names])
 
-    return formatted.mapInArrow(batches, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    wanted = ["conv_id", "formatted", "starts", "ends", "loss_mask", *(["ids"] if tokenizer else [])]
+    return formatted.select(*wanted).mapInArrow(batches, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text stays null, with no lines; a text whose lines are all removed becomes empty. Rows that repeat an id and a text count as one document
     and are treated alike. Other columns stay; those named ``n_lines`` and ``n_removed`` are replaced. An empty table gives no rows.
     """
-    ident, print_of, gone_of = fresh(docs, "id", "print", "gone")
+    ident, print_of, gone_of, by_id, by_print = fresh(docs, "id", "print", "gone", "i", "p")
     named = docs.withColumn(ident, F.col(id_col)).withColumn(print_of, F.xxhash64(F.col(text_col)))
     slim = named.select(F.col(ident).alias("id"), F.col(print_of).alias("print"), F.col(text_col).cast("binary").alias("text"))
     where = F.struct(F.col("id").isNull().alias("last"), "id", "print", "line").alias("pos")
@@ -163,10 +163,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fate = first.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", F.col("pos").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"), "rows").where("near or rows > 1")
     fate = materialize(fate, "fate")
     gone = join_counted(lines.select("h", where), fate, ["h"], "rows").where("near or pos != kept")
-    by_doc = gone.groupBy(F.col("pos.id").alias("_i"), F.col("pos.print").alias("_p")).agg(F.collect_set("pos.line").alias(gone_of))
+    by_doc = gone.groupBy(F.col("pos.id").alias(by_id), F.col("pos.print").alias(by_print)).agg(F.collect_set("pos.line").alias(gone_of))
     by_doc = materialize(by_doc, "gone")
     discard(lines, first, common, contents, near, fate)
-    out = named.join(by_doc, (named[print_of] == by_doc["_p"]) & named[ident].eqNullSafe(by_doc["_i"]), "left").select(*named.columns, gone_of)
+    out = named.join(by_doc, (F.col(print_of) == F.col(by_print)) & F.col(ident).eqNullSafe(F.col(by_id)), "left").drop(by_id, by_print)
     split = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains(F.col(gone_of), k)), "\n")
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.coalesce(F.size(split), F.lit(0))).cast("long")

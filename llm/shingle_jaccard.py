@@ -255,10 +255,10 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
 
     Different texts under one id, or without an id, are different documents: each is judged by its own component. All columns stay as they are.
     """
-    firsts = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_print")).alias("k")).select(F.col("k.id").alias("_i"), F.col("k.text_print").alias("_t"))
-    (print_of,) = fresh(docs, "print")
+    print_of, by_id, by_print = fresh(docs, "print", "i", "t")
+    firsts = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_print")).alias("k")).select(F.col("k.id").alias(by_id), F.col("k.text_print").alias(by_print))
     named = docs.withColumn(print_of, F.xxhash64(text_col))
-    kept = named.join(firsts, F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & (F.col(print_of) == F.col("_t")), "left_semi")
+    kept = named.join(firsts, F.col(f"`{id_col}`").eqNullSafe(F.col(by_id)) & (F.col(print_of) == F.col(by_print)), "left_semi")
     return one_of_equals(kept, [id_col, print_of]).drop(print_of)
 
 

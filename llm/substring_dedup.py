@@ -193,11 +193,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 200, id_col:
     """
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).cast("binary").alias("text"))
     rows = materialize(_segment_rows(slim.where("id is not null and text is not null"), window), "segments")
-    kinds = rows.groupBy("phrase", "segment").agg(F.min(F.struct("id", "print", "start", "n")).alias("first"), F.max("id").alias("last"))
+    kinds = rows.groupBy("phrase", "segment").agg(F.min(F.struct("id", "print", "start", "n")).alias("first"), F.max("id").alias("last"), F.count("*").alias("rows"))
     kinds = materialize(kinds, "kinds")
     owner = ("owner", "owner_print", "owner_start")
-    copies = kinds.where("last > first.id").select("phrase", "segment", *(F.col(f"first.{c}").alias(o) for c, o in zip(("id", "print", "start"), owner)))
-    whole = rows.join(copies, ["phrase", "segment"]).where("id > owner").select("id", "print", "start", "n", *owner)
+    copies = materialize(kinds.where("last > first.id").select("phrase", "segment", *(F.col(f"first.{c}").alias(o) for c, o in zip(("id", "print", "start"), owner)), "rows"), "copies")
+    whole = join_counted(rows, copies, ["phrase", "segment"], "rows", salt=F.xxhash64("id", "print", "start")).where("id > owner").select("id", "print", "start", "n", *owner)
     several = kinds.groupBy("phrase").agg(F.count("*").alias("kinds"), F.min("first.id").alias("a"), F.max("first.id").alias("b")).where("kinds > 1 and a != b").select("phrase")
     mixed = kinds.join(several, "phrase").select("phrase", "first.*")
     listed = mixed.groupBy("id", "print").agg(F.collect_list(F.struct("phrase", "start", "n")).alias("which"))
@@ -205,10 +205,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 200, id_col:
     made = texts.join(listed, ["id", "print"]).select("id", "print", "text", "which")
     windows = materialize(_windows(made, window), "windows")
     first = F.min(F.struct(F.col("id").alias("owner"), F.col("print").alias("owner_print"), F.col("begin").alias("owner_start"))).alias("first")
-    owners = windows.groupBy("phrase", "w").agg(first, F.max("id").alias("top")).where("first.owner != top").select("phrase", "w", "first.*")
-    partly = windows.join(owners, ["phrase", "w"]).where("owner < id").select("id", "print", F.col("begin").alias("start"), F.lit(1).alias("n"), *owner)
+    owners = windows.groupBy("phrase", "w").agg(first, F.max("id").alias("top"), F.count("*").alias("rows")).where("first.owner != top")
+    owners = materialize(owners.select("phrase", "w", "first.*", "rows"), "owners")
+    partly = join_counted(windows, owners, ["phrase", "w"], "rows", salt=F.xxhash64("id", "print", "begin")).where("owner < id").select("id", "print", F.col("begin").alias("start"), F.lit(1).alias("n"), *owner)
     wanted = materialize(_joined(whole.unionByName(partly)), "wanted")
-    discard(rows, kinds, windows)
+    discard(rows, kinds, copies, windows, owners)
     counted = wanted.groupBy(*owner, "n").agg(F.count("*").alias("rows"))
     asked = wanted.select(*owner, "n").distinct().groupBy(F.col("owner").alias("id"), F.col("owner_print").alias("print")).agg(F.collect_list(F.struct("owner_start", "n")).alias("which"))
     words = _passages(texts.join(asked, ["id", "print"]).select("id", "print", "text", "which"), window).dropDuplicates([*owner, "n"])

@@ -7,6 +7,7 @@ their frequency in toxic and clean training documents, and a logistic function o
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass
@@ -205,9 +206,10 @@ class Restorer:
 
 
 def features_of(word: str) -> list[str]:
-    """The word, if short, and its beginnings."""
+    """The word, a long one by a digest of all its letters, and its beginnings."""
     n = len(word)
-    return ([f"={word}"] if 3 <= n <= 24 else []) + [word[:k] for k in (4, 5, 6, 7, 8) if n > k]
+    whole = f"={word}" if n <= 24 else f"#{hashlib.blake2b(word.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+    return ([whole] if n >= 3 else []) + [word[:k] for k in (4, 5, 6, 7, 8) if n > k]
 
 
 def held_out(doc_id: Column) -> Column:

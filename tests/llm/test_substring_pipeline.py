@@ -82,13 +82,13 @@ def test_pipeline_stages_against_plain_versions(spark, sf_dir, tmp_path):
     assert sorted(r.doc_id for r in pieces if r.piece == 0) == sorted(i for i, _ in rows[4])
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, id int, copies int, _gone string, score string, _w int, _nth int, print long, n_lines string, n_removed string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id int, copies int, _gone string, score string, _w int, _nth int, print long, n_lines string, n_removed string, _i int, _t int, _p int, `x.y` int"
 
 
 def odd_rows():
     line = " ".join(f"w{k}" for k in range(40))
     texts = [(1, line), (1, line), (1, "other " + line), (None, "null one " * 30), (None, "null two " * 30), (2, None), (3, ""), (4, " \n"), (5, "x " * 40000), (6, line + " end"), (7, "short\nshort\nlast"), (8, "short")]
-    return [(i, t, "en", "ab"[k % 2] if k % 3 else None, 7, 1, 2, "g", "s", 3, 4, 5, "l", "r") for k, (i, t) in enumerate(texts)]
+    return [(i, t, "en", "ab"[k % 2] if k % 3 else None, 7, 1, 2, "g", "s", 3, 4, 5, "l", "r", 6, 7, 8, 9) for k, (i, t) in enumerate(texts)]
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
@@ -100,7 +100,7 @@ def test_stages_on_odd_rows(spark, sf_dir, name):
     if name == "packing":
         assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r[0] for r in odd_rows())
         return
-    assert got.columns == docs.columns and {tuple(r)[5:] for r in rows} == {(1, 2, "g", "s", 3, 4, 5, "l", "r")}
+    assert got.columns == docs.columns and {tuple(r)[5:] for r in rows} == {(1, 2, "g", "s", 3, 4, 5, "l", "r", 6, 7, 8, 9)}
     found = sorted((str(r.doc_id), str(r.text)) for r in rows)
     own = sorted((str(i), str(t)) for i, t, *_ in odd_rows())
     if name == "toxicity":

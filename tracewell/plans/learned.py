@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import alerts as A
-from tracewell.operators import correlation, detectors, domains, views
+from tracewell.operators import correlation, dense, detectors, domains, views
 from tracewell.operators.windows import build_windows, evaluate_rules
 from tracewell.plans.detection import _ALERTS, CONFIG, SHARE, _id
 from tracewell.plans.queries import _ISO, _SHORT_WINDOWS, DAY, _features, _rounded, _windows
@@ -94,7 +94,25 @@ def dns_learned_final(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_final(spark, sf).drop("contributing_ids").withColumns({c: F.round(F.col(c) * 100) / 100 for c in ("base", "threat_score")}))
 
 
-QUERIES = (dns_learned_reconstruction, dns_learned_isolation, dns_forest, dns_attribution_balance, dns_learned_final, dns_attribution_values, dns_dependency)
+def _dense(spark: SparkSession, sf: str) -> tuple[DataFrame, dense.Dense]:
+    scaled = _scaled(_windows(spark, sf))
+    return scaled, dense.fit_dense(scaled, epochs=5, hidden=(24, 12, 24))
+
+
+def dns_dense_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of five minutes by their reconstruction by a network."""
+    scaled, net = _dense(spark, sf)
+    scored = written(dense.score_dense(scaled, net), "rebuilt")
+    limit = detectors.exact_quantiles(scored, "reconstruction_error", (0.99,))[0]
+    return detectors.flagged(scored, limit).select("window_start", "src_ip", "reconstruction_error", "threshold_ratio", "anomaly", detectors.top_features("residuals", 10).alias("top_features"))
+
+
+def dns_dense_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The network's training and validation error by epoch; epoch 0 is its start as components."""
+    return spark.createDataFrame(_dense(spark, sf)[1].history, "epoch int, training_error double, validation_error double")
+
+
+QUERIES = (dns_learned_reconstruction, dns_learned_isolation, dns_forest, dns_attribution_balance, dns_learned_final, dns_attribution_values, dns_dependency, dns_dense_reconstruction, dns_dense_history)
 
 _D = len(FEATURES)
 _PRIME = detectors.PRIME

@@ -126,11 +126,13 @@ def fit_dense(scaled: DataFrame, keys: tuple[str, ...] = ("window_start", "src_i
     hidden, drop = (usual, drop) if hidden is None else (hidden, 0.0)
     d = len(scaled.first().scaled)
     k = min(*hidden, d)
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(scaled.select(array_to_vector("scaled").alias("v")))
-    total = scaled.agg(sum(F.var_pop(F.get("scaled", F.lit(i))) for i in range(d))).first()[0] or 0.0
-    axes = model.pc.toArray()
-    axes = np.round(axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)]), 9)  # sums in another order differ by less
-    net = started(hidden, axes, np.round(np.sqrt(np.maximum(model.explainedVariance.toArray() * total, 0)), 9), seed)
+    axes, variances = np.eye(d)[:, :k], np.zeros(k)
+    if n > 1:
+        model = PCA(k=k, inputCol="v", outputCol="p").fit(scaled.select(array_to_vector("scaled").alias("v")))
+        total = scaled.agg(sum(F.var_pop(F.get("scaled", F.lit(i))) for i in range(d))).first()[0] or 0.0
+        axes, variances = model.pc.toArray(), np.nan_to_num(model.explainedVariance.toArray()) * total
+    axes = np.round(axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0), 9)  # sums in another order differ by less
+    net = started(hidden, axes, np.round(np.sqrt(np.maximum(variances, 0)), 9), seed)
     steps = min(STEPS, max(1, n // BATCH))
     blocks = _blocks(scaled, keys, n, steps, seed)
     counts = {(r.part, r.step): r.n for r in blocks.groupBy("part", "step").agg(F.sum("n").alias("n")).collect()}

@@ -197,6 +197,18 @@ def test_models_are_published_and_loaded_for_their_features_only(spark, tmp_path
     for one, two in zip(models.score(windows, model), models.score(windows, loaded)):
         names = [c for c in ("reconstruction_error", "isolation", "score_percentile", "predicted_label") if c in one.columns]
         assert sorted(map(tuple, one.select("window_start", "src_ip", *names).collect())) == sorted(map(tuple, two.select("window_start", "src_ip", *names).collect()))
+    with pytest.raises(ValueError, match="exists"):
+        models.publish(model, str(tmp_path), "1")
+    made = models.artifacts(windows, model, 20)
+    models.publish_artifacts(made, str(tmp_path), "1")
+    contour = spark.read.parquet(f"{tmp_path}/1/artifacts/contour").toPandas().sort_values(["pca_2", "pca_1"])
+    axes, _ = detectors.fit_plane(model.scale(windows))
+    points = contour[["pca_1", "pca_2"]].to_numpy()
+    assert len(contour) == 400 and np.allclose(contour.anomaly_score, model.forest.scores(points @ axes.T) - model.offset) and (contour.is_anomaly == (contour.anomaly_score > 0)).all()
+    plane = spark.read.parquet(f"{tmp_path}/1/artifacts/plane").toPandas()
+    low, high = np.quantile(plane.pca_1, [0.01, 0.99])
+    assert (contour.pca_1.min(), contour.pca_1.max()) == (pytest.approx(low - 0.1 * (high - low)), pytest.approx(high + 0.1 * (high - low)))
+    assert spark.read.parquet(f"{tmp_path}/1/artifacts/errors").where("split = 'train'").count() > 60 and set(made) == {"scores", "errors", "plane", "contour", "attributions", "dependency"}
     spark.read.parquet(f"{tmp_path}/1/config").withColumn("features", F.reverse("features")).write.parquet(f"{tmp_path}/2/config")
     with pytest.raises(ValueError, match="order"):
         models.load(spark, str(tmp_path), "2")

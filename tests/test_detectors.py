@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import correlation, detectors, reports
 from tracewell.plans.queries import LEARNED
-from tracewell.sources.records import consolidate, input_manifest, manifest_signature, read_documents, read_tsv, source_manifest
+from tracewell.sources.records import consolidate, input_manifest, line_digests, manifest_signature, output_digest, read_documents, read_tsv, source_manifest
 
 CASES = [  # isolation score, percentile; ratio; rule score; active, score, outcome
     ((0.1, 100.0), 3.0, 100, 3, 100.0, "alert"), ((0.1, 100.0), 3.0, None, 2, 75.0, "alert"), (None, 3.0, 40, 2, 61.0, "suppressed_score"),
@@ -99,9 +99,29 @@ def test_manifests_and_segments(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: (r.bytes, r.records) for r in input_manifest(spark, f"{tmp_path}/in").collect()}
     assert got["dns1.log"] == (16, 2) and got["dns2.log.gz"][1] == 1
     assert consolidate(spark, f"{tmp_path}/in", f"{tmp_path}/out") == 3
+    once = output_digest(spark, f"{tmp_path}/out")
+    consolidate(spark, f"{tmp_path}/in", f"{tmp_path}/again")
+    assert output_digest(spark, f"{tmp_path}/again") == once != output_digest(spark, f"{tmp_path}/in")
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["#fields\tts", "1", "2", "3"]
 
 
 def test_bounded_history(spark):
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 3, "x"), ("c", 4, "y")], "k string, seq int, v string")
     assert [(r.k, r.v) for r in reports.keep_bounded(rows, ["k"], "seq", 2).collect()] == [("c", "y"), ("b", "x")]
+
+
+def test_digests_do_not_depend_on_splits(spark, tmp_path):
+    text = "".join(f"line {k} \u00e9\n" for k in range(5000))
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text(text.replace("line 4000 ", "line 4001 ", 1))
+    (tmp_path / "c.log").write_text(text.replace("line 1 \u00e9\nline 2 \u00e9\n", "line 2 \u00e9\nline 1 \u00e9\n"))
+    with gzip.open(tmp_path / "d.log.gz", "wt") as f:
+        f.write(text)
+    digest = lambda: {r.path.rpartition("/")[2]: (r.lines, r.digest) for r in line_digests(spark, str(tmp_path)).collect()}
+    whole = digest()
+    assert whole["a.log"] == whole["d.log.gz"] and len({d for _, d in whole.values()}) == 3 and {n for n, _ in whole.values()} == {5000}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+    try:
+        assert digest() == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -212,3 +212,25 @@ def unified_counters(final: DataFrame, detector_alerts: DataFrame) -> DataFrame:
     each = detector_alerts.select(family().alias("family")).agg(*(F.count_if(which == n).alias(f"{n}_alerts") for n in KINDS))
     ended = final.agg(F.count("*").alias("final_alerts"), F.count_if(F.col("models_agreeing") >= 3).alias("three_detectors"))
     return each.join(F.broadcast(ended))  # one row each
+
+
+#: Columns of the list of one source's alerts, in order.
+INVESTIGATED = ("id", "window_start", "family", "alert_type", "severity", "threat_score", "status", "isolation_score", "reconstruction_error", "detection_type")
+
+
+def families(alerts: DataFrame) -> DataFrame:
+    """Alerts of each source by family, as dashboards tell it, their highest score, and the first and last window."""
+    counts = (F.count_if(F.col("family") == f).alias(f) for f in ("isolation", "reconstruction", "rules"))
+    return alerts.withColumn("family", family("dashboard")).groupBy("src_ip").agg(F.count("*").alias("alerts"), *counts, F.max(F.coalesce("threat_score", F.lit(0))).alias("max_score"), F.min("window_start").alias("first_window"), F.max("window_start").alias("last_window"))
+
+
+def timeline(alerts: DataFrame) -> DataFrame:
+    """Alerts of each source and hour, by family; alerts without a time aren't in it."""
+    hours = alerts.where("window_start is not null").groupBy("src_ip", F.date_trunc("hour", "window_start").alias("hour"), family("dashboard").alias("family"))
+    return hours.agg(F.count("*").alias("alerts"), F.max(F.coalesce("threat_score", F.lit(0))).alias("max_score"))
+
+
+def investigate(alerts: DataFrame, src_ip: str) -> DataFrame:
+    """One source's alerts with their family and methods, latest first; columns that ``alerts`` lacks aren't in it."""
+    made = alerts.where(F.col("src_ip") == src_ip).withColumns({"family": family("dashboard"), "detection_type": D.enabled_methods(F.to_json("detection_methods"))})
+    return made.select(*(c for c in INVESTIGATED if c in made.columns)).orderBy(F.desc("window_start"), "id")

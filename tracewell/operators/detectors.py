@@ -409,6 +409,22 @@ def project_plane(scaled: DataFrame, axes: np.ndarray) -> DataFrame:
     return scaled.withColumns({"pca_1": of(0), "pca_2": of(1)})
 
 
+def contour(plane: DataFrame, axes: np.ndarray, forest: Forest, offset: float, size: int = 70) -> DataFrame:
+    """``pca_1, pca_2, anomaly_score, is_anomaly`` on a grid of ``size`` by ``size`` points over the middle 98 in 100 of each axis and a tenth more on either side, brought back from the plane to features and scored by the forest."""
+    ends = []
+    for name in ("pca_1", "pca_2"):
+        low, high = exact_quantiles(plane, name, (0.01, 0.99))
+        if low is None:
+            return plane.select("pca_1", "pca_2", F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly")).limit(0)
+        pad = max((high - low) * 0.1, 1e-6)
+        ends.append((low - pad, (high - low + 2 * pad) / (size - 1)))
+    k = F.col("id")
+    points = plane.sparkSession.range(size * size).select((F.lit(ends[0][0]) + (k % size) * ends[0][1]).alias("pca_1"), (F.lit(ends[1][0]) + F.floor(k / size) * ends[1][1]).alias("pca_2"))
+    back = points.withColumn("scaled", F.array(*(F.col("pca_1") * float(a) + F.col("pca_2") * float(b) for a, b in axes)))
+    score = F.col("isolation") - F.lit(offset)
+    return score_isolation(back, forest).select("pca_1", "pca_2", score.alias("anomaly_score"), (score > 0).alias("is_anomaly"))
+
+
 def silhouette(labelled: DataFrame, label: str, keys: tuple[str, ...] = ("window_start", "src_ip"), limit: int = 5000, seed: int = 42) -> tuple[float | None, int, str | None]:
     """Mean Euclidean silhouette of two groups on a stratified sample of ``limit`` rows, the sample's size, and why it is undefined, if it is.
 

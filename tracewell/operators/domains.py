@@ -25,16 +25,19 @@ def reasons() -> Column:
 def suspicious_domains(events: DataFrame, size: str = "5 minutes", top: int = 20) -> DataFrame:
     """The ``top`` domains of each window and source that have a reason, by score, count, answers, entropy, length and name.
 
-    Events are matched to windows by the equality of bucket and source. One row per domain reaches the ranking.
+    Events are matched to windows by the equality of bucket and source. One row per domain reaches the ranking. Different answers are counted in two steps, each its own key, so that no row holds those of a busy name.
     """
     marked = settled(events.select(*MEASURED, reasons().alias("reasons"))).where(F.size("reasons") > 0)
-    grouped = marked.groupBy(F.window("ts", size).getField("start").alias("window_start"), "src_ip", F.col("query_clean").alias("query")).agg(
+    marked, key = marked.withColumns({"window_start": F.window("ts", size).getField("start"), "query": F.col("query_clean")}), ["window_start", "src_ip", "query"]
+    answered = marked.select(*key, F.explode("answers").alias("_answer")).distinct().groupBy(*key).agg(F.count("*").alias("unique_answer_ips"))
+    grouped = marked.groupBy(*key).agg(
         F.count("*").alias("count"), F.sort_array(F.collect_set("qtype_name")).alias("qtypes"), F.sort_array(F.collect_set("rcode_name")).alias("rcodes"),
         F.max("entropy").alias("max_entropy"), F.avg("entropy").alias("avg_entropy"), F.max("query_len").alias("max_query_len"), F.max("max_label_len").alias("max_label_len"),
         F.avg("digit_ratio").alias("avg_digit_ratio"), F.max("answer_count").alias("answer_count_max"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("answers")))).cast("long").alias("unique_answer_ips"),
         F.min("ttl_min_event").alias("ttl_min"), F.avg("ttl_avg_event").alias("ttl_avg"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
     )
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    grouped = grouped.alias("a").join(answered.alias("b"), same, "left").select("a.*", F.coalesce("b.unique_answer_ips", F.lit(0)).cast("long").alias("unique_answer_ips"))
     score = sum((F.when(F.array_contains("reasons", name), points).otherwise(0) for name, _, points in REASONS), F.lit(0))
     order = [F.desc("suspicion_score"), F.desc("count"), F.desc("unique_answer_ips"), F.round("max_entropy", 9).desc(), F.desc("max_query_len")]
     ranked = F.row_number().over(Window.partitionBy("window_start", "src_ip").orderBy(*order, "query"))

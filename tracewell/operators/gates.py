@@ -34,6 +34,11 @@ def _in_bounds(ts: Column) -> Column:
     return F.coalesce(F.year(ts).between(FIRST_YEAR, LAST_YEAR - 1), F.lit(False))
 
 
+def recovered(events: DataFrame, raw: str = "ts_raw") -> DataFrame:
+    """The events with times out of bounds read anew from the raw text, where that gives one; `time_gate` rejects what is left."""
+    return events.withColumn("ts", F.when(_in_bounds(F.col("ts")), F.col("ts")).otherwise(D.parse_time(F.col(raw).cast("string"))))
+
+
 def time_gate(events: DataFrame) -> DataFrame:
     """Whether all times lie in the bounds, and within the longest span."""
     found = events.agg(F.count("*").alias("records"), F.count_if(~_in_bounds(F.col("ts"))).alias("invalid"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import detectors
+from tracewell.operators import detectors, views
 from tracewell.operators.reports import scaler
 from tracewell.schema import FEATURES
 from tracewell.sources.scratch import written
@@ -44,8 +44,11 @@ def fit(windows: DataFrame, k: int = 12, trees: int = 300, contamination: float
 
 
 def publish(model: Fitted, root: str, version: str) -> None:
-    """Writes the tables of a version below ``root``; earlier versions stay, and the version counts once its ``config`` is there, which is written last."""
+    """Writes the tables of a version below ``root``; earlier versions stay, one that exists is refused, and the version counts once its ``config`` is there, which is written last. What a failed attempt left is replaced."""
     spark, to = model.scaling.sparkSession, f"{root}/{version}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{to}/config/_SUCCESS")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"version {version} exists below {root}")
     if model.components.shape[0] != len(FEATURES):
         raise ValueError(f"the model has {model.components.shape[0]} features, not {len(FEATURES)}")
     model.scaling.write.mode("overwrite").parquet(f"{to}/scaling")
@@ -79,3 +82,22 @@ def score(windows: DataFrame, model: Fitted, mode: str = "full-log", explain: bo
         odd = detectors.attribute_isolation(isolated.where("predicted_label = 'anomaly'"), model.forest)
         isolated = isolated.where("predicted_label != 'anomaly'").withColumn("attribution", F.lit(None).cast("array<double>")).unionByName(odd)
     return rebuilt, isolated
+
+
+def artifacts(windows: DataFrame, model: Fitted, grid: int = 70) -> dict[str, DataFrame]:
+    """The tables that are shown beside a model: ``scores`` of its windows, ``errors`` by training and validation, ``plane`` and the ``contour`` of the decision on it, ``attributions`` of the anomalies and the ``dependency`` of the strongest feature."""
+    rebuilt, isolated = score(windows, model)
+    scaled = model.scale(windows)
+    axes, _ = detectors.fit_plane(scaled)
+    plane = detectors.project_plane(scaled, axes).select("window_start", "src_ip", "pca_1", "pca_2")
+    explained = views.attribution_values(isolated.where("predicted_label = 'anomaly'"))
+    return {
+        "scores": isolated.select("window_start", "src_ip", "isolation", "isolation_score", "score_percentile", "predicted_label"), "errors": rebuilt.select("window_start", "src_ip", "reconstruction_error", "threshold_ratio", detectors.split(rebuilt).alias("split")),
+        "plane": plane, "contour": detectors.contour(plane, axes, model.forest, model.offset, grid), "attributions": explained, "dependency": views.dependency(explained),
+    }
+
+
+def publish_artifacts(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes the tables beside a version's own."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{root}/{version}/artifacts/{name}")

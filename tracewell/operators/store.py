@@ -32,6 +32,34 @@ def store_score(alert_type: Column, methods: Column, has_domains: Column, ratio:
     return F.least(F.lit(100), F.when(isolation, kept).otherwise(points)).cast("int")
 
 
+def derived_uid(alerts: DataFrame) -> Column:
+    """The id of an alert that has none: of a reconstruction's without a rule that of its window and source, of any other a SHA-256 of its times, source, type, scores to the millionth, methods and first five domains.
+
+    Columns that ``alerts`` lacks count as null, and nulls as empty text.
+    """
+    have = set(alerts.columns)
+    col = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    time = lambda c: F.coalesce(D.iso_time(col(c, "timestamp")), F.lit(""))
+    methods = col("detection_methods", "map<string,boolean>")
+    on = lambda k: F.coalesce(F.try_element_at(methods, F.lit(k)), F.lit(False))
+    ruled = F.lit(False)
+    for k in POINTS:
+        ruled = ruled | on(k)
+    rebuilt = F.coalesce(col("alert_type") == "autoencoder_anomaly", F.lit(False)) | F.coalesce(col("detection_type") == "deep_learning_autoencoder", F.lit(False)) | on(RECONSTRUCTION)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    millionth = lambda c: text(F.round(col(c, "double") * 1e6).try_cast("bigint"))
+    listed = alerts.schema["suspicious_domains"].dataType.elementType.typeName() if "suspicious_domains" in have else ""
+    names = F.transform("suspicious_domains", lambda d: d["query"] if listed == "struct" else d.cast("string")) if listed else F.lit(None).cast("array<string>")
+    basis = F.concat_ws("|", time("window_start"), time("window_end"), text(col("src_ip")), text(col("alert_type")), millionth("reconstruction_error"), millionth("isolation_score"), text(D.enabled_methods(F.to_json(methods))), text(F.array_join(F.slice(names, 1, 5), ",")))
+    return F.when(rebuilt & ~ruled, D.stable_id("AE-", F.lit("autoencoder"), time("window_start"), text(col("src_ip")))).otherwise(F.sha2(basis, 256))
+
+
+def alert_uid(alerts: DataFrame) -> Column:
+    """The uid of an alert, else its id, else what `derived_uid` makes; blank ones count as none."""
+    have = [F.col(c) for c in ("alert_uid", "id") if c in alerts.columns]
+    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in have), derived_uid(alerts))
+
+
 def with_domains(alerts: DataFrame, domains: DataFrame) -> DataFrame:
     """Adds ``suspicious_domains``, in the order of their rank. A window has no more than `suspicious_domains` lets pass."""
     fields = [c for c in domains.columns if c not in ("window_start", "src_ip")]
@@ -48,7 +76,7 @@ def stored_alerts(alerts: DataFrame) -> DataFrame:
     has = F.coalesce(F.size(col("suspicious_domains", "array<string>")) > 0, F.lit(False))
     score = store_score(plain["alert_type"], col("detection_methods", "map<string,boolean>"), has, ratio, col("threat_score", "double").try_cast("double"), plain["score_percentile"])
     rows = alerts.select(
-        F.coalesce(col("alert_uid", "string"), col("id", "string")).alias("alert_uid"), *(v.alias(c) for c, v in plain.items()),
+        alert_uid(alerts).alias("alert_uid"), *(v.alias(c) for c, v in plain.items()),
         score.alias("threat_score"), F.coalesce(col("severity", "string"), F.lit("info")).alias("_was"), *(F.to_json(c).alias(f"{c}_json") for c in NESTED if c in have),
     )
     return rows.withColumn("severity", D.severity_store(F.col("threat_score"), F.col("_was"))).drop("_was")
@@ -87,11 +115,3 @@ def gate_rules(judged: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that the table ``rule_name, enabled`` switches off don't fire; a rule that it doesn't list is on. Five flags reach the driver."""
     on = rules.agg(*(F.coalesce(F.max(F.when(F.col("rule_name") == k, F.col("enabled"))), F.lit(True)).alias(k) for k in POINTS)).first()
     return judged.withColumns({k: F.col(k) & F.lit(on[k]) for k in POINTS})
-
-
-def families(alerts: DataFrame) -> DataFrame:
-    """Alerts of each source by detector family, their highest score, and the first and last window."""
-    on = lambda k: F.coalesce(F.try_element_at("detection_methods", F.lit(k)), F.lit(False))
-    family = F.when((F.col("alert_type") == ISOLATION) | on(ISOLATION), "isolation").when(on(RECONSTRUCTION), "reconstruction").otherwise("rules")
-    counts = (F.count_if(F.col("family") == f).alias(f) for f in ("isolation", "reconstruction", "rules"))
-    return alerts.withColumn("family", family).groupBy("src_ip").agg(*counts, F.max("threat_score").alias("max_score"), F.min("window_start").alias("first_window"), F.max("window_start").alias("last_window"))

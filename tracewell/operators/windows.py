@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import dns as D
@@ -88,6 +88,53 @@ def evaluate_rules(windows: DataFrame, approved: list[str] | None = None) -> Dat
     })
 
 
+#: What each rule looks for, and its conditions on a window: all of them must hold, of one with several parts any.
+DEFINITIONS = {
+    "heuristic_dga": ("Many unique random-looking domains with high NXDOMAIN rate.", ("total_queries >= 20", "unique_query_ratio >= 0.90", "nxdomain_rate >= 0.50", "high_entropy_rate >= 0.50")),
+    "heuristic_tunnel": ("Long or high-entropy queries and TXT abuse suggesting DNS tunneling.", ("total_queries >= 20", "txt_rate >= 0.40 OR long_query_rate >= 0.40 OR long_label_rate >= 0.30", "high_entropy_rate >= 0.40")),
+    "heuristic_fastflux": ("Many answer IPs with low TTL suggesting fast-flux.", ("total_queries >= 10", "answer_count_avg >= 3 OR answer_count_max >= 5 OR unique_answer_ips >= 10", "ttl_min > 0", "ttl_min <= 60 OR low_ttl_rate >= 0.30")),
+    "heuristic_resolver_failure": ("High SERVFAIL or NXDOMAIN rate.", ("total_queries >= 20", "servfail_rate >= 0.50 OR nxdomain_rate >= 0.70")),
+    "heuristic_rogue_resolver": ("A host uses an unauthorized DNS resolver.", ()),
+}
+COMPARISONS = {">=": Column.__ge__, ">": Column.__gt__, "<=": Column.__le__, "<": Column.__lt__, "=": Column.__eq__}
+
+
+def rule_definitions(spark: SparkSession) -> DataFrame:
+    """The rules as a table that can be changed: a row for each part of a condition, ``rule_name, enabled, description, condition, feature, comparison, threshold``; a rule without conditions has one row, of nulls."""
+    rows = []
+    for name, (said, conditions) in DEFINITIONS.items():
+        parts = [(k, *part.split()) for k, condition in enumerate(conditions) for part in condition.split(" OR ")]
+        rows += [(name, True, said, k, f, c, float(t)) for k, f, c, t in parts] or [(name, True, said, None, None, None, None)]
+    return spark.createDataFrame(rows, "rule_name string, enabled boolean, description string, condition int, feature string, comparison string, threshold double")
+
+
+def evaluate_definitions(windows: DataFrame, definitions: DataFrame, approved: list[str] | None = None) -> DataFrame:
+    """What `evaluate_rules` adds, by the thresholds of a table of definitions, whose rows, a few for each rule, reach the driver. Rules that are off, or that it doesn't have, don't fire; unknown features and comparisons are errors."""
+    rows = definitions.collect()
+    unknown = {(r.feature, r.comparison) for r in rows if r.feature is not None and (r.feature not in FEATURES or r.comparison not in COMPARISONS)}
+    if unknown:
+        raise ValueError(f"rules can't be judged by {sorted(unknown, key=str)}")
+    judged = evaluate_rules(windows, approved)
+    fired = {}
+    for name in POINTS:
+        own = [r for r in rows if r.rule_name == name]
+        test = F.lit(bool(own) and all(r.enabled for r in own))
+        for k in sorted({r.condition for r in own if r.condition is not None}):
+            any_of = F.lit(False)
+            for r in own:
+                if r.condition == k:
+                    any_of = any_of | COMPARISONS[r.comparison](F.col(r.feature), F.lit(r.threshold))
+            test = test & F.coalesce(any_of, F.lit(False))
+        fired[name] = test & F.col(name) if name == "heuristic_rogue_resolver" else test
+    return judged.withColumns(fired)
+
+
+def described(alerts: DataFrame, definitions: DataFrame) -> DataFrame:
+    """A row for each rule that fired of an alert, with its description."""
+    said = definitions.groupBy("rule_name").agg(F.first("description", ignorenulls=True).alias("description"))
+    return alerts.select("*", F.explode("heuristics_fired").alias("rule_name")).join(F.broadcast(said), "rule_name", "left")  # a row for each rule
+
+
 def rule_score(has_domains: Column | None = None) -> Column:
     """Points of the fired rules, and of suspicious domains, at most 100."""
     points = sum((F.when(F.col(k), v).otherwise(0) for k, v in POINTS.items()), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import dns as D
 from tracewell.operators import alerts as A
 from tracewell.operators import correlation, detectors, domains, events, gates, models, reports, store, views
-from tracewell.operators.windows import build_windows, evaluate_rules
+from tracewell.operators.windows import DEFINITIONS, build_windows, described, evaluate_definitions, evaluate_rules, fired_rules, rule_definitions
 from tracewell.plans.queries import _EVENTS, _ISO, _R, _RULES, _SHORT_WINDOWS, _SPLIT, _STORE, _WINDOWS, DAY, SHORT, _features, _rounded, _windows
 from tracewell.schema import FEATURES
 from tracewell.sources import records
@@ -307,6 +307,52 @@ def dns_tailed_events(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found.groupBy("src_ip", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("events"), F.countDistinct("uid").alias("uids")))
 
 
+def dns_rules_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that fire by a table of definitions, in which one has lower thresholds and one is off, with their descriptions."""
+    table = rule_definitions(spark).withColumn("enabled", F.col("rule_name") != "heuristic_fastflux")
+    lower = F.when((F.col("rule_name") == "heuristic_dga") & (F.col("feature") == "nxdomain_rate"), 0.9).when((F.col("rule_name") == "heuristic_resolver_failure") & (F.col("feature") == "total_queries"), 5.0)
+    judged = evaluate_definitions(_day(spark, sf)[0], table.withColumn("threshold", F.coalesce(lower, "threshold")))
+    return _rounded(described(judged.select("window_start", "src_ip", fired_rules().alias("heuristics_fired")), table).select("window_start", "src_ip", "rule_name", "description"))
+
+
+def dns_alert_uids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that rule and reconstruction alerts get which have none."""
+    alerts = _all_alerts(spark, sf)
+    bare = [alerts[k].drop("id", "alert_uid") for k in ("reconstruction", "rules")]
+    return _rounded(events.union_inputs([a.select("window_start", "src_ip", "alert_type", store.alert_uid(a).alias("alert_uid")) for a in bare]))
+
+
+def dns_source_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(A.timeline(_together(_all_alerts(spark, sf))))
+
+
+def dns_source_families(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(A.families(_together(_all_alerts(spark, sf))))
+
+
+def dns_source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The alerts of one source."""
+    return _rounded(A.investigate(_together(_all_alerts(spark, sf)), "10.0.0.1"))
+
+
+def dns_time_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of times of which one in eleven was read in the wrong unit, and one in a hundred can't be recovered."""
+    own = dns_events(spark, sf)
+    number = F.substring("uid", 2, 20).cast("long")
+    raw = F.when(number % 100 != 0, F.unix_micros("ts").cast("string"))
+    broken = own.withColumns({"ts_raw": raw, "ts": F.when(number % 11 == 0, F.timestamp_seconds(F.lit(253_000_000_000))).otherwise(F.col("ts"))})
+    return _rounded(gates.time_gate(gates.recovered(broken)).drop("reason"))
+
+
+def dns_contour(spark: SparkSession, sf: str) -> DataFrame:
+    """The decision of a forest over the plane of two principal components, on a grid."""
+    scaled = written(detectors.scale(written(_windows(spark, sf), "windows")).select("window_start", "src_ip", "scaled"), "scaled")
+    forest = detectors.fit_isolation(scaled, trees=100)
+    offset = detectors.exact_quantiles(written(detectors.score_isolation(scaled, forest), "isolated"), "isolation", (0.99,))[0]
+    axes, _ = detectors.fit_plane(scaled)
+    return detectors.contour(detectors.project_plane(scaled, axes), axes, forest, offset)
+
+
 def dns_attributions(spark: SparkSession, sf: str) -> DataFrame:
     """What pushes the anomalous windows toward isolation: mean attributions of the features and their ranks."""
     scaled = written(detectors.scale(written(_windows(spark, sf), "windows")).select("window_start", "src_ip", "scaled"), "scaled")
@@ -341,13 +387,14 @@ def _landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 #: What no SQL can express, or would not say more than a count; tests hold their operators against plain versions.
-UNCHECKED = (dns_stream_detectors, dns_stream_final, dns_attributions, dns_plane, dns_silhouette)
+UNCHECKED = (dns_stream_detectors, dns_stream_final, dns_contour, dns_attributions, dns_plane, dns_silhouette)
 
 QUERIES = (
     dns_scored_windows, dns_top_errors, dns_latest_windows, dns_reading_card, dns_score_summary, dns_score_histogram, dns_residual_weights, dns_residual_summary, dns_value_ranks,
     dns_percentiles, dns_isolation_alerts, dns_reconstruction_alerts, dns_rule_alert_details, dns_final_alerts, dns_run_statistics, dns_final_list, dns_unified_counters, dns_families,
     dns_filtered_alerts, dns_latest_alerts, dns_report, dns_alert_lookup, dns_first_events, dns_last_events, dns_merge_counters, dns_feature_summary, dns_alignment, dns_split,
-    dns_stratified, dns_history, dns_repaired, dns_coverage, dns_stream_alerts, dns_stream_rule_final, dns_tailed_events, *UNCHECKED,
+    dns_stratified, dns_history, dns_repaired, dns_coverage, dns_stream_alerts, dns_stream_rule_final, dns_tailed_events,
+    dns_rules_by_table, dns_alert_uids, dns_source_timeline, dns_source_families, dns_source_rows, dns_time_recovered, *UNCHECKED,
 )
 
 _SCORED = ", z AS (SELECT *, " + ", ".join(f"coalesce((CAST({f} AS DOUBLE) - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 0) AS z_{f}" for f in FEATURES) + " FROM w), pl AS (SELECT *, (" + " + ".join(f"abs(z_{f})" for f in FEATURES) + f""") / {len(FEATURES)} AS err FROM z),
@@ -388,7 +435,20 @@ _NOT_NULL = "lambda x: x IS NOT NULL"
 _TURNS = _EVENTS.replace("e AS (SELECT event_id", "ea AS (SELECT event_id") + f""", fi AS (SELECT *, ts < TIMESTAMP '{TURN}' AND NOT (event_id % 7 = 0 AND ts >= TIMESTAMP '{LATE}') AS early FROM ea),
 e AS (SELECT fi.* FROM fi, (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM fi WHERE early) WHERE early OR ts > wm)"""
 
+_SAID = "CASE r " + " ".join(f"WHEN '{k}' THEN '{said}'" for k, (said, _) in DEFINITIONS.items()) + " END"
+_DOMAIN_NAMES = "dn AS (SELECT ws, src_ip, array_to_string(list(query ORDER BY rank)[1:5], ',') AS names FROM d GROUP BY ALL)"
+_MICRO = "CAST(CAST(round(err * 1e6) AS BIGINT) AS VARCHAR)"
+_END = _ISO.replace("strftime(ws,", "strftime(ws + INTERVAL 1 DAY,")
+
 SQL = {
+    "dns_rules_by_table": f"WITH {_RULES}, x AS (SELECT window_start, src_ip, CASE WHEN heuristic_dga AND nxdomain_rate >= 0.9 THEN 'heuristic_dga' END AS r FROM (SELECT *, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start FROM j) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_tunnel' FROM j WHERE heuristic_tunnel"
+    " UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_resolver_failure' FROM j WHERE total_queries >= 5 AND (servfail_rate >= 0.5 OR nxdomain_rate >= 0.7) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_rogue_resolver' FROM j WHERE heuristic_rogue_resolver)"
+    f" SELECT window_start, src_ip, r AS rule_name, {_SAID} AS description FROM x WHERE r IS NOT NULL",
+    "dns_alert_uids": f"WITH {_ALERTS}, {_DOMAIN_NAMES} SELECT window_start, src_ip, 'autoencoder_anomaly' AS alert_type, id AS alert_uid FROM ra UNION ALL SELECT window_start, src_ip, 'heuristics_rule', sha256({_ISO} || '|' || {_END} || '|' || src_ip || '|heuristics_rule|||' || array_to_string(list_sort(fired), ', ') || '|' || coalesce(names, '')) FROM ru LEFT JOIN dn USING (ws, src_ip)",
+    "dns_source_timeline": f"WITH {_ALERTS} SELECT src_ip, strftime(date_trunc('hour', ws), '%Y-%m-%d %H:%M:%S') AS hour, family, count(*) AS alerts, max(coalesce(threat_score, 0)) AS max_score FROM al GROUP BY ALL",
+    "dns_source_families": f"WITH {_ALERTS} SELECT src_ip, count(*) AS alerts, count(*) FILTER (WHERE family = 'isolation') AS isolation, count(*) FILTER (WHERE family = 'reconstruction') AS reconstruction, count(*) FILTER (WHERE family = 'rules') AS rules, max(coalesce(threat_score, 0)) AS max_score, min(window_start) AS first_window, max(window_start) AS last_window FROM al GROUP BY src_ip",
+    "dns_source_rows": f"WITH {_ALERTS}, so AS (SELECT ws, src_ip, err - th AS score FROM sc) SELECT id, window_start, family, CASE family WHEN 'isolation' THEN 'categorization_forest' WHEN 'reconstruction' THEN 'autoencoder_anomaly' ELSE 'heuristics_rule' END AS alert_type, severity, threat_score, 'New' AS status, round(CASE WHEN family = 'isolation' THEN score END, 6) AS isolation_score, round(al.err, 6) AS reconstruction_error, methods AS detection_type FROM al JOIN so USING (ws, src_ip) WHERE src_ip = '10.0.0.1'",
+    "dns_time_recovered": f"WITH {_EVENTS}, r AS (SELECT *, event_id % 11 = 0 AND event_id % 100 = 0 AS lost FROM e) SELECT count(*) AS records, count(*) FILTER (WHERE lost) AS invalid, {_TEXT('min(ts) FILTER (WHERE NOT lost)')} AS first_ts, {_TEXT('max(ts) FILTER (WHERE NOT lost)')} AS last_ts, round((floor(epoch(max(ts) FILTER (WHERE NOT lost))) - floor(epoch(min(ts) FILTER (WHERE NOT lost)))) / 86400, 6) AS span_days, count(*) > 0 AND invalid = 0 AND span_days <= 3660 AS passed FROM r",
     "dns_stream_rule_final": f"WITH {_TURNS}{_STORE[len(_EVENTS):]}, f AS (SELECT st.*, {_id('FINAL-', f"'final-correlation|' || src_ip || '|' || {_ISO}")} AS id FROM st WHERE threat_score >= 40 AND ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR)"
     " SELECT id, window_start, src_ip, CASE WHEN threat_score >= 90 THEN 'critical' WHEN threat_score >= 75 THEN 'high' WHEN threat_score >= 60 THEN 'medium' ELSE 'low' END AS severity, threat_score, alert_uid AS source_alert_ids FROM f",
     "dns_tailed_events": f"WITH {_EVENTS} SELECT src_ip, {_HOUR} AS hour, count(*) AS events, count(DISTINCT uid) AS uids FROM e GROUP BY ALL",

@@ -8,6 +8,7 @@ search; those of the chosen role carry the loss.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from dataclasses import dataclass, field
 from functools import cache
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm._common import remembered
+
 OPEN, SPLIT, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 ESCAPES = (("\\", "\\\\"), ("<", "\\l"))
 
@@ -68,6 +71,53 @@ def _tokenizer(path: str):
     return t
 
 
+#: How byte-level tokenizers cut a text into pieces that don't see each other.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class RankEncoder:
+    """Ids and character offsets by a file of ranks, a byte string and its rank on each line. The control strings get the ids after the last, and one more for the end of texts, which stays free.
+
+    Tokens are the text's bytes one after the other, so that their lengths give their places, and a token that holds a part of a character's bytes has the whole character's place.
+    """
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = {x: max(ranks.values()) + 2 + k for k, x in enumerate((OPEN, SPLIT, CLOSE))}
+        self.tokenizer = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=own)
+        self.allowed = set(own)
+        self.length = np.zeros(max(own.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        for token, rank in own.items():
+            self.length[rank] = len(token)
+
+    def encode(self, text: str) -> Tokens:
+        ids = self.tokenizer.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype(np.int32)
+        ends = np.cumsum(self.length[ids])
+        starts = ends - self.length[ids]
+        if len(ids) and ends[-1] > len(text):
+            character = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+            starts, ends = character[starts], character[ends - 1] + 1
+        return ids, starts.astype(np.int32), ends.astype(np.int32)
+
+
+class FileEncoder:
+    """The same by a tokenizer's file of JSON."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+
+    def encode(self, text: str) -> Tokens:
+        encoded = self.tokenizer.encode(text, add_special_tokens=False)
+        offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
+        return np.array(encoded.ids, dtype=np.int32), offsets[:, 0], offsets[:, 1]
+
+
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """True for each token that lies in one of the spans. Tokens and spans are sorted; bytes of one character share its offsets."""
     mask = np.zeros(len(starts), dtype=bool)
@@ -87,11 +137,11 @@ def stretches(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[tu
 
 
 def format_conversations(rows: DataFrame, tokenizer: str, learn_from: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id, formatted, ids, starts, ends, loss_mask``: one row for each conversation; ``starts`` and ``ends`` are the tokens' offsets in characters.
+    """``conv_id, formatted, ids, starts, ends, loss_mask``: one row for each conversation; ``starts`` and ``ends`` are the tokens' offsets in characters. ``tokenizer`` is a file of ranks, ``.tiktoken``, or of JSON.
 
     Turns go by ``turn``, nulls first; ties by role and text, so that repeated turns stay, side by side. Null roles and texts count as empty. Rows with a null
     id make up one conversation. A conversation is one training example and has to fit a task; Spark spreads conversations. An empty table
-    gives no rows.
+    gives no rows. Other columns aren't in the result, whatever their names.
     """
     kind = rows.schema[conv_col].dataType.simpleString()
     clean = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in (role_col, text_col)]
@@ -101,19 +151,15 @@ def format_conversations(rows: DataFrame, tokenizer: str, learn_from: str = "ass
     )
 
     def batches(it):
-        encoder = _tokenizer(tokenizer)
+        encoder = remembered(("chat_format", tokenizer), lambda: (RankEncoder if tokenizer.endswith(".tiktoken") else FileEncoder)(tokenizer))
         for whole_batch in it:
             for at in range(0, whole_batch.num_rows, 64):
                 batch = whole_batch.slice(at, 64)
                 made = [render(list(zip(r, t, strict=True))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                ids, starts, ends, masks = [], [], [], []
-                for m, encoded in zip(made, encoder.encode_batch([m.text for m in made], add_special_tokens=False), strict=True):
-                    offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
-                    ids.append(encoded.ids)
-                    starts.append(offsets[:, 0])
-                    ends.append(offsets[:, 1])
-                    masks.append(loss_mask(offsets[:, 0], offsets[:, 1], [s for s, r in zip(m.spans, m.roles, strict=True) if r == learn_from]).tobytes())
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, ends)]
+                tokens = [encoder.encode(m.text) for m in made]
+                masks = [loss_mask(starts, ends, [s for s, r in zip(m.spans, m.roles, strict=True) if r == learn_from]).tobytes() for m, (_, starts, ends) in zip(made, tokens, strict=True)]
+                bounds = pa.array(np.concatenate([[0], np.cumsum([len(ids) for ids, _, _ in tokens])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([t[k] for t in tokens]), pa.int32())) for k in range(3)]
                 yield pa.record_batch([batch.column(0), pa.array([m.text for m in made], pa.string()), *lists, pa.array(masks, pa.binary())], ["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 
     return whole.mapInArrow(batches, f"conv_id {kind}, formatted string, ids array<int>, starts array<int>, ends array<int>, loss_mask binary")

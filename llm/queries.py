@@ -79,7 +79,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from llm.chat_format import format_conversations, read_back
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),

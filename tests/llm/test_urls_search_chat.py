@@ -155,10 +155,12 @@ def test_chat_query(spark, sf_dir):
     check(op10_chat_format(spark, sf_dir).collect(), convs)
 
 
-def test_chat_edges(spark):
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_chat_edges(spark, file):
+    path = public_tokenizers.path(file)
     rows = [(1, k, "assistant" if k % 2 else "user", t, 0) for k, t in enumerate(TEXTS * 2)]
     rows += [(2, None, None, None, 0), (2, 1, "assistant", "b", 0), (2, 1, "assistant", "b", 0), (None, 1, "assistant", "", 0), (3, 1, "user", "x", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int")
-    got = C.read_back(C.format_conversations(df, BYTES), BYTES).collect()
+    got = C.read_back(C.format_conversations(df, path), BYTES).collect()  # ids and offsets are those of the JSON file's
     check(got, {1: [(r[2], r[3]) for r in rows[: 2 * len(TEXTS)]], 2: [("", ""), ("assistant", "b"), ("assistant", "b")], None: [("assistant", "")], 3: [("user", "x")]})
-    assert C.format_conversations(df.limit(0), BYTES).count() == 0
+    assert C.format_conversations(df.limit(0), path).count() == 0

@@ -39,14 +39,16 @@ def _lines(text: Column) -> Column:
 def base_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and ``base_failed``; null text counts as empty. Columns of these names are replaced, all others stay.
 
-    Repeated words are found by sorting a text's hashed 3-word windows: equal neighbours, word for word, mark repeated windows, and
+    Repeated words are found by sorting a text's hashed 3-word windows, if two hashes are equal: equal neighbours, word for word, mark repeated windows, and
     the words they cover are counted once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, hashed, places, lines = fresh(docs, "words", "hashed", "places", "lines")
+    words, hashes, hashed, places, lines = fresh(docs, "words", "hashes", "hashed", "places", "lines")
     at = lambda i: F.get(F.col(words), i)
     n = F.size(words)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
     other = lambda k: F.get(F.col(hashed), k)
 
     def equal(x: Column, y: Column) -> Column:
@@ -58,9 +60,10 @@ def base_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     twice = F.transform(hashed, lambda x, k: F.when(equal(x, other(k - 1)) | equal(x, other(k + 1)), x["i"]))
     gaps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(places), k + 1) - p, F.lit(3))))
     out = docs.withColumn(words, words_array(text)).withColumn("n_words", n.cast("long"))
-    out = out.withColumn(hashed, F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    out = out.withColumn(hashes, F.coalesce(windows, F.array().cast("array<bigint>")))
+    out = out.withColumn(hashed, F.when(some, F.sort_array(placed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     out = out.withColumn(places, F.sort_array(F.array_compact(twice)))
-    out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop(words, hashed, places)
+    out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop(words, hashes, hashed, places)
     out = out.withColumn("word_chars", F.length(F.translate(text, WHITE, "")).cast("long"))
     out = out.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     out = out.withColumn(lines, _lines(text)).withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")).drop(lines)

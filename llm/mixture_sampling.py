@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, se
     ``copies`` is how often the document is in the mix, at most ``epochs`` times, also if it has no words, and ``taken`` the words that makes.
     ``quality`` is a positive weight, by default `text_quality`. Null and empty texts have size 0 and take part with 0 words. A null source is
     a source of its own, the last. Equal ids get equal keys, ties fall to the smaller id (null first), then the smaller size; repeated rows
-    are each a document. An empty table gives no rows.
+    are each a document. An empty table gives no rows. Other columns aren't in the result, whatever their names.
     """
     quality = text_quality(F.col(text_col)) if quality is None else quality
     key = -F.log(uniform(F.col(id_col), seed)) / quality

@@ -97,7 +97,7 @@ def _with_shares(rows: DataFrame, shares: DataFrame, overall: float) -> DataFram
     for k in (1, 2):
         own = rows.groupBy(f"_s{k}").agg(F.count("*").alias("rows"))
         known = own.join(shares.select(F.col("suffix").alias(f"_s{k}"), F.col("share").alias(f"f_suffix{k}")), f"_s{k}", "left").fillna(overall, [f"f_suffix{k}"])
-        rows = join_counted(rows, materialize(known, "suffixes"), [f"_s{k}"], "rows")
+        rows = join_counted(rows, materialize(known, "suffixes"), [f"_s{k}"], "rows", salt=F.xxhash64("id", "_url"))
     return rows
 
 
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: tuple[DomainRule, ...] = RULES, max_labelled:
     Suffixes are counted over all labelled URLs of one half, by a hash of the URL, and the trees learn from those of the other half: from ``max_labelled`` rows at most, those of smallest hash of id and URL.
     If the labelled URLs are all of one kind, that is the verdict of the
     others; without any it is ``allow``. Null URLs and those without ``://`` have an empty host and path, fit no rule and are
-    judged by the trees. Repeated rows and null ids are judged each on its own; an empty table gives no rows.
+    judged by the trees. Repeated rows and null ids are judged each on its own; an empty table gives no rows. Other columns aren't in the result, whatever their names.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"))
     rows = rows.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})

@@ -84,7 +84,7 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
 
 
 def scaled(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id`` and ``v``, the components as floor(scale * x); without rows that hold null or non-finite ones, or whose id or vector is null or empty."""
+    """``id`` and ``v``, the components as floor(scale * x); without rows that hold null or non-finite ones, or whose id or vector is null or empty. Rows that repeat stay, an empty table gives no rows, and other columns aren't in the result, whatever their names."""
     kept = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = kept.where("id is not null and v is not null and size(v) > 0").where(~bad)
@@ -95,7 +95,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
     """``query_id, rank, id, score``: for each row of ``queries`` its ``k`` highest scores among ``vectors``, both as from `scaled`.
 
     Vectors with the query's own id are no candidates. Queries that repeat an id and vector count once; repeated candidates count each. Vectors
-    of different lengths aren't compared. Fewer than ``k`` candidates give all. Scores saturate at the ends of long. Empty tables give no rows.
+    of different lengths aren't compared. Fewer than ``k`` candidates give all. Scores saturate at the ends of long. Empty tables give no rows, and columns other than ``id`` and ``v`` aren't in the result.
 
     A task takes the candidates of one block after the other, makes its cells once, and then streams all queries past them: it holds about ``block`` candidates and `QUERIES` queries.
     """

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from tracewell.plans import detection, learned, queries
+from tracewell.plans import detection, learned, queries, sources
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = queries.SQL | detection.SQL | learned.SQL
+SQL = queries.SQL | detection.SQL | learned.SQL | sources.SQL
 
 
 def same_rows(got, want):
@@ -18,7 +18,7 @@ def same_rows(got, want):
     assert all(x == y for x, y in zip(a, b)), next((x, y) for x, y in zip(a, b) if x != y)
 
 
-@pytest.mark.parametrize("query", [q for q in (*queries.QUERIES, *detection.QUERIES, *learned.QUERIES) if q.__name__ in SQL], ids=lambda q: q.__name__)
+@pytest.mark.parametrize("query", [q for q in (*queries.QUERIES, *detection.QUERIES, *learned.QUERIES, *sources.QUERIES) if q.__name__ in SQL], ids=lambda q: q.__name__)
 def test_query(spark, sf_dir, query):
     con = duckdb.connect()
     for t in TABLES:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from llm._common import materialize
 
 CELL_BITS = 4
-#: Vectors in a block of candidates, and queries in a block.
-BLOCK, QUERIES = 8192, 512
+#: Components in a block of candidates, 32 MB of them: all queries are sent to each block, so that blocks are as large as a task can hold. Bounds of scores that are held at a time.
+BLOCK, BOUNDS = 1 << 22, 1 << 22
 #: Candidates read exactly at a time, for each query.
 STEP = 64
 
@@ -91,17 +91,18 @@ def scaled(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_c
     return kept.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int | None = None) -> DataFrame:
     """``query_id, rank, id, score``: for each row of ``queries`` its ``k`` highest scores among ``vectors``, both as from `scaled`.
 
     Vectors with the query's own id are no candidates. Queries that repeat an id and vector count once; repeated candidates count each. Vectors
     of different lengths aren't compared. Fewer than ``k`` candidates give all. Scores saturate at the ends of long. Empty tables give no rows, and columns other than ``id`` and ``v`` aren't in the result.
 
-    A task takes the candidates of one block after the other, makes its cells once, and then streams all queries past them: it holds about ``block`` candidates and `QUERIES` queries.
+    A task takes the candidates of one block after the other, makes its cells once, and then streams all queries past them: it holds about ``block`` candidates, by default `BLOCK` components, and the bounds of some queries.
     """
     vectors = materialize(vectors.withColumn("dim", F.size("v")), "vectors")
     asked = materialize(queries.dropDuplicates().withColumns({"dim": F.size("v"), "print": F.xxhash64("v")}), "asked")
-    n = vectors.count()
+    n, dims = vectors.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    block = max(256, BLOCK // dims) if block is None else block
     blocks = max(1, -(-n // block), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)))
     # repeated rows are dealt out too, so the place in the table counts
     own = vectors.select(F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", F.lit(0).cast("long").alias("print"), "dim", "v")
@@ -129,8 +130,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
                 if dim not in cells:
                     cells[dim] = Cells(*(np.concatenate(x) for x in zip(*held[dim], strict=True)))
                     held[dim] = ()
-                for start in range(0, part.num_rows, QUERIES):
-                    some = part.slice(start, QUERIES)
+                step = max(1, BOUNDS // len(cells[dim].ids))
+                for start in range(0, part.num_rows, step):
+                    some = part.slice(start, step)
                     found = cells[dim].top_k(np.asarray(some.column("id")), rows_of(some), k)
                     place = pa.array([i for i, _, _ in found], pa.int64())
                     yield pa.record_batch([some.column("id").take(place), some.column("print").take(place), pa.array([a for _, a, _ in found], pa.int64()), pa.array([b for _, _, b in found], pa.int64())], ["query_id", "print", "id", "score"])

@@ -296,7 +296,7 @@ def dns_stream_final(spark: SparkSession, sf: str) -> DataFrame:
 
 def dns_tailed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events by source and hour that a cursor over logs reads in two turns, between which logs are added and the stream starts again."""
-    root = _new_folder(spark, "tail").removeprefix("file://")
+    root = _new_folder(spark, "tail")
     own = dns_events(spark, sf)
     lines = own.select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "uid", F.col("src_ip").alias("id.orig_h"), "query")).alias("value"), (F.col("ts") < TURN).alias("early"))
     for turn in ("early", "not early"):
@@ -322,6 +322,12 @@ def dns_alert_uids(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(events.union_inputs([a.select("window_start", "src_ip", "alert_type", store.alert_uid(a).alias("alert_uid")) for a in bare]))
 
 
+def dns_stored_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """All flat columns of the stored alerts of all families."""
+    flat = [store.stored_alerts(a) for a in _all_alerts(spark, sf).values()]
+    return _rounded(events.union_inputs([f.select("alert_uid", *store.COLUMNS, "threat_score", "severity") for f in flat]))
+
+
 def dns_source_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(A.timeline(_together(_all_alerts(spark, sf))))
 
@@ -394,7 +400,7 @@ QUERIES = (
     dns_percentiles, dns_isolation_alerts, dns_reconstruction_alerts, dns_rule_alert_details, dns_final_alerts, dns_run_statistics, dns_final_list, dns_unified_counters, dns_families,
     dns_filtered_alerts, dns_latest_alerts, dns_report, dns_alert_lookup, dns_first_events, dns_last_events, dns_merge_counters, dns_feature_summary, dns_alignment, dns_split,
     dns_stratified, dns_history, dns_repaired, dns_coverage, dns_stream_alerts, dns_stream_rule_final, dns_tailed_events,
-    dns_rules_by_table, dns_alert_uids, dns_source_timeline, dns_source_families, dns_source_rows, dns_time_recovered, *UNCHECKED,
+    dns_rules_by_table, dns_alert_uids, dns_stored_flat, dns_source_timeline, dns_source_families, dns_source_rows, dns_time_recovered, *UNCHECKED,
 )
 
 _SCORED = ", z AS (SELECT *, " + ", ".join(f"coalesce((CAST({f} AS DOUBLE) - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 0) AS z_{f}" for f in FEATURES) + " FROM w), pl AS (SELECT *, (" + " + ".join(f"abs(z_{f})" for f in FEATURES) + f""") / {len(FEATURES)} AS err FROM z),
@@ -440,7 +446,23 @@ _DOMAIN_NAMES = "dn AS (SELECT ws, src_ip, array_to_string(list(query ORDER BY r
 _MICRO = "CAST(CAST(round(err * 1e6) AS BIGINT) AS VARCHAR)"
 _END = _ISO.replace("strftime(ws,", "strftime(ws + INTERVAL 1 DAY,")
 
+def _stored(kind: str, source: str, values: dict[str, str]) -> str:
+    """A family's alerts as they are stored: what every column holds that the family doesn't have, and its own."""
+    k, day = A.KINDS[kind], "strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S')"
+    held = {c: "'" + str(other) + "'" if kind == "string" else f"CAST({other} AS {'BIGINT' if kind == 'int' else 'DOUBLE'})" for c, (kind, other) in store.COLUMNS.items()}
+    held |= {"alert_name": f"'{k.alert_name}'", "alert_type": f"'{k.alert_type}'", "window_start": "window_start", "window_end": day, "src_ip": "src_ip", "model_name": f"'{k.model_name}'", "window_size": f"'{DAY}'"} | values
+    severity = "CASE WHEN threat_score >= 75 THEN 'high' WHEN threat_score >= 50 THEN 'medium' WHEN threat_score >= 25 THEN 'low' ELSE severity END"
+    return f"SELECT id AS alert_uid, {', '.join(f'{v} AS {c}' for c, v in held.items())}, threat_score, {severity} AS severity FROM {source}"
+
+
+_STORED = " UNION ALL ".join((
+    _stored("isolation", "ia", {"isolation_score": "round(isolation_score, 6)", "score_margin": "round(isolation_score, 6)", "score_percentile": "round(pct, 6)"}),
+    _stored("reconstruction", "(SELECT *, CAST(20 + CASE WHEN n_domains > 0 THEN 15 ELSE 0 END + CASE WHEN err / th >= 2 THEN 15 WHEN err / th >= 1.5 THEN 8 ELSE 0 END AS BIGINT) AS threat_score FROM ra)", {"reconstruction_error": "round(err, 6)", "threshold": "round(th, 6)"}),
+    _stored("rules", "ru", {}),
+))
+
 SQL = {
+    "dns_stored_flat": f"WITH {_ALERTS} {_STORED}",
     "dns_rules_by_table": f"WITH {_RULES}, x AS (SELECT window_start, src_ip, CASE WHEN heuristic_dga AND nxdomain_rate >= 0.9 THEN 'heuristic_dga' END AS r FROM (SELECT *, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start FROM j) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_tunnel' FROM j WHERE heuristic_tunnel"
     " UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_resolver_failure' FROM j WHERE total_queries >= 5 AND (servfail_rate >= 0.5 OR nxdomain_rate >= 0.7) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_rogue_resolver' FROM j WHERE heuristic_rogue_resolver)"
     f" SELECT window_start, src_ip, r AS rule_name, {_SAID} AS description FROM x WHERE r IS NOT NULL",

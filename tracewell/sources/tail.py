@@ -7,6 +7,7 @@ A file that has become shorter than what was read of it, or begins otherwise tha
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -71,7 +72,7 @@ def _find(folder: str, file: str) -> str | None:
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.pattern = options["path"].removeprefix("file://"), options.get("pattern", "dns*.log")
+        self.folder, self.pattern = re.sub(r"^file:/+", "/", options["path"]), options.get("pattern", "dns*.log")
         self.split = int(options.get("splitBytes", 64 << 20))
         self.whole = str(options.get("failOnDataLoss", "true")).lower() == "true"
 

@@ -382,13 +382,13 @@ def share_by(scores: DataFrame, table: DataFrame, col: str, name: str = "score_p
 
 def stratified_sample(rows: DataFrame, label: str, limit: int, keys: tuple[str, ...], seed: int = 42) -> DataFrame:
     """``limit`` rows, or all if there are fewer: of each label its share, at least two, by a hash of the keys; what is missing or too much is made up over all labels."""
-    placed = rows.withColumn("_place", F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit(seed)))
+    placed = rows.withColumn("_place", F.conv(F.substring(key_digest(rows, keys, seed), 1, 15), 16, 10).cast("long"))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy())  # one row for each label
     share = counts.withColumn("_want", F.least(F.col("_n"), F.greatest(F.lit(2), F.bround(limit * F.col("_n") / total).cast("long"))))
     known = placed.join(F.broadcast(share.withColumnRenamed(label, "_label")), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     # of each label no more than `limit` rows can be in the sample: these lie among its smallest hashes, so that no label is sorted whole
-    known = known.where((F.col("_place") / float(1 << 64) + 0.5) * F.col("_n") <= limit + 8 * limit**0.5 + 8)
+    known = known.where(F.col("_place") / float(1 << 60) * F.col("_n") <= limit + 8 * limit**0.5 + 8)
     nth = F.row_number().over(Window.partitionBy(label).orderBy("_place", *keys))
     ranked = known.withColumn("_nth", nth).where(F.col("_nth") <= limit)
     first = F.when(F.col("_nth") <= F.least(F.lit(2), "_want"), 2).when(F.col("_nth") <= F.col("_want"), 1).otherwise(0)

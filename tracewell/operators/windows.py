@@ -17,8 +17,8 @@ DOMAIN_POINTS = 15
 
 #: Distinct values of a stream's window are counted exactly up to 2 to this power, and beyond it with a standard error of one in its root: 1.6 in 100.
 SKETCH = 12
-#: So many resolvers of a stream's window are known by name, the most used first.
-RESOLVERS = 100
+#: So many resolvers of a stream's window are known by name, the most used first, and so many are followed for that.
+RESOLVERS, FOLLOWED = 100, 1000
 
 
 def _streamed(events: DataFrame, size: str, sums: dict[str, Column], answers: Column) -> DataFrame:
@@ -29,7 +29,7 @@ def _streamed(events: DataFrame, size: str, sums: dict[str, Column], answers: Co
     grouped = rows.groupBy(F.window("ts", size).alias("w"), "src_ip").agg(
         *(v(first).alias(k) for k, v in sums.items()), F.count_if(first & F.col("_suspicious")).alias("suspicious"),
         F.theta_sketch_agg(F.when(first, F.col("query_clean")), F.lit(SKETCH)).alias("_names"), F.theta_sketch_agg("_answer", F.lit(SKETCH)).alias("_answers"),
-        F.theta_sketch_agg("dns_server", F.lit(SKETCH)).alias("_resolvers"), F.expr(f"approx_top_k(dns_server, {RESOLVERS})").alias("_servers"),
+        F.theta_sketch_agg("dns_server", F.lit(SKETCH)).alias("_resolvers"), F.expr(f"approx_top_k(dns_server, {RESOLVERS}, {FOLLOWED})").alias("_servers"),
     )
     return grouped.withColumns({
         "window_start": F.col("w.start"), "window_end": F.col("w.end"), "unique_queries": F.theta_sketch_estimate("_names"), "unique_answer_ips": F.theta_sketch_estimate("_answers"),

@@ -221,6 +221,12 @@ def dns_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.stratified_sample(scored, "predicted_label", 100, ("window_start", "src_ip")).groupBy("predicted_label").agg(F.count("*").alias("windows"))
 
 
+def dns_stratified_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of that sample."""
+    scored = _isolated(_plain(_day(spark, sf)[0]))
+    return _rounded(detectors.stratified_sample(scored, "predicted_label", 100, ("window_start", "src_ip")).select("window_start", "src_ip", "predicted_label"))
+
+
 def dns_history(spark: SparkSession, sf: str) -> DataFrame:
     """Scored windows of three passes: the last of each window counts, and of these the last 150."""
     scored = _plain(_day(spark, sf)[0]).select("window_start", "src_ip", "reconstruction_error")
@@ -400,7 +406,7 @@ QUERIES = (
     dns_percentiles, dns_isolation_alerts, dns_reconstruction_alerts, dns_rule_alert_details, dns_final_alerts, dns_run_statistics, dns_final_list, dns_unified_counters, dns_families,
     dns_filtered_alerts, dns_latest_alerts, dns_report, dns_alert_lookup, dns_first_events, dns_last_events, dns_merge_counters, dns_feature_summary, dns_alignment, dns_split,
     dns_stratified, dns_history, dns_repaired, dns_coverage, dns_stream_alerts, dns_stream_rule_final, dns_tailed_events,
-    dns_rules_by_table, dns_alert_uids, dns_stored_flat, dns_source_timeline, dns_source_families, dns_source_rows, dns_time_recovered, *UNCHECKED,
+    dns_rules_by_table, dns_alert_uids, dns_stored_flat, dns_stratified_rows, dns_source_timeline, dns_source_families, dns_source_rows, dns_time_recovered, *UNCHECKED,
 )
 
 _SCORED = ", z AS (SELECT *, " + ", ".join(f"coalesce((CAST({f} AS DOUBLE) - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 0) AS z_{f}" for f in FEATURES) + " FROM w), pl AS (SELECT *, (" + " + ".join(f"abs(z_{f})" for f in FEATURES) + f""") / {len(FEATURES)} AS err FROM z),
@@ -462,6 +468,10 @@ _STORED = " UNION ALL ".join((
 ))
 
 SQL = {
+    "dns_stratified_rows": f"WITH {_PLAIN}, p AS (SELECT ws, window_start, src_ip, CASE WHEN anomaly THEN 'anomaly' ELSE 'normal' END AS predicted_label, CAST('0x' || substr(md5('42|' || {_ISO} || '|' || src_ip), 1, 15) AS BIGINT) AS place FROM sc),"
+    " n AS (SELECT predicted_label, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT predicted_label, least(n, greatest(2, round_even(100 * n / sum(n) OVER (), 0))) AS want FROM n),"
+    " r AS (SELECT p.*, want, row_number() OVER (PARTITION BY predicted_label ORDER BY place, ws, src_ip) AS nth FROM p JOIN q USING (predicted_label))"
+    " SELECT window_start, src_ip, predicted_label FROM r ORDER BY CASE WHEN nth <= least(2, want) THEN 2 WHEN nth <= want THEN 1 ELSE 0 END DESC, place, ws, src_ip LIMIT 100",
     "dns_stored_flat": f"WITH {_ALERTS} {_STORED}",
     "dns_rules_by_table": f"WITH {_RULES}, x AS (SELECT window_start, src_ip, CASE WHEN heuristic_dga AND nxdomain_rate >= 0.9 THEN 'heuristic_dga' END AS r FROM (SELECT *, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start FROM j) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_tunnel' FROM j WHERE heuristic_tunnel"
     " UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_resolver_failure' FROM j WHERE total_queries >= 5 AND (servfail_rate >= 0.5 OR nxdomain_rate >= 0.7) UNION ALL SELECT strftime(ws, '%Y-%m-%d %H:%M:%S'), src_ip, 'heuristic_rogue_resolver' FROM j WHERE heuristic_rogue_resolver)"

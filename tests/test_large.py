@@ -48,3 +48,14 @@ def test_residuals_and_errors(spark):
     axes = np.array([[1.0], [0.0], [0.0]])
     found = detectors.score_reconstruction(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, scaled array<double>"), axes).orderBy("i").collect()
     assert [(r.latent, r.reconstructed, r.residuals, r.reconstruction_error) for r in found] == [([a], [a, 0.0, 0.0], [0.0, abs(b), abs(c)], (abs(b) + abs(c)) / 3) for a, b, c in rows]
+
+
+def test_the_plane_is_that_of_all_rows(spark):
+    """No row is left out however many there are: three far rows among 60,000 turn the plane to them."""
+    k = F.col("id").cast("double")
+    near = F.array(F.sin(k * 12.9898), F.sin(k * 78.233) / 2, F.lit(0.0))
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("src_ip"), F.when(k % 20_000 == 7, F.array(F.lit(0.0), F.lit(0.0), k)).otherwise(near).alias("scaled"))
+    axes, share = detectors.fit_plane(df, ("src_ip",))
+    values, vectors = np.linalg.eigh(np.cov(np.array(df.toPandas()["scaled"].tolist()).T))
+    want = vectors[:, [2, 1]]
+    assert np.allclose(axes, want * np.sign(want[np.abs(want).argmax(axis=0), [0, 1]]), atol=1e-9) and np.allclose(share, values[[2, 1]] / values.sum(), rtol=1e-9)

@@ -82,3 +82,33 @@ def test_without_rows_and_with_one(spark):
     assert N.fit_dense(df.where("false"), ("src_ip",)) is None
     few = N.fit_dense(df.limit(1), ("src_ip",), epochs=2)
     assert N.score_dense(df.limit(3), few).count() == 3
+
+
+def test_the_query_trains_the_whole_network(spark, sf_dir):
+    """The layers that the number of windows asks for, and as many epochs as the operator gives them: all, or until none of the last ones was the best of training."""
+    from tracewell.plans import learned
+
+    scaled, net = learned._dense(spark, sf_dir)
+    hidden, _ = N.NARROW if scaled.count() < N.SMALL else N.WIDE
+    errors = [e for _, _, e in net.history[1:]]
+    assert tuple(len(b) for b in net.biases[:-1]) == hidden
+    assert len(errors) == N.EPOCHS or len(errors) == N.PATIENCE + 1 + int(np.argmin(errors))
+
+
+def test_a_good_start_does_not_end_training(spark):
+    """Rows on a plane, which the start gives exactly: training goes on while its own errors fall, and the start is what counts."""
+    x = np.random.default_rng(5).normal(size=(300, 2)) @ np.random.default_rng(6).normal(size=(2, D))
+    df = spark.createDataFrame([(str(k), r.tolist()) for k, r in enumerate(x - x.mean(axis=0))], "src_ip string, scaled array<double>")
+    one = N.fit_dense(df, ("src_ip",), epochs=12, hidden=(24, 2, 24), patience=1)
+    errors = [e for _, _, e in one.history[1:]]
+    assert one.history[0][2] < 1e-6 and min(errors) > 1e-6 and len(errors) == min(12, 2 + int(np.argmin(errors))) and len(errors) > 1
+    assert N.score_dense(df, one).agg(F.max("reconstruction_error")).first()[0] < 1e-6
+
+
+def test_equal_entries_leave_the_start_as_it_is(spark):
+    """Which of two equal entries of a component is the larger by a last bit doesn't turn it round: rows in other parts give the same network."""
+    x = np.random.default_rng(7).normal(size=(400, 3)) / 3
+    x = np.column_stack([x, -x])
+    rows = [(str(k), r.tolist()) for k, r in enumerate(x - x.mean(axis=0))]
+    own = [N.fit_dense(spark.createDataFrame(rows, "src_ip string, scaled array<double>").repartition(p), ("src_ip",), epochs=0, hidden=(8, 3, 8)).flat() for p in (1, 3, 7)]
+    assert np.array_equal(own[0], own[1]) and np.array_equal(own[0], own[2])

@@ -125,3 +125,23 @@ def test_digests_do_not_depend_on_splits(spark, tmp_path):
         assert digest() == whole
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_source_families_count_the_fitted_detectors_alerts(spark, sf_dir):
+    """Isolation alerts are the forest's and reconstruction alerts those of the components, by plain versions of both; the two differ."""
+    import __spark_entry__
+    from tracewell.operators.windows import build_windows
+    from tracewell.plans import learned, queries
+
+    windows = build_windows(queries._features(spark, sf_dir), queries.DAY)
+    scaled = detectors.scale(windows, digits=learned.DIGITS).select("window_start", "src_ip", "scaled").cache()
+    rows = scaled.toPandas()
+    x = np.array(rows["scaled"].tolist())
+    forest = detectors.fit_isolation(scaled, trees=learned.TREES, sample=learned.SAMPLE, seed=learned.SEED)
+    isolation = forest.scores(x)
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    kept = vectors[:, values > 1]
+    error = np.abs(x - x @ kept @ kept.T).mean(axis=1)
+    want = {s: (int((isolation[at] > np.quantile(isolation, 0.9)).sum()), int((error[at] > np.quantile(error, 0.9)).sum())) for s, at in rows.groupby("src_ip").indices.items()}
+    got = {r.src_ip: (r.isolation, r.reconstruction) for r in __spark_entry__.queries()["dns_source_families"](spark, sf_dir).collect()}
+    assert got == {s: n for s, n in want.items() if any(n) or s in got} and any(a != b for a, b in got.values())
